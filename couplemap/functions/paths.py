@@ -57,12 +57,13 @@ def strip_common_prefix(files: DataFrame, path: str = "path", out: str = "path")
     """
     parts = F.split(F.col(path), "/")
     bounds = files.select(F.min(parts).alias("lo"), F.max(parts).alias("hi"))
-    lo = bounds.select("lo").scalar()
-    hi = bounds.select("hi").scalar()
+    lo, hi = F.col("lo"), F.col("hi")
     k = common_prefix_length(lo, hi)
-    prefix = F.array_join(F.slice(lo, 1, k), "/")
+    prefix = F.array_join(F.slice(lo, 1, F.greatest(k, F.lit(1))), "/")
     # a common path of only the root '/' is one character long
-    plen = F.when((k >= 1) & (prefix == ""), F.lit(1)).otherwise(F.length(prefix))
+    plen = F.when(k == 0, F.lit(0)).when(prefix == "", F.lit(1)).otherwise(F.length(prefix))
+    # one row, one value: a scalar sub-query inlined into the projection
+    plen_value = bounds.select(plen.alias("plen")).scalar()
     # like the reference, always cut the prefix and one separator
-    stripped = F.substring(F.col(path), plen + 2, 1 << 30)
+    stripped = F.substring(F.col(path), plen_value + 2, 1 << 30)
     return files.withColumn(out, F.coalesce(stripped, F.lit("")))
