@@ -517,3 +517,43 @@ INTERSECT SELECT commit_seq FROM inc JOIN clusters USING (path) WHERE label = 2"
 def q_common_commits(spark, sf):
     x = _Hist(spark, sf)
     return G.common_commits(x.inc, x.clusters(), 1, 2)
+
+
+# ---- 2.6 clustering --------------------------------------------------------------------------------
+
+_DBSCAN_EPS = 1.15  # pairwise distances of the embeddings: 0.1 % below 1.12, 5 % below 1.26
+
+_DBSCAN_SQL = O.with_(O.POINTS, f"""
+e AS (SELECT x.path AS a, y.path AS b FROM pts x JOIN pts y ON x.path < y.path
+      WHERE list_distance(x.v, y.v) <= {_DBSCAN_EPS}),
+both_dirs AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+core AS (SELECT DISTINCT a AS path FROM both_dirs),
+reach(src, dst) AS (SELECT path, path FROM core UNION SELECT r.src, d.b FROM reach r JOIN both_dirs d ON r.dst = d.a),
+comp AS (SELECT src AS path, min(dst) AS comp FROM reach GROUP BY src),
+ranks AS (SELECT comp, CAST(dense_rank() OVER (ORDER BY comp) - 1 AS INTEGER) AS label FROM (SELECT DISTINCT comp FROM comp)),
+lab AS (SELECT p.path, CAST(coalesce(r.label, -1) AS INTEGER) AS label
+        FROM pts p LEFT JOIN comp c ON c.path = p.path LEFT JOIN ranks r ON r.comp = c.comp)""", recursive=True)
+
+
+def _dbscan(spark, sf):
+    from ..operators.clustering.dbscan import dbscan_points
+    p = B.points(spark, sf).select("path", F.col("embedding").cast("array<double>").alias("v"))
+    return dbscan_points(p, _DBSCAN_EPS, 2)
+
+
+@register("cluster_dbscan", _DBSCAN_SQL + "SELECT path, label FROM lab")
+def q_cluster_dbscan(spark, sf):
+    return _dbscan(spark, sf)
+
+
+@register("relabel_noise", _DBSCAN_SQL + """SELECT path, CAST(CASE WHEN label = -1
+  THEN -row_number() OVER (PARTITION BY label = -1 ORDER BY path) ELSE label END AS INTEGER) AS label FROM lab""")
+def q_relabel_noise(spark, sf):
+    return G.relabel_noise(_dbscan(spark, sf), join_clusterless=False)
+
+
+@register("cluster_average_linkage")
+def q_cluster_average_linkage(spark, sf):
+    from ..operators.clustering.average_linkage import average_linkage
+    x = _Hist(spark, sf)
+    return average_linkage(x.heights.select("path"), S.jaccard_pairs(x.inc))
