@@ -1,0 +1,77 @@
+"""Non-metric MDS by SMACOF (de Leeuw 1977) with isotonic disparities.
+
+Reference setting: 2 components, up to 3000 rounds, eps 1e-12, one start.
+The stress needs every pair, so this runs in one pandas task below
+``local_limit`` items (input bounded by local_limit^2 / 2 pairs) and refuses
+larger inputs.  Disparities: tied dissimilarities share one value (their
+weighted mean), then pool-adjacent-violators over the distinct values.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from .common import attach, dense_from_pairs, gather_dense, id_pairs, indexed
+
+MAX_ITER, EPS = 3000, 1e-12
+LOCAL_LIMIT = 3000
+
+
+def _pav(y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Increasing least-squares fit (pool adjacent violators)."""
+    vals, wts, sizes = [], [], []
+    for yi, wi in zip(y, w):
+        vals.append(yi); wts.append(wi); sizes.append(1)
+        while len(vals) > 1 and vals[-2] > vals[-1]:
+            v2, w2, s2 = vals.pop(), wts.pop(), sizes.pop()
+            v1, w1, s1 = vals.pop(), wts.pop(), sizes.pop()
+            wt = w1 + w2
+            vals.append((v1 * w1 + v2 * w2) / wt); wts.append(wt); sizes.append(s1 + s2)
+    return np.repeat(vals, sizes)
+
+
+def nmds_dense(D: np.ndarray, max_iter=MAX_ITER, eps=EPS, seed: int = 0) -> np.ndarray:
+    n = D.shape[0]
+    if n < 2:
+        return np.zeros((n, 2))
+    iu = np.triu_indices(n, 1)
+    sim = D[iu]
+    uniq, inv = np.unique(sim, return_inverse=True)
+    X = np.random.default_rng(seed).uniform(size=(n, 2))
+    old = None
+    for _ in range(max_iter):
+        diff = X[:, None, :] - X[None, :, :]
+        dis = np.sqrt((diff ** 2).sum(-1))
+        d = dis[iu]
+        cnt = np.bincount(inv, minlength=len(uniq)).astype(float)
+        mean = np.bincount(inv, weights=d, minlength=len(uniq)) / cnt
+        fit = _pav(mean, cnt)[inv]
+        fit *= np.sqrt(n * (n - 1) / 2 / max((fit ** 2).sum(), 1e-300))
+        disp = np.zeros((n, n))
+        disp[iu] = fit
+        disp = disp + disp.T
+        stress = ((d - fit) ** 2).sum()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(dis > 0, disp / dis, 0.0)
+        B = -ratio
+        B[np.arange(n), np.arange(n)] += ratio.sum(1)
+        X = B @ X / n
+        s = stress / max(np.sqrt((X ** 2).sum(1)).sum(), 1e-300)
+        if old is not None and old - s < eps:
+            break
+        old = s
+    return X
+
+
+def nmds(items: DataFrame, pairs: DataFrame, distance: str = "distance", max_iter: int = MAX_ITER,
+         eps: float = EPS, seed: int = 0, local_limit: int = LOCAL_LIMIT) -> DataFrame:
+    ids = indexed(items)
+    pij = id_pairs(ids, pairs, distance)
+
+    def fn(m, i, j, val):
+        X = nmds_dense(dense_from_pairs(m, i, j, val, fill=1.0), max_iter, eps, seed)
+        return pd.DataFrame({"id": np.arange(m, dtype=np.int64), "x": X[:, 0], "y": X[:, 1]})
+
+    return attach(ids, gather_dense(ids, pij, local_limit, 1.0, fn, "id long, x double, y double"))

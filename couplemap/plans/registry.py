@@ -557,3 +557,117 @@ def q_cluster_average_linkage(spark, sf):
     from ..operators.clustering.average_linkage import average_linkage
     x = _Hist(spark, sf)
     return average_linkage(x.heights.select("path"), S.jaccard_pairs(x.inc))
+
+
+@register("cluster_birch")
+def q_cluster_birch(spark, sf):
+    from ..operators.clustering.birch import birch
+    p = B.points(spark, sf).select("path", F.col("embedding").cast("array<double>").alias("v"))
+    return birch(p)
+
+
+@register("cluster_ward")
+def q_cluster_ward(spark, sf):
+    from ..operators.clustering.ward import ward
+    p = B.points(spark, sf).select("path", F.col("embedding").cast("array<double>").alias("v"))
+    return ward(p)
+
+
+# ---- 2.7 embeddings ------------------------------------------------------------------------------
+
+@register("embed_tsne")
+def q_embed_tsne(spark, sf):
+    from ..operators.embedding.tsne import tsne
+    x = _Hist(spark, sf)
+    return tsne(x.heights.select("path"), S.jaccard_pairs(x.inc))
+
+
+@register("embed_mca")
+def q_embed_mca(spark, sf):
+    from ..operators.embedding.mca import mca
+    return mca(_Hist(spark, sf).inc)
+
+
+@register("embed_nmds")
+def q_embed_nmds(spark, sf):
+    from ..operators.embedding.nmds import nmds
+    x = _Hist(spark, sf)
+    return nmds(x.heights.select("path"), S.jaccard_pairs(x.inc))
+
+
+# ---- wide matrix, results, log loader, composed maps -----------------------------------------------
+
+@register("incidence_wide")
+def q_incidence_wide(spark, sf):
+    x = _Hist(spark, sf)
+    return H.incidence_wide(x.inc, x.h.commits)
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
+def _quick_result(spark, sf):
+    """A map result over the folder clusters (no embedding run), for the I/O operators."""
+    from ..plans.maps import _tail
+    x = _Hist(spark, sf)
+    return _tail(x.h, x.touches, x.inc, x.clusters(), x.layout())
+
+
+@register("write_result")
+def q_write_result(spark, sf):
+    from ..sources.results import read_result, write_result
+    folder = _scratch(spark, "results")
+    write_result(_quick_result(spark, sf), folder, write_json=True)
+    back = read_result(spark, folder)
+    return back.buildings.join(back.cities, "label").select("label", "fileName", "height", r6("x").alias("x"),
+                                                            r6("y").alias("y"))
+
+
+@register("save_result")
+def q_save_result(spark, sf):
+    from ..sources.results import save_result
+    root = _scratch(spark, "saved")
+    save_result(_quick_result(spark, sf), root, "logical", "events")
+    return spark.read.parquet(f"{root}/routes")
+
+
+@register("load_result")
+def q_load_result(spark, sf):
+    from ..sources.results import load_result, save_result
+    root = _scratch(spark, "saved")
+    save_result(_quick_result(spark, sf), root, "logical", "events")
+    return load_result(spark, root, "logical", "events").routes
+
+
+@register("load_history_log")
+def q_load_history_log(spark, sf):
+    from ..sources.history import load_history_log, write_history_log
+    folder = _scratch(spark, "logs")
+    write_history_log(B.events_history(spark, sf), folder)
+    return load_history_log(spark, folder).modifications
+
+
+def _map_view(res) -> DataFrame:
+    return res.buildings.join(res.cities, "label").select(
+        "label", "fileName", "height", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@register("logical_map")
+def q_logical_map(spark, sf):
+    from ..plans.maps import logical_map
+    return _map_view(logical_map(B.events_history(spark, sf)))
+
+
+@register("semantic_map")
+def q_semantic_map(spark, sf):
+    from ..plans.maps import semantic_map
+    return _map_view(semantic_map(B.events_history(spark, sf), B.events_sources(spark, sf)))
+
+
+@register("couplings_map")
+def q_couplings_map(spark, sf):
+    from ..plans.maps import couplings_map
+    return couplings_map(None, B.events_history(spark, sf)).routes

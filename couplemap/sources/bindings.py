@@ -119,3 +119,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url")
+
+
+def events_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source texts for the events history: the live file of user u reads
+    document u (for the semantic map, whose corpus must be the history's files)."""
+    h = events_history(spark, sf_dir)
+    files = h.files.select("path", F.regexp_extract("path", r"user_([0-9]+)", 1).cast("long").alias("doc_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return files.join(docs, "doc_id").select("path", "text")

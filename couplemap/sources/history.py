@@ -112,3 +112,26 @@ def load_history_log(spark: SparkSession, path: str) -> History:
     from ..operators.history import live_files_from_modifications
 
     return History(commits, mods, live_files_from_modifications(mods))
+
+
+def write_history_log(history: History, folder: str) -> None:
+    """Write a history as the text dump ``load_history_log`` reads: every
+    commit's lines go to one file in order (partitioned by commit, sorted
+    inside the partition), so no commit is gathered into one row."""
+    c = history.commits.select(
+        "commit_seq", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("ord"),
+        F.concat(F.lit("@@@\n"), F.col("commit_id"), F.lit("\t"),
+                 F.date_format("committer_ts", "yyyy-MM-dd HH:mm:ss"), F.lit("\t"),
+                 F.col("commit_seq").cast("string")).alias("value"))
+    m = history.modifications
+    line = (
+        F.when(F.col("old_path").isNull(), F.concat(F.lit("A\t"), F.col("new_path")))
+        .when(F.col("new_path").isNull(), F.concat(F.lit("D\t"), F.col("old_path")))
+        .when(F.col("old_path") != F.col("new_path"),
+              F.concat(F.lit("R100\t"), F.col("old_path"), F.lit("\t"), F.col("new_path")))
+        .otherwise(F.concat(F.lit("M\t"), F.col("new_path")))
+    )
+    mods = m.select("commit_seq", F.lit(1).alias("kind"), "ord", line.alias("value"))
+    lines = c.unionByName(mods)
+    (lines.repartition("commit_seq").sortWithinPartitions("commit_seq", "kind", "ord")
+     .select("value").write.mode("overwrite").text(folder))
