@@ -23,7 +23,7 @@ from ...session import cut_lineage
 N_COMPONENTS = 2
 
 
-def mca(incidence: DataFrame, n_iter: int = 25, seed: int = 0) -> DataFrame:
+def mca(incidence: DataFrame, n_iter: int = 20, seed: int = 0) -> DataFrame:
     """incidence(path, commit_seq) -> (path, x, y)."""
     files = incidence.select("path").distinct()
     n = files.count()
@@ -35,34 +35,33 @@ def mca(incidence: DataFrame, n_iter: int = 25, seed: int = 0) -> DataFrame:
     # start vectors from a hash of the commit (deterministic on recomputation)
     h = lambda tag: (F.pmod(F.xxhash64("commit_seq", F.lit(seed), F.lit(tag)), F.lit(1 << 20)) / float(1 << 20)) - 0.5
     v = cut_lineage(cols.select("commit_seq", h("a").alias("v0"), h("b").alias("v1")))
+    zc = cut_lineage(z.join(cols, "commit_seq").select("path", "commit_seq"))
     for _ in range(n_iter):
-        # u = X v
+        # u = X v = Z (v / s) - <f, v / s>
         vs = v.join(cols, "commit_seq").select("commit_seq", (F.col("v0") / F.col("s")).alias("w0"),
                                                (F.col("v1") / F.col("s")).alias("w1"), "f")
-        off = vs.agg(F.sum(F.col("f") * F.col("w0")), F.sum(F.col("f") * F.col("w1"))).first()
-        zu = z.join(vs.select("commit_seq", "w0", "w1"), "commit_seq").groupBy("path").agg(
+        o = vs.agg(F.sum(F.col("f") * F.col("w0")), F.sum(F.col("f") * F.col("w1"))).first()
+        zu = zc.join(vs.select("commit_seq", "w0", "w1"), "commit_seq").groupBy("path").agg(
             F.sum("w0").alias("a0"), F.sum("w1").alias("a1"))
-        u = files.join(zu, "path", "left").fillna(0.0).select(
-            "path", (F.col("a0") - off[0]).alias("u0"), (F.col("a1") - off[1]).alias("u1"))
-        u = cut_lineage(u)
-        # v' = X^T u
+        u = cut_lineage(files.join(zu, "path", "left").fillna(0.0).select(
+            "path", (F.col("a0") - o[0]).alias("u0"), (F.col("a1") - o[1]).alias("u1")))
+        # v' = X^T u = (Z^T u - f sum(u)) / s
         su = u.agg(F.sum("u0"), F.sum("u1")).first()
-        zt = z.join(u, "path").groupBy("commit_seq").agg(F.sum("u0").alias("t0"), F.sum("u1").alias("t1"))
-        vn = cols.join(zt, "commit_seq", "left").fillna(0.0, subset=["t0", "t1"]).select(
+        zt = zc.join(u, "path").groupBy("commit_seq").agg(F.sum("u0").alias("t0"), F.sum("u1").alias("t1"))
+        vn = cut_lineage(cols.join(zt, "commit_seq", "left").fillna(0.0, subset=["t0", "t1"]).select(
             "commit_seq", ((F.col("t0") - F.col("f") * su[0]) / F.col("s")).alias("v0"),
-            ((F.col("t1") - F.col("f") * su[1]) / F.col("s")).alias("v1"))
-        # Gram-Schmidt: normalise v0, remove it from v1, normalise v1
-        g = vn.agg(F.sum(F.col("v0") * F.col("v0")), F.sum(F.col("v0") * F.col("v1"))).first()
+            ((F.col("t1") - F.col("f") * su[1]) / F.col("s")).alias("v1")))
+        # Gram-Schmidt from one aggregate: |v0|^2, v0.v1, |v1|^2
+        g = vn.agg(F.sum(F.col("v0") * F.col("v0")), F.sum(F.col("v0") * F.col("v1")),
+                   F.sum(F.col("v1") * F.col("v1"))).first()
         n0 = float(np.sqrt(g[0])) or 1.0
-        proj = g[1] / (n0 * n0)
-        v1 = F.col("v1") - proj * F.col("v0")
-        vn = vn.select("commit_seq", (F.col("v0") / n0).alias("v0"), v1.alias("v1"))
-        n1 = float(np.sqrt(vn.agg(F.sum(F.col("v1") * F.col("v1"))).first()[0])) or 1.0
-        v = cut_lineage(vn.select("commit_seq", "v0", (F.col("v1") / n1).alias("v1")))
+        a = g[1] / (n0 * n0)
+        n1 = float(np.sqrt(max(g[2] - 2 * a * g[1] + a * a * g[0], 0.0))) or 1.0
+        v = vn.select("commit_seq", (F.col("v0") / n0).alias("v0"), ((F.col("v1") - a * F.col("v0")) / n1).alias("v1"))
     vs = v.join(cols, "commit_seq").select("commit_seq", (F.col("v0") / F.col("s")).alias("w0"),
                                            (F.col("v1") / F.col("s")).alias("w1"), "f")
     off = vs.agg(F.sum(F.col("f") * F.col("w0")), F.sum(F.col("f") * F.col("w1"))).first()
-    zu = z.join(vs.select("commit_seq", "w0", "w1"), "commit_seq").groupBy("path").agg(
+    zu = zc.join(vs.select("commit_seq", "w0", "w1"), "commit_seq").groupBy("path").agg(
         F.sum("w0").alias("a0"), F.sum("w1").alias("a1"))
     scale = float(np.sqrt(max(c_count, 1)))
     return files.join(zu, "path", "left").fillna(0.0).select(

@@ -20,6 +20,7 @@ from ..operators.clustering.average_linkage import average_linkage
 from ..operators.clustering.birch import THRESHOLD_MATRIX, birch, distance_rows
 from ..operators.embedding.tsne import tsne
 from ..sources.history import History
+from ..session import cut_lineage
 from ..sources.results import MapResult
 
 COUPLINGS = ("logical", "semantic")
@@ -43,30 +44,30 @@ def _tail(history: History, touches: DataFrame, incidence: DataFrame, clusters:
 
 def logical_map(history: History, remove_bulk: int = -1, n_iter: int = 1000, seed: int = 0,
                 url: str | None = None, active_branch: str | None = None) -> MapResult:
-    live = H.live_files(history.files)
-    touches = H.current_touches(history, live)
-    inc = H.incidence_long(H.filter_bulk_commits(touches, remove_bulk))
-    pairs = S.jaccard_pairs(inc)
+    live = cut_lineage(H.live_files(history.files))
+    touches = cut_lineage(H.current_touches(history, live))
+    inc = cut_lineage(H.incidence_long(H.filter_bulk_commits(touches, remove_bulk)))
+    pairs = cut_lineage(S.jaccard_pairs(inc))
     items = inc.select("path").distinct()
-    clusters = average_linkage(items, pairs)
-    emb = tsne(items, pairs, "distance", n_iter=n_iter, seed=seed)
+    clusters = cut_lineage(average_linkage(items, pairs))
+    emb = cut_lineage(tsne(items, pairs, "distance", n_iter=n_iter, seed=seed))
     return _tail(history, touches, inc, clusters, emb, url, active_branch)
 
 
 def semantic_map(history: History, sources: DataFrame, remove_bulk: int = -1, n_iter: int = 1000,
                  seed: int = 0, stem: bool = True, url: str | None = None,
                  active_branch: str | None = None) -> MapResult:
-    live = H.live_files(history.files)
-    src = sources.join(live, "path")  # the corpus is the live files that could be read
-    tokens = T.tokens_from_sources(src, stem=stem)
-    weights = S.tf_idf(tokens, src)
-    cos = S.cosine_pairs(weights)
+    live = cut_lineage(H.live_files(history.files))
+    src = cut_lineage(sources.join(live, "path"))  # the corpus: the live files that could be read
+    tokens = cut_lineage(T.tokens_from_sources(src, stem=stem))
+    weights = cut_lineage(S.tf_idf(tokens, src))
+    cos = cut_lineage(S.cosine_pairs(weights))
     items = src.select("path")
-    clusters = birch(distance_rows(items, cos), THRESHOLD_MATRIX)
+    clusters = cut_lineage(birch(distance_rows(items, cos), THRESHOLD_MATRIX))
     dist = S.invert_similarity(cos)
-    emb = tsne(items, dist, "distance", n_iter=n_iter, seed=seed)
-    touches = H.current_touches(history, live)
-    inc = H.incidence_long(H.filter_bulk_commits(touches, remove_bulk))
+    emb = cut_lineage(tsne(items, dist, "distance", n_iter=n_iter, seed=seed))
+    touches = cut_lineage(H.current_touches(history, live))
+    inc = cut_lineage(H.incidence_long(H.filter_bulk_commits(touches, remove_bulk)))
     return _tail(history, touches, inc, clusters, emb, url, active_branch)
 
 

@@ -22,6 +22,7 @@ from ..operators import history as H
 from ..operators import layout as L
 from ..operators import similarity as S
 from ..sources import bindings as B
+from ..session import cut_lineage
 from . import oracle_sql as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +44,8 @@ class _Hist:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.h = B.events_history(spark, sf_dir)
         self.live = H.live_files(self.h.files)
-        self.touches = H.current_touches(self.h, self.live)
-        self.inc = H.incidence_long(self.touches)
+        self.touches = cut_lineage(H.current_touches(self.h, self.live))
+        self.inc = cut_lineage(H.incidence_long(self.touches))
         self.heights = H.file_heights(self.inc)
 
     def clusters(self) -> DataFrame:
