@@ -1,0 +1,220 @@
+"""OPTICS (Ankerst, Breunig, Kriegel, Sander 1999) with xi cluster extraction.
+
+The ordering walk is sequential, but it never crosses two connected
+components of the max_eps neighbour graph: components come from the exact
+grid range join plus ``connected_components`` (or, in matrix mode, from the
+sparse distance table), and each component is ordered and cut by xi in its
+own pandas group.  A component is one task, so its size is checked; with
+max_eps = inf every point is one component.
+
+Reference setting: min_samples = min_size (2), max_eps = eps when given,
+xi = 0.05, min_cluster_size = min_samples, predecessor correction on.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ...functions.indexing import with_global_index
+from ..components import connected_components
+from ..neighbors import radius_pairs
+
+XI = 0.05
+COMPONENT_LIMIT = 20000
+
+
+def _order(D: np.ndarray, min_samples: int, max_eps: float):
+    """Reachability, predecessor and ordering of one component (rows in path order)."""
+    n = D.shape[0]
+    k = min(min_samples, n)
+    core = np.sort(D, axis=1)[:, k - 1] if n else np.zeros(0)
+    core = np.where(core > max_eps, np.inf, core)
+    reach = np.full(n, np.inf)
+    pred = np.full(n, -1, dtype=np.int64)
+    done = np.zeros(n, dtype=bool)
+    order = []
+    for _ in range(n):
+        cand = np.flatnonzero(~done)
+        p = cand[np.argmin(reach[cand])]
+        done[p] = True
+        order.append(p)
+        if not np.isfinite(core[p]):
+            continue
+        rest = np.flatnonzero(~done)
+        d = D[p, rest]
+        near = d <= max_eps
+        rest, d = rest[near], d[near]
+        r = np.maximum(d, core[p])
+        better = r < reach[rest]
+        reach[rest[better]] = r[better]
+        pred[rest[better]] = p
+    return reach, pred, np.array(order, dtype=np.int64)
+
+
+def _grow(steep, xward, start, min_samples):
+    """End of a steep region: steep points, with at most min_samples
+    consecutive non-steep points that still go the same way."""
+    end, run = start, 0
+    for i in range(start, len(steep)):
+        if steep[i]:
+            run, end = 0, i
+        elif not xward[i]:
+            run += 1
+            if run > min_samples:
+                break
+        else:
+            break
+    return end
+
+
+def _fix_by_predecessor(rp, pp, order, s, e):
+    while s < e:
+        if rp[s] > rp[e]:
+            return s, e
+        if pp[e] in set(order[s:e].tolist()):
+            return s, e
+        e -= 1
+    return None, None
+
+
+def _xi_clusters(reach, pred, order, xi, min_samples, min_cluster_size):
+    rp = np.append(reach[order], np.inf)
+    pp = pred[order]
+    keep = 1.0 - xi
+    with np.errstate(invalid="ignore", divide="ignore"):
+        ratio = rp[:-1] / rp[1:]
+    up_steep, down_steep = ratio <= keep, ratio >= 1.0 / keep
+    going_down, going_up = ratio > 1, ratio < 1
+    sdas, found = [], []
+    idx, mib = 0, 0.0
+
+    def filtered(sdas, mib):
+        if math.isinf(mib):
+            return []
+        out = [d for d in sdas if mib <= rp[d["start"]] * keep]
+        for d in out:
+            d["mib"] = max(d["mib"], mib)
+        return out
+
+    for si in np.flatnonzero(up_steep | down_steep):
+        if si < idx:
+            continue
+        mib = max(mib, float(np.max(rp[idx:si + 1])))
+        sdas = filtered(sdas, mib)
+        if down_steep[si]:
+            end = _grow(down_steep, going_up, si, min_samples)
+            sdas.append({"start": si, "end": end, "mib": 0.0})
+            idx = end + 1
+            mib = rp[idx]
+            continue
+        u_end = _grow(up_steep, going_down, si, min_samples)
+        idx = u_end + 1
+        mib = rp[idx]
+        new = []
+        for d in sdas:
+            cs, ce = d["start"], u_end
+            if rp[ce + 1] * keep < d["mib"]:
+                continue
+            top = rp[d["start"]]
+            if top * keep >= rp[ce + 1]:
+                while rp[cs + 1] > rp[ce + 1] and cs < d["end"]:
+                    cs += 1
+            elif rp[ce + 1] * keep >= top:
+                while rp[ce - 1] > top and ce > si:
+                    ce -= 1
+            cs, ce = _fix_by_predecessor(rp, pp, order, cs, ce)
+            if cs is None or ce - cs + 1 < min_cluster_size or cs > d["end"] or ce < si:
+                continue
+            new.append((cs, ce))
+        found.extend(reversed(new))
+    labels = np.full(len(order), -1, dtype=np.int64)
+    nxt = 0
+    for cs, ce in found:
+        if np.all(labels[cs:ce + 1] == -1):
+            labels[cs:ce + 1] = nxt
+            nxt += 1
+    out = np.empty_like(labels)
+    out[order] = labels
+    return out
+
+
+def _run_component(min_samples, max_eps, xi, min_cluster_size, mode, fill):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = pdf[pdf["kind"] == 0].sort_values("path")
+        paths = nodes["path"].tolist()
+        m = len(paths)
+        if mode == "points":
+            X = np.stack(nodes["v"].to_numpy())
+            sq = (X * X).sum(1)
+            D = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * X @ X.T, 0.0))
+        else:
+            pos = {p: i for i, p in enumerate(paths)}
+            D = np.full((m, m), fill)
+            e = pdf[pdf["kind"] == 1]
+            ia = np.array([pos[p] for p in e["path"]], dtype=np.int64)
+            ib = np.array([pos[p] for p in e["other"]], dtype=np.int64)
+            D[ia, ib] = e["dist"].to_numpy()
+            D[ib, ia] = e["dist"].to_numpy()
+        np.fill_diagonal(D, 0.0)
+        reach, pred, order = _order(D, min_samples, max_eps)
+        lab = _xi_clusters(reach, pred, order, xi, min_samples, min_cluster_size)
+        rd = np.where(np.isfinite(reach), reach, np.nan)
+        return pd.DataFrame({"comp": [pdf["comp"].iloc[0]] * m, "path": paths, "local": lab,
+                             "reachability": rd, "pos": np.argsort(order)})
+    return run
+
+
+def optics(items: DataFrame, min_samples: int = 2, max_eps: float = math.inf, xi: float = XI,
+           min_cluster_size: int | None = None, points: DataFrame | None = None,
+           pairs: DataFrame | None = None, distance: str = "distance",
+           component_limit: int = COMPONENT_LIMIT) -> DataFrame:
+    """Point mode: ``points(path, v)``; matrix mode: ``pairs(a, b, distance)``
+    with absent pairs at distance 1.  Returns (path, label, reachability, pos)."""
+    mcs = min_cluster_size or min_samples
+    base = items.select("path").distinct()
+    if points is not None:
+        mode, fill = "points", math.inf
+        if math.isinf(max_eps):
+            comp = base.select("path", F.lit("all").alias("comp"))
+        else:
+            near = radius_pairs(points, max_eps, "path", "v")
+            comp = connected_components(base.select(F.col("path").alias("id")),
+                                        near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+            comp = comp.select(F.col("id").alias("path"), "comp")
+        rows = comp.join(points.select("path", F.col("v").cast("array<double>").alias("v")), "path").select(
+            "comp", "path", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("other"),
+            F.lit(None).cast("double").alias("dist"), "v")
+    else:
+        mode = "matrix"
+        fill = 1.0
+        if max_eps >= 1.0:
+            comp = base.select("path", F.lit("all").alias("comp"))
+            edges = pairs.select("a", "b", F.col(distance).alias("dist"))
+        else:
+            fill = math.inf
+            edges = pairs.where(F.col(distance) <= max_eps).select("a", "b", F.col(distance).alias("dist"))
+            cc = connected_components(base.select(F.col("path").alias("id")),
+                                      edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+            comp = cc.select(F.col("id").alias("path"), "comp")
+        nodes = comp.select("comp", "path", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("other"),
+                            F.lit(None).cast("double").alias("dist"), F.lit(None).cast("array<double>").alias("v"))
+        e = edges.join(comp.select(F.col("path").alias("a"), "comp"), "a").select(
+            "comp", F.col("a").alias("path"), F.lit(1).alias("kind"), F.col("b").alias("other"), "dist",
+            F.lit(None).cast("array<double>").alias("v"))
+        rows = nodes.unionByName(e)
+    biggest = comp.groupBy("comp").count().agg(F.max("count")).first()[0] or 0
+    if biggest > component_limit:
+        raise ValueError(f"an OPTICS component of {biggest} points exceeds {component_limit}; lower max_eps")
+    out = rows.groupBy("comp").applyInPandas(
+        _run_component(min_samples, max_eps, xi, mcs, mode, fill),
+        "comp string, path string, local long, reachability double, pos long")
+    clustered = out.where(F.col("local") >= 0)
+    first = clustered.groupBy("comp", "local").agg(F.min("path").alias("p0"))
+    ranks = with_global_index(first, [F.col("p0")], name="label")
+    return out.join(ranks, ["comp", "local"], "left").select(
+        "path", F.coalesce(F.col("label"), F.lit(-1)).cast("int").alias("label"), "reachability", "pos")

@@ -672,3 +672,11 @@ def q_semantic_map(spark, sf):
 def q_couplings_map(spark, sf):
     from ..plans.maps import couplings_map
     return couplings_map(None, B.events_history(spark, sf)).routes
+
+
+@register("cluster_optics")
+def q_cluster_optics(spark, sf):
+    from ..operators.clustering.optics import optics
+    p = B.points(spark, sf).select("path", F.col("embedding").cast("array<double>").alias("v"))
+    return optics(p.select("path"), min_samples=2, points=p).select(
+        "path", "label", r6("reachability").alias("reachability"), "pos")
