@@ -478,13 +478,25 @@ def q_city_ground_size(spark, sf):
     return L.city_ground_size(L.city_grid_dims(_Hist(spark, sf).buildings()))
 
 
-@register("building_slots")
+_GRID_CTE = _GRID_SQL[:_GRID_SQL.rindex("SELECT c.label")] + """, ground AS (SELECT c.label, c.n AS n_buildings, d.w AS grid_w, d.h AS grid_h,
+  d.w * 10.0 + (d.w + 1) * 2.0 AS ground_width, d.h * 10.0 + (d.h + 1) * 2.0 AS ground_length
+  FROM cnt c JOIN dims d USING (n)),
+pos AS (SELECT c.label, c.x * 200.0 AS pos_x, c.y * 200.0 AS pos_z, g.ground_width, g.ground_length
+  FROM cities c JOIN ground g USING (label))
+"""
+
+
+@register("building_slots", _GRID_CTE + """SELECT b.label, b.fileName, b.height, b.slot,
+  7.0 + 12.0 * (b.slot % g.grid_w) AS x, 7.0 + 12.0 * (b.slot // g.grid_w) AS z
+FROM (SELECT label, fileName, height, row_number() OVER (PARTITION BY label ORDER BY fileName) - 1 AS slot FROM buildings) b
+JOIN ground g USING (label)""")
 def q_building_slots(spark, sf):
     b = _Hist(spark, sf).buildings()
     return L.building_slots(b, L.city_grid_dims(b))
 
 
-@register("city_positions")
+@register("city_positions", _GRID_CTE + """SELECT label, round(pos_x, 6) AS pos_x, round(pos_z, 6) AS pos_z,
+  round(pos_x + ground_width / 2, 6) AS center_x, round(pos_z + ground_length / 2, 6) AS center_z FROM pos""")
 def q_city_positions(spark, sf):
     x = _Hist(spark, sf)
     b = x.buildings()
@@ -492,7 +504,9 @@ def q_city_positions(spark, sf):
     return pos.select("label", *[r6(c).alias(c) for c in ("pos_x", "pos_z", "center_x", "center_z")])
 
 
-@register("overlapping_cities")
+@register("overlapping_cities", _GRID_CTE + """SELECT p.label AS i, q.label AS j FROM pos p JOIN pos q ON p.label <> q.label
+WHERE p.pos_x - 20 < q.pos_x + q.ground_width AND q.pos_x < p.pos_x - 20 + p.ground_width + 40
+  AND p.pos_z - 20 < q.pos_z + q.ground_length AND q.pos_z < p.pos_z - 20 + p.ground_length + 40""")
 def q_overlapping_cities(spark, sf):
     x = _Hist(spark, sf)
     b = x.buildings()
