@@ -39,10 +39,16 @@ def invert_similarity(df: DataFrame, col: str = "similarity", out: str = "distan
 
 # ---- text: tf, idf, tf-idf, cosine -------------------------------------------------
 
+def _word_counts(tokens: DataFrame) -> DataFrame:
+    """(path, word, cnt): the one aggregate of the token stream that tf, the
+    token totals and df all derive from (its shuffle is shared)."""
+    return tokens.groupBy("path", "word").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def term_frequency(tokens: DataFrame) -> DataFrame:
     """(path, word, tf) with tf = count / tokens of the file."""
-    n = tokens.groupBy("path").agg(F.count(F.lit(1)).alias("n_tokens"))
-    c = tokens.groupBy("path", "word").agg(F.count(F.lit(1)).alias("cnt"))
+    c = _word_counts(tokens)
+    n = c.groupBy("path").agg(F.sum("cnt").alias("n_tokens"))
     return c.join(n, "path").select("path", "word", (F.col("cnt") / F.col("n_tokens")).alias("tf"))
 
 
@@ -50,7 +56,7 @@ def inverse_doc_frequency(tokens: DataFrame, parsed: DataFrame) -> DataFrame:
     """(word, df, idf) with idf = ln(N / df); N counts every parsed file, empty
     ones included; no smoothing (a word in every file weighs 0)."""
     n_docs = parsed.select(F.count(F.lit(1))).scalar()
-    df = tokens.select("path", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    df = _word_counts(tokens).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     return df.select("word", "df", F.ln(n_docs / F.col("df")).alias("idf"))
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .history import History
 
 
@@ -62,6 +63,8 @@ def events_history(spark: SparkSession, sf_dir: str) -> History:
         .otherwise(F.col("path")).alias("new_path"),
         "rn_desc",
     )
+    # the two per-user windows run once; every later use reads the table
+    mods = cut_lineage(mods)
     files = mods.where((F.col("rn_desc") == 1) & F.col("new_path").isNotNull()).select(F.col("new_path").alias("path"))
     commits = mods.select("commit_seq", "commit_id", "committer_ts").distinct().withColumn(
         "committer_tz", F.lit("+00:00"))
