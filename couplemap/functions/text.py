@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,11 +46,17 @@ def stem_words(tokens: DataFrame, col: str = "word") -> DataFrame:
     return tokens.join(stems, tokens[col] == stems["__w"]).drop(col, "__w").withColumnRenamed("__s", col)
 
 
-def tokens_from_sources(sources: DataFrame, stem: bool = True) -> DataFrame:
-    """sources(path, text) -> tokens(path, pos, word): identifiers, split,
-    lower-cased, optionally stemmed.  Files with no identifier keep no rows
-    (they still count as parsed files for idf)."""
-    ids = sources.select("path", F.posexplode(identifiers(F.col("text"))).alias("ipos", "ident"))
+def tokens_from_sources(sources: DataFrame, stem: bool = True, mode: str = "regex") -> DataFrame:
+    """sources(path, text) -> tokens(path, ipos, ppos, word): identifiers, split,
+    lower-cased, optionally stemmed.  ``mode`` "regex" takes every run of
+    letters, "ast" parses Python (see ``python_identifiers``).  Files with no
+    identifier keep no rows (they still count as parsed files for idf)."""
+    if mode == "ast":
+        ids = python_identifiers(sources).where(F.col("ident").isNotNull()).select("path", "ipos", "ident")
+    elif mode == "regex":
+        ids = sources.select("path", F.posexplode(identifiers(F.col("text"))).alias("ipos", "ident"))
+    else:
+        raise ValueError(f"unknown identifier mode {mode!r}")
     parts = ids.select("path", "ipos", F.posexplode(split_identifier(F.col("ident"))).alias("ppos", "word"))
     toks = parts.select("path", "ipos", "ppos", F.lower("word").alias("word"))
     if stem:
@@ -57,13 +64,21 @@ def tokens_from_sources(sources: DataFrame, stem: bool = True) -> DataFrame:
     return toks.select("path", "ipos", "ppos", "word")
 
 
+def parsed_sources(sources: DataFrame, mode: str = "regex") -> DataFrame:
+    """The files that count for idf: all of them in regex mode, the ones
+    that parse in ast mode."""
+    if mode == "ast":
+        return python_identifiers(sources).select("path").distinct()
+    return sources.select("path")
+
+
 def python_identifiers(sources: DataFrame) -> DataFrame:
     """AST mode for Python sources: ``Name`` ids plus function and class
     names (not async defs), in ``ast.walk`` order.  Files that do not parse
     are skipped, as the reference does; ``parsed`` marks the others.
 
     Output (path, parsed, ipos, ident); a parsed file without identifiers
-    has one row with NULL ident so that it still counts for idf."""
+    has one row with ipos -1 and NULL ident so that it still counts for idf."""
     import ast
 
     def run(batches):
@@ -81,11 +96,13 @@ def python_identifiers(sources: DataFrame) -> DataFrame:
                     elif isinstance(node, (ast.FunctionDef, ast.ClassDef)):
                         found.append(node.name)
                 if not found:
-                    out_path.append(path); out_ok.append(True); out_pos.append(None); out_id.append(None)
+                    out_path.append(path); out_ok.append(True); out_pos.append(-1); out_id.append(None)
                 for i, name in enumerate(found):
                     out_path.append(path); out_ok.append(True); out_pos.append(i); out_id.append(name)
+            if not out_path:
+                continue
             yield pd.DataFrame({"path": out_path, "parsed": out_ok,
-                                "ipos": pd.array(out_pos, dtype="Int64"), "ident": out_id})
+                                "ipos": np.array(out_pos, dtype=np.int64), "ident": out_id})
 
     return sources.select("path", "text").mapInPandas(
         run, schema="path string, parsed boolean, ipos long, ident string")

@@ -55,14 +55,17 @@ def logical_map(history: History, remove_bulk: int = -1, n_iter: int = 1000, see
 
 
 def semantic_map(history: History, sources: DataFrame, remove_bulk: int = -1, n_iter: int = 1000,
-                 seed: int = 0, stem: bool = True, url: str | None = None,
+                 seed: int = 0, stem: bool = True, mode: str = "ast", url: str | None = None,
                  active_branch: str | None = None) -> MapResult:
+    """``mode`` "ast" reads Python sources like the reference (files that do
+    not parse are left out); "regex" takes identifiers from any text."""
     live = cut_lineage(H.live_files(history.files))
     src = cut_lineage(sources.join(live, "path"))  # the corpus: the live files that could be read
-    tokens = cut_lineage(T.tokens_from_sources(src, stem=stem))
-    weights = cut_lineage(S.tf_idf(tokens, src))
+    parsed = cut_lineage(T.parsed_sources(src, mode))
+    tokens = cut_lineage(T.tokens_from_sources(src, stem=stem, mode=mode))
+    weights = cut_lineage(S.tf_idf(tokens, parsed))
     cos = cut_lineage(S.cosine_pairs(weights))
-    items = src.select("path")
+    items = parsed
     clusters = cut_lineage(birch(distance_rows(items, cos), THRESHOLD_MATRIX))
     dist = S.invert_similarity(cos)
     emb = cut_lineage(tsne(items, dist, "distance", n_iter=n_iter, seed=seed))

@@ -679,7 +679,8 @@ def q_logical_map(spark, sf):
 @register("semantic_map")
 def q_semantic_map(spark, sf):
     from ..plans.maps import semantic_map
-    return _map_view(semantic_map(B.events_history(spark, sf), B.events_sources(spark, sf)))
+    # the test texts are prose, so identifiers come from the regex mode
+    return _map_view(semantic_map(B.events_history(spark, sf), B.events_sources(spark, sf), mode="regex"))
 
 
 @register("couplings_map")

@@ -69,6 +69,19 @@ def scan_file_tree(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def scan_source_tree(spark: SparkSession, root: str) -> DataFrame:
+    """sources(path, text): every file under ``root`` as one text row, path
+    relative to ``root``; unreadable files are skipped."""
+    df = spark.read.option("ignoreCorruptFiles", "true").text(root, wholetext=True, recursiveFileLookup=True)
+    import os
+    import re
+
+    full = F.col("_metadata.file_path")
+    root_abs = os.path.abspath(root).rstrip("/") if "://" not in root else root.rstrip("/").split("://", 1)[1]
+    rel = F.regexp_extract(full, re.escape(root_abs) + "/(.*)$", 1)
+    return df.select(rel.alias("path"), F.col("value").alias("text"))
+
+
 def load_history_log(spark: SparkSession, path: str) -> History:
     """Read ``git log --name-status`` style text dumps.
 

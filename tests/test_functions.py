@@ -43,3 +43,15 @@ def test_urls(spark):
     assert got["https://h/u/r/"] == (True, "")
     assert got["https://x.github.io/r"][1] is None
     assert got["noslash"][1] is None
+
+
+def test_source_tree_ast_mode(spark, tmp_path):
+    from couplemap.sources.history import scan_source_tree
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "pkg" / "a.py").write_text("def fooBar(x):\n    return x\n\nasync def skipped():\n    pass\n")
+    (tmp_path / "b.py").write_text("this is not python (\n")
+    src = scan_source_tree(spark, str(tmp_path))
+    assert sorted(r.path for r in src.collect()) == ["b.py", "pkg/a.py"]
+    toks = sorted((r.path, r.word) for r in T.tokens_from_sources(src, stem=True, mode="ast").collect())
+    assert toks == [("pkg/a.py", "bar"), ("pkg/a.py", "foo"), ("pkg/a.py", "x")]
+    assert [r.path for r in T.parsed_sources(src, "ast").collect()] == ["pkg/a.py"]
