@@ -172,10 +172,11 @@ def q_file_link(spark, sf):
 
 
 @register("commit_link", """SELECT page_id, CASE WHEN url IS NOT NULL AND h <> 'None' THEN concat(regexp_replace(url, '\\.git$', ''), '/commit/', h) END AS link
-FROM (SELECT page_id, url, CASE WHEN page_id % 10 = 0 THEN 'None' ELSE md5(CAST(page_id AS VARCHAR)) END AS h FROM pages)""")
+FROM (SELECT page_id, url, CASE WHEN starts_with(url, 'http://') THEN 'None' ELSE md5(url) END AS h FROM pages)""")
 def q_commit_link(spark, sf):
     p = B.urls(spark, sf)
-    h = F.when(F.col("page_id") % 10 == 0, F.lit("None")).otherwise(F.md5(F.col("page_id").cast("string")))
+    # plain-http pages stand for "no commit chosen" ('None'); others carry a hash of the url
+    h = F.when(F.col("url").startswith("http://"), F.lit("None")).otherwise(F.md5(F.col("url")))
     return p.select("page_id", U.commit_link("url", h).alias("link"))
 
 
