@@ -33,9 +33,39 @@ def pair_rows(df: DataFrame, group: str, item: str, carry: list[str] | None = No
     """All (a, b) with a < b sharing ``group``, one row per shared group.
 
     ``carry`` columns of each side come out suffixed ``_a`` / ``_b``.
-    The input must hold each (group, item) once."""
+    The input must hold each (group, item) once.  The largest group is
+    measured first (one small aggregate); when no group exceeds ``tile`` the
+    plain self-join on the group is used, otherwise hot groups are tiled."""
     carry = carry or []
-    x = _sharded(df.select(group, item, *carry), group, item, tile)
+    base = df.select(group, item, *carry)
+    kmax = base.groupBy(group).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+    if kmax <= tile:
+        return _plain_pairs(base, group, item, carry)
+    return _tiled_pairs(base, group, item, carry, tile)
+
+
+def _orient(l: str, r: str, group_col, group: str, carry: list[str]) -> list:
+    swap = F.col(l) > F.col(r)
+    cols = [
+        group_col.alias(group),
+        F.when(swap, F.col(r)).otherwise(F.col(l)).alias("a"),
+        F.when(swap, F.col(l)).otherwise(F.col(r)).alias("b"),
+    ]
+    for c in carry:
+        cols.append(F.when(swap, F.col(f"{c}__r")).otherwise(F.col(f"{c}__l")).alias(f"{c}_a"))
+        cols.append(F.when(swap, F.col(f"{c}__l")).otherwise(F.col(f"{c}__r")).alias(f"{c}_b"))
+    return cols
+
+
+def _plain_pairs(x: DataFrame, group: str, item: str, carry: list[str]) -> DataFrame:
+    left = x.select(F.col(group).alias("__g"), F.col(item).alias("__l"), *[F.col(c).alias(f"{c}__l") for c in carry])
+    right = x.select(F.col(group).alias("__g"), F.col(item).alias("__r"), *[F.col(c).alias(f"{c}__r") for c in carry])
+    j = left.join(right, "__g").where(F.col("__l") < F.col("__r"))
+    return j.select(*_orient("__l", "__r", F.col("__g"), group, carry))
+
+
+def _tiled_pairs(base: DataFrame, group: str, item: str, carry: list[str], tile: int) -> DataFrame:
+    x = _sharded(base, group, item, tile)
     left = x.select(
         F.col(group).alias("__g"), F.col("__sh").alias("__i"),
         F.explode(F.sequence(F.col("__sh"), F.col("__s") - 1)).alias("__j"),
@@ -47,16 +77,7 @@ def pair_rows(df: DataFrame, group: str, item: str, carry: list[str] | None = No
     j = left.join(right, ["__g", "__i", "__j"])
     # same shard: keep each unordered pair once; different shards: items differ
     j = j.where((F.col("__i") != F.col("__j")) | (F.col("__l") < F.col("__r")))
-    swap = F.col("__l") > F.col("__r")
-    cols = [
-        F.col("__g").alias(group),
-        F.when(swap, F.col("__r")).otherwise(F.col("__l")).alias("a"),
-        F.when(swap, F.col("__l")).otherwise(F.col("__r")).alias("b"),
-    ]
-    for c in carry:
-        cols.append(F.when(swap, F.col(f"{c}__r")).otherwise(F.col(f"{c}__l")).alias(f"{c}_a"))
-        cols.append(F.when(swap, F.col(f"{c}__l")).otherwise(F.col(f"{c}__r")).alias(f"{c}_b"))
-    return j.select(*cols)
+    return j.select(*_orient("__l", "__r", F.col("__g"), group, carry))
 
 
 def predicted_pairs(df: DataFrame, group: str) -> DataFrame:
