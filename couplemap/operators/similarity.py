@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .cooccurrence import DEFAULT_TILE, pair_rows
 
 
@@ -45,24 +46,28 @@ def _word_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("path", "word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def term_frequency(tokens: DataFrame) -> DataFrame:
+def term_frequency(tokens: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(path, word, tf) with tf = count / tokens of the file."""
-    c = _word_counts(tokens)
+    c = counts if counts is not None else _word_counts(tokens)
     n = c.groupBy("path").agg(F.sum("cnt").alias("n_tokens"))
     return c.join(n, "path").select("path", "word", (F.col("cnt") / F.col("n_tokens")).alias("tf"))
 
 
-def inverse_doc_frequency(tokens: DataFrame, parsed: DataFrame) -> DataFrame:
+def inverse_doc_frequency(tokens: DataFrame, parsed: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(word, df, idf) with idf = ln(N / df); N counts every parsed file, empty
     ones included; no smoothing (a word in every file weighs 0)."""
     n_docs = parsed.select(F.count(F.lit(1))).scalar()
-    df = _word_counts(tokens).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    c = counts if counts is not None else _word_counts(tokens)
+    df = c.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     return df.select("word", "df", F.ln(n_docs / F.col("df")).alias("idf"))
 
 
 def tf_idf(tokens: DataFrame, parsed: DataFrame) -> DataFrame:
-    tf = term_frequency(tokens)
-    idf = inverse_doc_frequency(tokens, parsed)
+    """(path, word, tf, idf, w).  The (path, word) counts are materialised once
+    (far smaller than the token stream), so the text is tokenised once."""
+    counts = cut_lineage(_word_counts(tokens))
+    tf = term_frequency(tokens, counts)
+    idf = inverse_doc_frequency(tokens, parsed, counts)
     return tf.join(idf, "word").select("path", "word", "tf", "idf", (F.col("tf") * F.col("idf")).alias("w"))
 
 
