@@ -104,7 +104,7 @@ def q_scan_files(spark, sf):
 
 @register("scan_sources", O.with_(O.CORPUS) + "SELECT path, length(text) AS n_chars FROM docs")
 def q_scan_sources(spark, sf):
-    return B.corpus(spark, sf).select("path", F.length("text").alias("n_chars"))
+    return B.corpus(spark, sf).select("path", F.length("text").cast("long").alias("n_chars"))
 
 
 # ---- 2.2 projections, filters, scalar functions ------------------------------------------
@@ -197,7 +197,8 @@ def q_filter_routes_by_width(spark, sf):
 @register("extract_identifiers", O.with_(O.CORPUS) + "SELECT path, ipos, ident FROM idents")
 def q_extract_identifiers(spark, sf):
     d = B.corpus(spark, sf)
-    return d.select("path", F.posexplode(T.identifiers(F.col("text"))).alias("ipos", "ident"))
+    ids = d.select("path", F.posexplode(T.identifiers(F.col("text"))).alias("ipos", "ident"))
+    return ids.select("path", F.col("ipos").cast("long").alias("ipos"), "ident")
 
 
 @register("split_identifier", O.with_(O.CORPUS) + """SELECT ident, string_agg(w, ' ' ORDER BY spos, k) AS words FROM (
@@ -465,7 +466,8 @@ fold(n, fs, i, w, h) AS (
   FROM fold WHERE i >= 1),
 dims AS (SELECT n, w, h FROM fold WHERE i = 0)
 SELECT c.label, c.n AS n_buildings, d.w AS grid_w, d.h AS grid_h,
-  d.w * 10.0 + (d.w + 1) * 2.0 AS ground_width, d.h * 10.0 + (d.h + 1) * 2.0 AS ground_length
+  CAST(d.w * 10.0 + (d.w + 1) * 2.0 AS DOUBLE) AS ground_width,
+  CAST(d.h * 10.0 + (d.h + 1) * 2.0 AS DOUBLE) AS ground_length
 FROM cnt c JOIN dims d USING (n)""")
 
 
@@ -480,7 +482,8 @@ def q_city_ground_size(spark, sf):
 
 
 _GRID_CTE = _GRID_SQL[:_GRID_SQL.rindex("SELECT c.label")] + """, ground AS (SELECT c.label, c.n AS n_buildings, d.w AS grid_w, d.h AS grid_h,
-  d.w * 10.0 + (d.w + 1) * 2.0 AS ground_width, d.h * 10.0 + (d.h + 1) * 2.0 AS ground_length
+  CAST(d.w * 10.0 + (d.w + 1) * 2.0 AS DOUBLE) AS ground_width,
+  CAST(d.h * 10.0 + (d.h + 1) * 2.0 AS DOUBLE) AS ground_length
   FROM cnt c JOIN dims d USING (n)),
 pos AS (SELECT c.label, c.x * 200.0 AS pos_x, c.y * 200.0 AS pos_z, g.ground_width, g.ground_length
   FROM cities c JOIN ground g USING (label))
@@ -488,7 +491,7 @@ pos AS (SELECT c.label, c.x * 200.0 AS pos_x, c.y * 200.0 AS pos_z, g.ground_wid
 
 
 @register("building_slots", _GRID_CTE + """SELECT b.label, b.fileName, b.height, b.slot,
-  7.0 + 12.0 * (b.slot % g.grid_w) AS x, 7.0 + 12.0 * (b.slot // g.grid_w) AS z
+  CAST(7.0 + 12.0 * (b.slot % g.grid_w) AS DOUBLE) AS x, CAST(7.0 + 12.0 * (b.slot // g.grid_w) AS DOUBLE) AS z
 FROM (SELECT label, fileName, height, row_number() OVER (PARTITION BY label ORDER BY fileName) - 1 AS slot FROM buildings) b
 JOIN ground g USING (label)""")
 def q_building_slots(spark, sf):
