@@ -31,7 +31,7 @@ def repo_name(url, raise_error: bool = False) -> Column:
     suffix = _last_index(u, ".git")
     end = F.when(suffix == 0, F.length(u) + 1).otherwise(suffix)
     bad = (slash == 0) | (end <= slash)
-    name = F.substring(u, 1, 1 << 30).substr(slash + 1, end - slash - 1)
+    name = u.substr(slash + 1, end - slash - 1)
     if raise_error:
         return F.when(bad, F.raise_error(F.concat(F.lit("Badly formatted url "), u))).otherwise(name)
     return F.when(bad, F.lit(None).cast("string")).otherwise(name)
