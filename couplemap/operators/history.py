@@ -124,12 +124,12 @@ def commit_sizes(mods: DataFrame) -> DataFrame:
 def current_touches(history: History, live: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Modifications whose new path resolves to a current path.
 
-    Output (commit_seq, commit_id, committer_ts, ord, path, n_mods); repeats
-    inside one commit are kept (the commit lists need them)."""
+    Output (commit_seq, ord, path, n_mods, commit_id, committer_ts,
+    committer_tz); repeats inside one commit are kept (the commit lists need them)."""
     mods = history.modifications
     res = resolver(rename_map(mods), live, max_hops).where(F.col("current_path").isNotNull())
     t = mods.join(res, mods.new_path == res.path).select("commit_seq", "ord", F.col("current_path").alias("path"))
-    commits = history.commits.select("commit_seq", "commit_id", "committer_ts")
+    commits = history.commits.select("commit_seq", "commit_id", "committer_ts", "committer_tz")
     return t.join(commit_sizes(mods), "commit_seq").join(commits, "commit_seq")
 
 
@@ -189,12 +189,17 @@ def commit_files_arrays(touches: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def file_dates(touches: DataFrame) -> DataFrame:
-    """First and last commit date of each file, in traversal order (not min/max of dates)."""
+    """First and last commit date of each file, in traversal order (not min/max
+    of dates), with the committer's UTC offset of each when the log has it."""
     key = F.struct("commit_seq", "ord")
-    return touches.groupBy("path").agg(
+    aggs = [
         F.min_by("committer_ts", key).alias("creation_date"),
         F.max_by("committer_ts", key).alias("last_modification"),
-    )
+    ]
+    if "committer_tz" in touches.columns:
+        aggs += [F.min_by("committer_tz", key).alias("creation_tz"),
+                 F.max_by("committer_tz", key).alias("last_modification_tz")]
+    return touches.groupBy("path").agg(*aggs)
 
 
 def history_counts(live: DataFrame, commits: DataFrame) -> DataFrame:
