@@ -7,8 +7,8 @@ commit touches.  So the row principal coordinates are the projections of
 X's rows on its two leading right singular vectors, divided by sqrt(C).
 
 X is never made dense: X v = Z (v / s) - <f, v / s> and
-X^T u = (Z^T u - f sum(u)) / s, each a join of the sparse incidence with a
-distributed vector plus one scalar aggregate.  Block power iteration with
+X^T u = Z^T u / s (the columns of X are centred, so sum(u) = 0), each a
+join of the sparse incidence with a distributed vector.  Block power iteration with
 Gram-Schmidt on the 2 x 2 scale (scalars only on the driver).
 """
 
@@ -43,14 +43,12 @@ def mca(incidence: DataFrame, n_iter: int = 20, seed: int = 0) -> DataFrame:
         o = vs.agg(F.sum(F.col("f") * F.col("w0")), F.sum(F.col("f") * F.col("w1"))).first()
         zu = zc.join(vs.select("commit_seq", "w0", "w1"), "commit_seq").groupBy("path").agg(
             F.sum("w0").alias("a0"), F.sum("w1").alias("a1"))
-        u = cut_lineage(files.join(zu, "path", "left").fillna(0.0).select(
-            "path", (F.col("a0") - o[0]).alias("u0"), (F.col("a1") - o[1]).alias("u1")))
-        # v' = X^T u = (Z^T u - f sum(u)) / s
-        su = u.agg(F.sum("u0"), F.sum("u1")).first()
+        u = files.join(zu, "path", "left").fillna(0.0).select(
+            "path", (F.col("a0") - o[0]).alias("u0"), (F.col("a1") - o[1]).alias("u1"))
+        # v' = X^T u = (Z^T u - f sum(u)) / s, and sum(u) = 0 (X's columns are centred)
         zt = zc.join(u, "path").groupBy("commit_seq").agg(F.sum("u0").alias("t0"), F.sum("u1").alias("t1"))
         vn = cut_lineage(cols.join(zt, "commit_seq", "left").fillna(0.0, subset=["t0", "t1"]).select(
-            "commit_seq", ((F.col("t0") - F.col("f") * su[0]) / F.col("s")).alias("v0"),
-            ((F.col("t1") - F.col("f") * su[1]) / F.col("s")).alias("v1")))
+            "commit_seq", (F.col("t0") / F.col("s")).alias("v0"), (F.col("t1") / F.col("s")).alias("v1")))
         # Gram-Schmidt from one aggregate: |v0|^2, v0.v1, |v1|^2
         g = vn.agg(F.sum(F.col("v0") * F.col("v0")), F.sum(F.col("v0") * F.col("v1")),
                    F.sum(F.col("v1") * F.col("v1"))).first()
