@@ -21,11 +21,14 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     for _ in range(max_rounds):
         nb = both.join(lab.select(F.col("id").alias("src"), F.col("comp").alias("c")), "src") \
             .groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("c"))
-        m = lab.join(nb, "id", "left").select("id", F.least("comp", F.coalesce("c", "comp")).alias("m"))
+        m = lab.join(nb, "id", "left").select(
+            "id", F.col("comp").alias("old"), F.least("comp", F.coalesce("c", "comp")).alias("m"))
         jump = m.select(F.col("id").alias("m"), F.col("m").alias("mm"))
-        new = cut_lineage(m.join(jump, "m", "left").select("id", F.least("m", F.coalesce("mm", "m")).alias("comp")))
-        changed = new.join(lab.select("id", F.col("comp").alias("old")), "id").where(F.col("comp") != F.col("old")).limit(1).count()
-        lab = new
+        # the old label rides along, so the change test reads the written round only
+        new = cut_lineage(m.join(jump, "m", "left").select(
+            "id", F.least("m", F.coalesce("mm", "m")).alias("comp"), "old"))
+        changed = new.where(F.col("comp") != F.col("old")).limit(1).count()
+        lab = new.select("id", "comp")
         if changed == 0:
             return lab
     raise RuntimeError("connected components did not converge")
