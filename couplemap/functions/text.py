@@ -52,7 +52,8 @@ def tokens_from_sources(sources: DataFrame, stem: bool = True, mode: str = "rege
     letters, "ast" parses Python (see ``python_identifiers``).  Files with no
     identifier keep no rows (they still count as parsed files for idf)."""
     if mode == "ast":
-        ids = python_identifiers(sources).where(F.col("ident").isNotNull()).select("path", "ipos", "ident")
+        ids = python_identifiers(sources).where(F.col("parsed") & F.col("ident").isNotNull()) \
+            .select("path", "ipos", "ident")
     elif mode == "regex":
         ids = sources.select("path", F.posexplode(identifiers(F.col("text"))).alias("ipos", "ident"))
     else:
@@ -68,14 +69,20 @@ def parsed_sources(sources: DataFrame, mode: str = "regex") -> DataFrame:
     """The files that count for idf: all of them in regex mode, the ones
     that parse in ast mode."""
     if mode == "ast":
-        return python_identifiers(sources).select("path").distinct()
+        return python_identifiers(sources).where("parsed").select("path").distinct()
     return sources.select("path")
 
 
+def unparsable_sources(sources: DataFrame) -> DataFrame:
+    """Paths of the Python sources that do not parse (left out of the corpus)."""
+    return python_identifiers(sources).where(~F.col("parsed")).select("path").distinct()
+
+
 def python_identifiers(sources: DataFrame) -> DataFrame:
     """AST mode for Python sources: ``Name`` ids plus function and class
-    names (not async defs), in ``ast.walk`` order.  Files that do not parse
-    are skipped, as the reference does; ``parsed`` marks the others.
+    names (not async defs), in ``ast.walk`` order.  A file that does not
+    parse gives one row with ``parsed`` false (the reference skips it and
+    prints its name; here it stays queryable, see ``unparsable_sources``).
 
     Output (path, parsed, ipos, ident); a parsed file without identifiers
     has one row with ipos -1 and NULL ident so that it still counts for idf."""
@@ -88,6 +95,7 @@ def python_identifiers(sources: DataFrame) -> DataFrame:
                 try:
                     root = ast.parse(text or "")
                 except (SyntaxError, ValueError):
+                    out_path.append(path); out_ok.append(False); out_pos.append(-1); out_id.append(None)
                     continue
                 found = []
                 for node in ast.walk(root):

@@ -55,3 +55,4 @@ def test_source_tree_ast_mode(spark, tmp_path):
     toks = sorted((r.path, r.word) for r in T.tokens_from_sources(src, stem=True, mode="ast").collect())
     assert toks == [("pkg/a.py", "bar"), ("pkg/a.py", "foo"), ("pkg/a.py", "x")]
     assert [r.path for r in T.parsed_sources(src, "ast").collect()] == ["pkg/a.py"]
+    assert [r.path for r in T.unparsable_sources(src).collect()] == ["b.py"]
