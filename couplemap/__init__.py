@@ -1,0 +1 @@
+"""couplemap: change-coupling maps on Spark (see README.md)."""

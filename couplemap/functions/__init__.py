@@ -1,0 +1 @@
+"""functions of couplemap."""

@@ -1,0 +1 @@
+"""operators of couplemap."""

@@ -1,0 +1 @@
+"""plans of couplemap."""

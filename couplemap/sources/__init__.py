@@ -1,0 +1 @@
+"""sources of couplemap."""

@@ -1,0 +1,8 @@
+"""Streaming: nothing here on purpose.
+
+The reference reads its whole history before any analysis and has no
+stream, watermark or late-data logic, so no operator of the inventory is a
+streaming one.  A history that grows can be re-run as a batch: the pair,
+height and route tables are sums over commits and can be refreshed per
+partition of new commits with the same operators.
+"""
