@@ -24,5 +24,7 @@ def spark():
     # tests set their own checkpoint folder only where the session has none
     if not sc.getCheckpointDir() and not sc.getConf().get("spark.checkpoint.dir", None):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="couplemap-test-ckpt-"))
+    from couplemap.session import ship_package
+    ship_package(s)  # workers import the package whatever the working folder
     yield s
     s.stop()
