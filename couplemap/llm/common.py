@@ -7,9 +7,12 @@ names of result columns) never clash.
 
 from __future__ import annotations
 
+import base64
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +52,7 @@ def slices(batch: pa.RecordBatch, column: int = 1, limit: int = SLICE_BYTES) ->
     if col.nbytes <= limit:
         yield batch
         return
-    lengths = pa.compute.binary_length(col).to_pylist()
+    lengths = pc.binary_length(col).to_pylist()
     start = size = 0
     for i, n in enumerate(lengths):
         n = n or 0
@@ -83,3 +86,28 @@ class BoundedCache(dict):
     def room(self, wanted: int) -> None:
         if len(self) + wanted > self.limit:
             self.clear()
+
+
+_TWO_SPACES = re.compile("[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+
+
+def chunks(text: str) -> list[str] | None:
+    """Cut a text where the byte-level BPE pattern always cuts: before every
+    space and line break that stands alone.  The first chunk is as it is, a
+    later one that starts with a line break is as it is, any other one lacks
+    its leading space.  None if white space stands next to white space (or
+    rarer kinds occur): the pattern then looks further than one character."""
+    if _TWO_SPACES.search(text):
+        return None
+    return text.replace("\n", " \n").split(" ")
+
+
+def whole(chunk: str) -> str:
+    """The text that a chunk (not the first) stands for."""
+    return chunk if chunk[:1] == "\n" else " " + chunk
+
+
+def read_ranks(path: str) -> list[tuple[bytes, int]]:
+    """(token, rank) of a vocabulary file in tiktoken's form, read on the driver."""
+    with open(path, "rb") as lines:
+        return [(base64.b64decode(token), int(rank)) for token, rank in (line.split() for line in lines if line.strip())]

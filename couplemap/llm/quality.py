@@ -2,9 +2,9 @@
 
 Each line is judged on its own by navigation, symbol, punctuation, stutter,
 shouting and boilerplate rules; failing lines are removed.  A document that loses more
-than ``max_lost`` of its words is rejected, as is one that fails the base
-rules (fewer than ``min_words`` words, or more than ``max_repeat`` of them in
-8-word windows that occur twice or more).
+than ``max_lost`` percent of its words is rejected, as is one that fails the base
+rules (fewer than ``min_words`` words, or more than ``max_repeat`` percent of
+them in 8-word windows that occur twice or more).
 
 All counts cover the whole text.  Windows that may repeat are found by 64-bit
 hashes over a slice of documents at a time; their words are then compared.
@@ -105,7 +105,7 @@ def repeated(split: list[list[bytes]], window: int = WINDOW) -> np.ndarray:
     return out
 
 
-def _judge(max_lost: float, min_words: int, max_repeat: float, with_text: bool):
+def _judge(max_lost: int, min_words: int, max_repeat: int, with_text: bool):
     def fn(batch: pa.RecordBatch):
         bodies = batch.column(1).to_pylist()
         split = [b.split() for b in bodies]
@@ -121,14 +121,14 @@ def _judge(max_lost: float, min_words: int, max_repeat: float, with_text: bool):
             dup_lines.append(len(worded) - len(set(worded)))
             bad = {x for x in set(worded) if line_fault(x)}
             lost = sum(len(x.split()) for x in worded if x in bad) if bad else 0
-            failed = n_words[k] < min_words or n_repeat[k] > max_repeat * n_words[k]
-            kept.append(bool(not failed and lost <= max_lost * n_words[k]))
+            failed = n_words[k] < min_words or 100 * n_repeat[k] > max_repeat * n_words[k]
+            kept.append(bool(not failed and 100 * lost <= max_lost * n_words[k]))
             clean = [x for x in lines if x not in bad] if bad else lines
             lines_in.append(len(lines))
             lines_out.append(len(clean))
             if with_text:
                 texts.append(b"\n".join(clean) if bad else body)
-        failed = (n_words < min_words) | (n_repeat > max_repeat * n_words)
+        failed = (n_words < min_words) | (100 * n_repeat > max_repeat * n_words)
         columns = [batch.column(0), n_words, chars, symbols, dup_lines, n_repeat, lines_in, lines_out]
         names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_lines_kept", "base_failed", "kept"]
         arrays = [columns[0], *(pa.array(c, pa.int64()) for c in columns[1:]), pa.array(failed), pa.array(kept, pa.bool_())]
@@ -144,9 +144,9 @@ def judge_quality(
     documents: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_lost: float = 0.5,
+    max_lost: int = 50,
     min_words: int = 20,
-    max_repeat: float = 0.3,
+    max_repeat: int = 30,
     with_text: bool = True,
     carry: list[str] | None = None,
 ) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode_ids, encode_texts, ship_vocabulary
 from .common import table
 from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
@@ -22,6 +24,13 @@ def register(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@register
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = ship_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = decode_ids(encode_texts(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @register
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), with_text=False)
