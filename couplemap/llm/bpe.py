@@ -107,37 +107,44 @@ class Vocabulary:
             return [whole_piece]
         return PrefixTable(self, text).tokens()
 
-    def _pieces_of(self, text: str) -> bytes:
-        out = []
-        for piece in self.find(text):
-            ids = self._pieces.get(piece)
-            if ids is None:
-                ids = np.array(self.piece(piece.encode()), "<u4").tobytes()
-                self._pieces.room(1)
-                self._pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode pieces in sorted order: each one goes on from the prefix
+        that it shares with the one before."""
+        table = PrefixTable(self)
+        for text in sorted(x.encode() for x in pieces):
+            token = self.ranks.get(text)
+            if token is None:
+                table.restart(text)
+            self._pieces[text.decode()] = np.array(table.tokens() if token is None else [token], "<u4").tobytes()
+
+    def _fresh(self, cache: BoundedCache, wanted: set) -> set:
+        """What of ``wanted`` the cache lacks, after making room for it."""
+        new = {x for x in wanted if x not in cache}
+        if len(cache) + len(new) > cache.limit:
+            cache.clear()
+            return wanted
+        return new
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, as little-endian unsigned 32-bit integers."""
+        cuts = [chunks(text) for text in texts]
+        # the first chunk of a text has no space before it: it is cut into pieces like a text of its own
+        loose = {text if cut is None else cut[0] for text, cut in zip(texts, cuts)}
+        loose = {text: self.find(text) for text in loose}
+        new = self._fresh(self._chunks, {chunk for cut in cuts if cut for chunk in cut[1:]})
+        new_chunks = {chunk: self.find(whole(chunk)) for chunk in new}
+        self._learn(self._fresh(self._pieces, {p for found in (loose, new_chunks) for pieces in found.values() for p in pieces}))
+        piece = self._pieces.__getitem__
+        for chunk, pieces in new_chunks.items():
+            self._chunks[chunk] = b"".join(map(piece, pieces))
+        known = self._chunks.__getitem__
+        return [
+            b"".join(map(piece, loose[text])) if cut is None else b"".join([*map(piece, loose[cut[0]]), *map(known, cut[1:])])
+            for text, cut in zip(texts, cuts)
+        ]
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text, as little-endian unsigned 32-bit integers."""
-        cut = chunks(text)
-        if cut is None:
-            return self._pieces_of(text)
-        known = self._chunks
-        head = self._pieces_of(cut[0])
-        del cut[0]
-        ids = list(map(known.get, cut))
-        if None in ids:
-            for k, x in enumerate(ids):
-                if x is None:
-                    chunk = cut[k]
-                    x = known.get(chunk)
-                    if x is None:
-                        x = self._pieces_of(whole(chunk))
-                        known.room(1)
-                        known[chunk] = x
-                    ids[k] = x
-        return head + b"".join(ids)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -172,6 +179,15 @@ class PrefixTable:
             else:
                 raise ValueError("the vocabulary lacks a byte")
 
+    def restart(self, text: bytes) -> None:
+        """Another text; the entries of the prefix shared with the old one stay."""
+        same, end = 0, min(len(text), len(self.text))
+        while same < end and text[same] == self.text[same]:
+            same += 1
+        self.text = text
+        del self.last[same:]
+        self._fill(len(text))
+
     def append(self, more: bytes) -> None:
         self.text += more
         self._fill(len(self.text))
@@ -225,7 +241,7 @@ def encode_texts(documents: DataFrame, shipped, id_col: str = "doc_id", text_col
 
     def fn(batch: pa.RecordBatch):
         vocabulary = _vocabulary(shipped)
-        ids = [vocabulary.encode(text) for text in batch.column(1).to_pylist()]
+        ids = vocabulary.encode_all(batch.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
 

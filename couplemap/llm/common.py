@@ -88,7 +88,8 @@ class BoundedCache(dict):
             self.clear()
 
 
-_TWO_SPACES = re.compile("[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_RARE_SPACES = "\t\r\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_TWO_SPACES = re.compile(f"[ \n][ \n]|[{_RARE_SPACES}]")
 
 
 def chunks(text: str) -> list[str] | None:

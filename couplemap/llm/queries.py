@@ -15,6 +15,7 @@ from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
 from .oracle import SQL  # noqa: F401
 from .quality import judge_quality
+from .token_counts import count_tokens, ship_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -39,6 +40,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@register
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = count_tokens(table(spark, sf_dir, "documents"), ship_file(spark, public_tokenizers.path("byte_bpe_50k.json")))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 @register
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_quality(table(spark, sf_dir, "documents"), with_text=False)
