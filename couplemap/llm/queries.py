@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .bpe import decode_ids, encode_texts, ship_vocabulary
 from .common import table
 from .decontaminate import decontaminate
+from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
 from .oracle import SQL  # noqa: F401
 from .quality import judge_quality
@@ -57,3 +58,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_components(table(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("id", "doc_id")
