@@ -16,6 +16,7 @@ from .decontaminate import decontaminate
 from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
 from .oracle import SQL  # noqa: F401
+from .pii import KINDS, find_pii, span_text
 from .quality import judge_quality
 from .token_counts import count_tokens, ship_file
 
@@ -42,6 +43,15 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@register
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(table(spark, sf_dir, "documents"), sanitise=False)
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(span_text(KINDS).cast("binary"), 256).alias("base_sha256"),
+        span_text([*KINDS, "term"]).alias("spans"))
+
+
 @register
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = count_tokens(table(spark, sf_dir, "documents"), ship_file(spark, public_tokenizers.path("byte_bpe_50k.json")))
