@@ -112,3 +112,22 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
     """(token, rank) of a vocabulary file in tiktoken's form, read on the driver."""
     with open(path, "rb") as lines:
         return [(base64.b64decode(token), int(rank)) for token, rank in (line.split() for line in lines if line.strip())]
+
+
+#: Rows of one key that a join leaves together.
+KEY_ROWS = 1 << 18
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, spread: str, key_rows: int = KEY_ROWS) -> DataFrame:
+    """Left join with a ``right`` that holds each key once.  Keys with more
+    than ``key_rows`` left rows (at most rows / key_rows of them, so a short
+    list) are dealt over copies of their right row, by a hash of ``spread``."""
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > key_rows)
+    hot = {r[key]: -(-r["n"] // key_rows) for r in counts.collect() if r[key] is not None}
+    if not hot:
+        return left.join(right, key, "left")
+    copies = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
+    n = F.coalesce(F.try_element_at(copies, F.col(key)), F.lit(1))
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(spread), n).cast("int"))
+    copied = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), n - 1)))
+    return salted.join(copied, [key, "__salt"], "left").drop("__salt")
