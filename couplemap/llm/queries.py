@@ -19,6 +19,7 @@ from .oracle import SQL  # noqa: F401
 from .pii import KINDS, find_pii, span_text
 from .quality import judge_quality
 from .token_counts import count_tokens, ship_file
+from .toxicity import score_chain, train_chain
 from .url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,16 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@register
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = train_chain(documents, table(spark, sf_dir, "labels"), [("quality", 0), ("toxic", 1)])
+    out = score_chain(documents, model)
+    return out.select(
+        F.col("id").alias("doc_id"), F.round(F.col("p")[0], 6).alias("p_low_quality"), F.round(F.col("p")[1], 6).alias("p_toxic"),
+        F.col("positive")[0].alias("low_quality"), F.col("positive")[1].alias("toxic"))
+
+
 @register
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(table(spark, sf_dir, "documents"), sanitise=False)

@@ -8,9 +8,9 @@ odds of host words and path tokens.
 * Unigram counts come from the words of all pages.  Only the substrings of
   host names are joined with them, so each name brings its own small table to
   the Viterbi step, however large the vocabulary is.
-* Naive Bayes learns from the pages that a rule decides and, for either
-  verdict, from made-up pages of average tokens, as many as rules block; those
-  for ``block`` hold one of ``seed_words`` besides.  Counts are taken per distinct host and per
+* Naive Bayes learns, for either verdict, from the pages that a rule gives it
+  (weighted to be as many for both) and from as many made-up pages of average
+  tokens; those for ``block`` hold one of ``seed_words`` besides.  Counts are taken per distinct host and per
   distinct path form first, so a host with a third of all pages is one row.
 
 Definitions.  A null url, or one without ``://``, has empty host and path;
@@ -119,11 +119,11 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host_tokens = cut_lineage(skew_join(named, split, "name", "host").select("host", F.explode("words").alias("token")))
     form_tokens = _tokens(forms, "form", F.split("form", " ")).withColumnRenamed("name", "token")
 
-    pages_of = hosts.agg(F.coalesce(F.sum("block"), F.lit(0)).alias("block"), F.coalesce(F.sum("every"), F.lit(0)).alias("every")).first()
-    made_up = float(max(len(seed_words), pages_of["block"]))
+    pages_of = hosts.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("allow", "block", "every")]).first()
+    made_up = float(max(len(seed_words), pages_of["allow"], pages_of["block"]))
     seen = host_tokens.join(hosts, "host").select("token", "allow", "block", "every").union(form_tokens.join(forms, "form").select("token", "allow", "block", "every"))
-    average = F.sum("every") * F.lit(made_up / max(1, pages_of["every"]))
-    seen = seen.groupBy("token").agg((F.sum("allow") + average).alias("allow"), (F.sum("block") + average).alias("block"))
+    share = {x: F.sum(x) * F.lit(made_up / max(1, pages_of[x])) for x in ("allow", "block", "every")}
+    seen = seen.groupBy("token").agg(*[(share[x] + share["every"]).alias(x) for x in ("allow", "block")])
     seeds = spark.createDataFrame([(w, 0.0, made_up / len(seed_words)) for w in seed_words], "token string, allow double, block double")
     counts = cut_lineage(seen.union(seeds).groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")))
     size = counts.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"), F.count(F.lit(1)).alias("n")).first()
