@@ -7,8 +7,8 @@ Jaccard similarity reaches the threshold.
 1. The global order of shingles (by hash) is cut into fragments of about
    ``FRAGMENT`` shingles.  Every class sends each fragment its segment of
    shingles, packed.  A fragment counts in how many classes each of its
-   shingles occurs and returns the shared ones per class; the partial counts
-   are summed per class.  A class whose shared shingles are fewer than the
+   shingles occurs and returns the shared ones by class, packed per bucket of
+   classes; the partial counts are summed per class.  A class whose shared shingles are fewer than the
    threshold's part of its set can have no link and leaves.
    Shingles in more than ``HOT`` of all classes (a list of bounded length)
    are known from the first pass.  Their segments are dealt by class, so a
@@ -49,6 +49,7 @@ from .common import BoundedCache, id_and_bytes, map_slices
 SHINGLE = 5
 THRESHOLD = 80  # percent
 FRAGMENT = 4 << 20
+BUCKET = 1 << 14  # classes whose shared shingles are gathered together
 HOT = 1000  # a hot shingle is in more than one class in so many
 HOT_LEAST = 4096
 COUNT_FRAGMENTS = 8
@@ -148,61 +149,76 @@ def _segments(width: int, fragments: int, hot):
     return fn
 
 
-def _shared(fragments: int, hot):
-    """The shingles of one fragment that two classes or more hold, per class."""
-
-    def fn(key, frame: pd.DataFrame) -> pd.DataFrame:
-        read = lambda name, kind: np.frombuffer(b"".join(frame[name]), kind)
-        tokens, counts = read("tokens", np.uint64), read("counts", "<i4")
-        classes, sizes = np.repeat(read("keys", np.int64), counts), np.repeat(read("sizes", np.int64), counts)
-        if int(key[0]) < fragments:
+def _pack(tokens: np.ndarray, dfs: np.ndarray, classes: np.ndarray, sizes: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Class segments, one packed row per bucket of classes."""
+    bucket = classes % buckets
+    order = np.lexsort((classes, bucket))
+    tokens, dfs, classes, sizes, bucket = tokens[order], dfs[order], classes[order], sizes[order], bucket[order]
+    rows = []
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], len(bucket))):
+        inner = np.flatnonzero(np.append(True, classes[a + 1:b] != classes[a:b - 1]))
+        rows.append((int(bucket[a]), classes[a:b][inner].tobytes(), sizes[a:b][inner].tobytes(), np.diff(inner, append=b - a).astype("<i4").tobytes(), tokens[a:b].tobytes(), dfs[a:b].astype("<i8").tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "keys", "sizes", "counts", "tokens", "dfs"]).astype({"bucket": "int32"})
+
+
+def _shared(fragments: int, buckets: int, hot):
+    """The shingles of one fragment that two classes or more hold, by class."""
+
+    def fn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        part = int(key[0])
+        keys, sizes, counts = (np.frombuffer(b"".join(frame[c]), t) for c, t in (("keys", np.int64), ("sizes", np.int64), ("counts", "<i4")))
+        tokens = np.frombuffer(b"".join(frame["tokens"]), np.uint64)
+        segment = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
+        if part < fragments:
             order = np.argsort(tokens, kind="stable")
             sort = tokens[order]
-            same = sort[1:] == sort[:-1]
             again = np.zeros(len(sort), bool)
-            again[1:] |= same
-            again[:-1] |= same
-            order = order[again]
-            tokens, classes, sizes = tokens[order], classes[order], sizes[order]
+            again[1:] = sort[1:] == sort[:-1]
+            again[:-1] |= again[1:]
+            tokens, segment = sort[again], segment[order[again]]
+            del order, sort
+        classes = keys[segment]
         order = np.lexsort((classes, tokens))  # a class may come from several tasks
-        tokens, classes, sizes = tokens[order], classes[order], sizes[order]
-        if len(tokens):
-            new = np.ones(len(tokens), bool)
-            new[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
-            tokens, classes, sizes = tokens[new], classes[new], sizes[new]
-        starts = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] + np.uint64(1))) if len(tokens) else np.zeros(0, np.int64)
+        tokens, classes, sizes = tokens[order], classes[order], sizes[segment[order]]
+        new = np.ones(len(tokens), bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
+        tokens, classes, sizes = tokens[new], classes[new], sizes[new]
+        if part >= fragments:
+            hot_tokens, hot_df = hot.value
+            return _pack(tokens, hot_df[np.searchsorted(hot_tokens, tokens)], classes, sizes, buckets)
+        starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
         times = np.diff(starts, append=len(tokens))
         df = np.repeat(times, times)
-        if int(key[0]) >= fragments:
-            hot_tokens, hot_df = hot.value
-            df = hot_df[np.searchsorted(hot_tokens, tokens)]
-        else:
-            keep = df > 1
-            tokens, classes, sizes, df = tokens[keep], classes[keep], sizes[keep], df[keep]
-        order = np.argsort(classes, kind="stable")
-        tokens, classes, sizes, df = tokens[order], classes[order], sizes[order], df[order].astype("<i8")
-        cuts = np.flatnonzero(np.append(True, classes[1:] != classes[:-1])) if len(classes) else np.zeros(0, np.int64)
+        keep = df > 1
+        return _pack(tokens[keep], df[keep], classes[keep], sizes[keep], buckets)
+
+    return fn
+
+
+def _gather(threshold: int):
+    """All shared shingles of a bucket's classes, rarest first, of those
+    classes that share enough of them; with their mean count."""
+
+    def fn(frame: pd.DataFrame) -> pd.DataFrame:
+        read = lambda name, kind: np.frombuffer(b"".join(frame[name]), kind)
+        counts = read("counts", "<i4")
+        classes, sizes = np.repeat(read("keys", np.int64), counts), np.repeat(read("sizes", np.int64), counts)
+        tokens, dfs = read("tokens", np.int64), read("dfs", "<i8")
+        order = np.lexsort((tokens, dfs, classes))
+        classes, sizes, tokens, dfs = classes[order], sizes[order], tokens[order], dfs[order]
+        cuts = np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))
         ends = np.append(cuts[1:], len(classes))
+        enough = 100 * (ends - cuts) >= threshold * sizes[cuts]
+        cuts, ends = cuts[enough], ends[enough]
         return pd.DataFrame({
-            "key": classes[cuts], "n": sizes[cuts], "shared": (ends - cuts).astype(np.int64)[:len(cuts)],
-            "tokens": pd.Series([tokens[a:b].tobytes() for a, b in zip(cuts, ends)], dtype=object),
-            "dfs": pd.Series([df[a:b].tobytes() for a, b in zip(cuts, ends)], dtype=object),
+            "key": classes[cuts], "tokens": pd.Series([tokens[a:b] for a, b in zip(cuts, ends)], dtype=object),
+            "score": [float(dfs[a:b].sum()) / float(sizes[a]) for a, b in zip(cuts, ends)], "n": sizes[cuts], "shared": (ends - cuts).astype(np.int64),
         })
 
     return fn
 
 
-def _ordered(batch: pa.RecordBatch):
-    """Per class its shared shingles, rarest first, and their mean df."""
-    tokens, score = [], []
-    for blobs, dfs, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-        t, d = np.frombuffer(b"".join(blobs), np.int64), np.frombuffer(b"".join(dfs), "<i8")
-        tokens.append(t[np.lexsort((t, d))])
-        score.append(float(d.sum()) / n)
-    kind = pa.list_(pa.int64())
-    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, kind), pa.array(score, pa.float64()), batch.column(3), batch.column(4)], names=["key", "tokens", "score", "n", "shared"])
-
-
 # ---- pairs -----------------------------------------------------------------------------
 
 def _may_link(a: str, b: str, threshold: int) -> Column:
@@ -252,12 +268,9 @@ def class_components(documents: DataFrame, sets: DataFrame, hot_rows: DataFrame,
     hot = spark.sparkContext.broadcast((tokens[order], frequent["df"].to_numpy(np.int64)[order]))
 
     segments = map_slices(id_and_bytes(documents, id_col, text_col), _segments(width, fragments, hot), "part int, keys binary, sizes binary, counts binary, tokens binary")
-    shared = segments.groupBy("part").applyInPandas(_shared(fragments, hot), "key long, n long, shared long, tokens binary, dfs binary")
-    grouped = (
-        shared.groupBy("key").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("dfs").alias("dfs"), F.max("n").alias("n"), F.sum("shared").alias("shared"))
-        .where(100 * F.col("shared") >= threshold * F.col("n"))
-    )
-    left = cut_lineage(map_slices(grouped, _ordered, "key long, tokens array<long>, score double, n long, shared long"))
+    buckets = max(spark.sparkContext.defaultParallelism, math.ceil(size["docs"] / BUCKET))
+    shared = segments.groupBy("part").applyInPandas(_shared(fragments, buckets, hot), "bucket int, keys binary, sizes binary, counts binary, tokens binary, dfs binary")
+    left = cut_lineage(shared.groupBy("bucket").applyInPandas(_gather(threshold), "key long, tokens array<long>, score double, n long, shared long"))
 
     # prefix: all but the last ceil(threshold * n) shingles, and one more; the unshared ones come first and match nothing
     prefix = F.col("shared") - F.ceil(F.col("n") * F.lit(threshold) / F.lit(100)).cast("long") + 1
