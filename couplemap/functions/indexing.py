@@ -1,11 +1,11 @@
 """Dense positions without funnelling rows through one task.
 
 ``row_number().over(Window.orderBy(...))`` moves every row into a single
-partition.  These helpers range-partition instead, count rows per partition
-(a table with one row per partition, so its size is bounded by the
-partition count and safe to broadcast) and add the prefix offset.
-The order columns must make rows unique, so every evaluation gives the same
-positions (recomputation after an executor loss included).
+partition.  These helpers range-partition and sort instead, and write the
+result once, with each row's partition and its place in it.  The per-partition
+counts (one row per partition) come from the written table and are added to
+the rows of the same table, so counts and rows belong together however often
+they are read.  Rows that tie in the order columns get different positions.
 """
 
 from __future__ import annotations
@@ -13,31 +13,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _PID = "__pid"
 _MID = "__mid"
 
 
-def with_global_index(df: DataFrame, order: list, name: str = "idx", start: int = 0,
-                      num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 0-based (or ``start``-based) rank of each row by ``order``."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
+def _placed(df: DataFrame, order: list, num_partitions: int | None) -> DataFrame:
+    """The rows in order, written with partition number and place."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn(_PID, F.spark_partition_id())
-        .withColumn(_MID, F.monotonically_increasing_id())
+        .withColumn(_MID, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    counts = ordered.groupBy(_PID).agg(F.count(F.lit(1)).alias("__cnt"))
-    # one row per partition: bounded by n, so the window and broadcast are safe
-    offsets = counts.select(
-        _PID,
-        (F.sum("__cnt").over(Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1))).alias("__off"),
-    ).fillna(0, subset=["__off"])
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
+
+
+def with_global_index(df: DataFrame, order: list, name: str = "idx", start: int = 0,
+                      num_partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = 0-based (or ``start``-based) rank of each row by ``order``."""
+    rows = _placed(df, order, num_partitions)
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition, so one task for the window and a broadcast are safe
+    offsets = rows.groupBy(_PID).agg(F.count(F.lit(1)).alias("__cnt")).select(
+        _PID, F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"))
     return (
-        ordered.join(F.broadcast(offsets), _PID)
-        .withColumn(name, F.col("__off") + local + F.lit(start))
+        rows.join(F.broadcast(offsets), _PID)
+        .withColumn(name, F.col("__off") + F.col(_MID) + F.lit(start))
         .drop(_PID, _MID, "__off")
     )
 
@@ -46,16 +49,27 @@ def with_group_index(df: DataFrame, group: list, order: list, name: str = "idx",
                      start: int = 0) -> DataFrame:
     """Add ``name`` = rank of each row inside its group, by ``order``.
 
-    A group holding a third of all rows is still spread over many tasks:
-    the global index is computed on (group, order) and each group's first
-    index (a partial aggregate) is subtracted.
-    """
-    g = with_global_index(df, list(group) + list(order), name="__g")
-    first = g.groupBy(*group).agg(F.min("__g").alias("__g0"))
+    A group holding a third of all rows stays spread over its range
+    partitions: rows are numbered inside (partition, group), and a group that
+    goes on from earlier partitions adds their counts.  At most one group
+    crosses each partition boundary, so these offsets are a short list."""
+    rows = _placed(df, list(group) + list(order), None)
+    keys = [f"__k{i}" for i in range(len(group))]
+    rows = rows.withColumns({k: F.col(g) if isinstance(g, str) else g for k, g in zip(keys, group)})
+    earlier = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        rows.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias("__cnt"))
+        .select(F.col(_PID).alias("__p"), *[F.col(k).alias(f"_{k}") for k in keys], F.sum("__cnt").over(earlier).alias("__off"))
+        .where(F.col("__off") > 0)
+    )
+    same = F.col(_PID) == F.col("__p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    inside = F.row_number().over(Window.partitionBy(_PID, *keys).orderBy(_MID))
     return (
-        g.join(first, list(group))
-        .withColumn(name, F.col("__g") - F.col("__g0") + F.lit(start))
-        .drop("__g", "__g0")
+        rows.withColumn("__r", inside).join(F.broadcast(offsets), same, "left")
+        .withColumn(name, (F.col("__r") - 1 + F.coalesce("__off", F.lit(0)) + F.lit(start)).cast("long"))
+        .drop(_PID, _MID, "__r", "__p", "__off", *keys, *[f"_{k}" for k in keys])
     )
 
 
