@@ -10,23 +10,26 @@ from pyspark.sql.types import StringType
 
 from . import porter
 
-IDENT_RE = r"[A-Za-z_]+"
+IDENT_RE = r"[\p{L}_][\p{L}\p{N}_]*"
 # Fixed value of the reference: camelCase boundaries (lower->Upper, and before
 # the last capital of an acronym followed by a lower-case letter).
 CAMEL_RE = r".+?(?:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|$)"
 
 
 def identifiers(text: Column) -> Column:
-    """Regex mode: every run of letters and underscores, in text order."""
+    """Regex mode: every run of letters (of any script), digits and underscores
+    that does not start with a digit, in text order."""
     return F.regexp_extract_all(text, F.lit(IDENT_RE), 0)
 
 
 def split_identifier(word: Column) -> Column:
     """snake_case split on '_', then camelCase split of each piece; empty
-    pieces vanish (``__init__`` -> [init])."""
+    pieces vanish (``__init__`` -> [init]).  The look-around pattern only
+    runs on words that hold an underscore or a capital after a letter."""
     pieces = F.split(word, "_")
     camel = F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(CAMEL_RE), 0))
-    return F.filter(F.flatten(camel), lambda x: F.length(x) > 0)
+    split = F.filter(F.flatten(camel), lambda x: F.length(x) > 0)
+    return F.when(word.rlike("_|[A-Za-z][A-Z]|^$"), split).otherwise(F.array(word))
 
 
 def lower_words(words: Column) -> Column:

@@ -19,13 +19,13 @@ from ..neighbors import radius_pairs
 THRESHOLD = 1.0  # fixed value of the reference
 
 
-def ward(points: DataFrame, threshold: float = THRESHOLD, vec: str = "v", max_rounds: int = 10000) -> DataFrame:
+def ward(points: DataFrame, threshold: float = THRESHOLD, vec: str = "v") -> DataFrame:
     """points(path, v) -> (path, label)."""
     ids = cut_lineage(with_global_index(points.select("path", F.col(vec).cast("array<double>").alias("v")),
                                         [F.col("path")], name="id"))
     cl = ids.select(F.col("id").alias("cid"), F.lit(1).cast("long").alias("n"), "v")
     assign = ids.select("id", F.col("id").alias("cid"))
-    for _ in range(max_rounds):
+    while True:  # every round merges a pair at least, or ends
         cand = radius_pairs(cl.select(F.col("cid").alias("path"), "v"), threshold, strict=True)
         sz = cl.select(F.col("cid"), "n")
         c = cand.join(sz.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a") \

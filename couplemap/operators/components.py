@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """vertices(id), edges(src, dst) -> (id, component) with component = the
     smallest id of the component.  Ids must be comparable (long or string)."""
     lab = cut_lineage(vertices.select("id").distinct().select("id", F.col("id").alias("comp")))
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = cut_lineage(both.where(F.col("src") != F.col("dst")).distinct())
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so the rounds end
         nb = both.join(lab.select(F.col("id").alias("src"), F.col("comp").alias("c")), "src") \
             .groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("c"))
         m = lab.join(nb, "id", "left").select(
@@ -31,4 +31,3 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
         lab = new.select("id", "comp")
         if changed == 0:
             return lab
-    raise RuntimeError("connected components did not converge")

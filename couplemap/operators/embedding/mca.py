@@ -23,8 +23,10 @@ from ...session import cut_lineage
 N_COMPONENTS = 2
 
 
-def mca(incidence: DataFrame, n_iter: int = 20, seed: int = 0) -> DataFrame:
-    """incidence(path, commit_seq) -> (path, x, y)."""
+def mca(incidence: DataFrame, tolerance: float = 1e-4, max_iter: int = 500, seed: int = 0) -> DataFrame:
+    """incidence(path, commit_seq) -> (path, x, y).  The power iteration ends
+    when neither singular value changes by more than ``tolerance`` of itself,
+    and fails when that takes more than ``max_iter`` rounds."""
     files = incidence.select("path").distinct()
     n = files.count()
     cols = incidence.groupBy("commit_seq").agg(F.count(F.lit(1)).alias("nk"))
@@ -36,7 +38,8 @@ def mca(incidence: DataFrame, n_iter: int = 20, seed: int = 0) -> DataFrame:
     h = lambda tag: (F.pmod(F.xxhash64("commit_seq", F.lit(seed), F.lit(tag)), F.lit(1 << 20)) / float(1 << 20)) - 0.5
     v = cut_lineage(cols.select("commit_seq", h("a").alias("v0"), h("b").alias("v1")))
     zc = cut_lineage(z.join(cols, "commit_seq").select("path", "commit_seq"))
-    for _ in range(n_iter):
+    before = (0.0, 0.0)
+    for _ in range(max_iter):
         # u = X v = Z (v / s) - <f, v / s>
         vs = v.join(cols, "commit_seq").select("commit_seq", (F.col("v0") / F.col("s")).alias("w0"),
                                                (F.col("v1") / F.col("s")).alias("w1"), "f")
@@ -56,6 +59,12 @@ def mca(incidence: DataFrame, n_iter: int = 20, seed: int = 0) -> DataFrame:
         a = g[1] / (n0 * n0)
         n1 = float(np.sqrt(max(g[2] - 2 * a * g[1] + a * a * g[0], 0.0))) or 1.0
         v = vn.select("commit_seq", (F.col("v0") / n0).alias("v0"), ((F.col("v1") - a * F.col("v0")) / n1).alias("v1"))
+        done = all(abs(now - old) <= tolerance * now for now, old in zip((n0, n1), before))
+        before = (n0, n1)
+        if done:
+            break
+    else:
+        raise RuntimeError(f"MCA did not converge in {max_iter} rounds")
     vs = v.join(cols, "commit_seq").select("commit_seq", (F.col("v0") / F.col("s")).alias("w0"),
                                            (F.col("v1") / F.col("s")).alias("w1"), "f")
     off = vs.agg(F.sum(F.col("f") * F.col("w0")), F.sum(F.col("f") * F.col("w1"))).first()

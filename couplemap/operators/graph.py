@@ -42,9 +42,9 @@ def city_buildings(clusters: DataFrame, heights: DataFrame) -> DataFrame:
 
 
 def cluster_members(clusters: DataFrame) -> DataFrame:
-    """(label, size, first_path): the member lists themselves are the long
-    clusters table sorted by (label, path)."""
-    return clusters.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("path").alias("first_path"))
+    """(label, path): the members of every cluster, long (a cluster may hold
+    a third of all files, so its members are not gathered into one row)."""
+    return clusters.select("label", "path").distinct()
 
 
 def centroids(embedding: DataFrame, clusters: DataFrame) -> DataFrame:

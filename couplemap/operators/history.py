@@ -23,13 +23,15 @@ def live_files(files: DataFrame, forbidden=None) -> DataFrame:
 
 
 def live_files_from_modifications(mods: DataFrame) -> DataFrame:
-    """Paths whose last event (in traversal order) created or changed them."""
+    """Paths whose last commit (in traversal order) created or changed them.
+    Inside one commit deaths come before births, so two files that swap their
+    names in a commit both live on."""
     born = mods.where(F.col("new_path").isNotNull()).select(
-        F.col("new_path").alias("path"), "commit_seq", "ord", F.lit(True).alias("alive"))
+        F.col("new_path").alias("path"), "commit_seq", F.lit(True).alias("alive"))
     gone = mods.where(F.col("old_path").isNotNull() & ~F.col("old_path").eqNullSafe(F.col("new_path"))).select(
-        F.col("old_path").alias("path"), "commit_seq", "ord", F.lit(False).alias("alive"))
+        F.col("old_path").alias("path"), "commit_seq", F.lit(False).alias("alive"))
     ev = born.unionByName(gone)
-    last = ev.groupBy("path").agg(F.max_by("alive", F.struct("commit_seq", "ord", "alive")).alias("alive"))
+    last = ev.groupBy("path").agg(F.max_by("alive", F.struct("commit_seq", "alive")).alias("alive"))
     return last.where("alive").select("path")
 
 
@@ -146,22 +148,6 @@ def incidence_long(touches: DataFrame) -> DataFrame:
     return touches.select("path", "commit_seq").distinct()
 
 
-def incidence_wide(incidence: DataFrame, commits: DataFrame, max_columns: int = 10000) -> DataFrame:
-    """The dense matrix (one column per commit, zero columns kept).
-
-    Only for small histories: the column list is collected to the driver, so
-    the commit count is checked first."""
-    n = commits.count()
-    if n > max_columns:
-        raise ValueError(f"{n} commits exceed the {max_columns} columns of a wide incidence table")
-    cols = [r[0] for r in commits.select("commit_id").orderBy("commit_seq").collect()]
-    wide = (
-        incidence.join(commits.select("commit_seq", "commit_id"), "commit_seq")
-        .groupBy("path").pivot("commit_id", cols).agg(F.max(F.lit(1)))
-    )
-    return wide.fillna(0)
-
-
 def file_heights(incidence: DataFrame) -> DataFrame:
     """Commits per file (the row sums of the matrix)."""
     return incidence.groupBy("path").agg(F.count(F.lit(1)).alias("height"))

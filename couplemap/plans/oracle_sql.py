@@ -71,7 +71,7 @@ CORPUS = r"""
 docs AS (SELECT concat('doc_', CAST(doc_id AS VARCHAR)) AS path, text FROM documents),
 idents AS (SELECT path, i - 1 AS ipos, ids[i] AS ident
            FROM (SELECT path, ids, unnest(generate_series(1, len(ids))) AS i
-                 FROM (SELECT path, regexp_extract_all(text, '[A-Za-z_]+') AS ids FROM docs))),
+                 FROM (SELECT path, regexp_extract_all(text, '[\p{L}_][\p{L}\p{N}_]*') AS ids FROM docs))),
 pieces AS (SELECT path, ipos, ident, p - 1 AS spos, sp[p] AS piece
            FROM (SELECT path, ipos, ident, sp, unnest(generate_series(1, len(sp))) AS p
                  FROM (SELECT path, ipos, ident, string_split(ident, '_') AS sp FROM idents))),

@@ -88,18 +88,38 @@ def register(name: str, sql: str | None = None):
 
 @register("scan_commits", O.hist(f"SELECT commit_seq, commit_id, strftime(committer_ts, {O.TS}) AS committer_ts FROM commits"))
 def q_scan_commits(spark, sf):
-    c = B.events_history(spark, sf).commits
-    return c.select("commit_seq", "commit_id", ts("committer_ts").alias("committer_ts"))
+    from ..sources.history import scan_commits
+    folder = _scratch(spark, "commits")
+    B.events_history(spark, sf).commits.write.parquet(folder)
+    return scan_commits(spark, folder).select("commit_seq", "commit_id", ts("committer_ts").alias("committer_ts"))
 
 
 @register("scan_modifications", O.hist("SELECT commit_seq, ord, old_path, new_path FROM mods"))
 def q_scan_modifications(spark, sf):
-    return B.events_history(spark, sf).modifications
+    from ..sources.history import scan_modifications
+    folder = _scratch(spark, "modifications")
+    B.events_history(spark, sf).modifications.write.parquet(folder)
+    return scan_modifications(spark, folder)
+
+
+@register("scan_modifications_nested", O.hist("""SELECT commit_seq, row_number() OVER (PARTITION BY commit_seq ORDER BY ord) - 1 AS ord,
+  old_path, new_path FROM mods"""))
+def q_scan_modifications_nested(spark, sf):
+    from ..sources.history import scan_modifications
+    folder = _scratch(spark, "nested")
+    mods = F.sort_array(F.collect_list(F.struct("ord", "old_path", "new_path")))
+    B.events_history(spark, sf).modifications.groupBy("commit_seq").agg(
+        F.transform(mods, lambda m: F.struct(m["old_path"].alias("old_path"), m["new_path"].alias("new_path"))).alias("modified_files")
+    ).write.json(folder)
+    return scan_modifications(spark, folder, fmt="json")
 
 
 @register("scan_files", O.hist("SELECT path FROM files"))
 def q_scan_files(spark, sf):
-    return B.events_history(spark, sf).files
+    from ..sources.history import scan_files
+    folder = _scratch(spark, "files")
+    B.events_history(spark, sf).files.write.parquet(folder)
+    return scan_files(spark, folder)
 
 
 @register("scan_sources", O.with_(O.CORPUS) + "SELECT path, length(text) AS n_chars FROM docs")
@@ -155,6 +175,31 @@ def q_normalize_url(spark, sf):
     return B.urls(spark, sf).select("page_id", U.normalize_url("url").alias("url"))
 
 
+# the tables' urls hold neither ``.git`` nor backslashes: these put them in
+_GIT_URL = "CASE WHEN page_id % 3 = 0 THEN concat(regexp_replace(url, '[?#].*$', ''), '.git') WHEN page_id % 3 = 1 THEN concat(url, '.git/x') ELSE url END"
+
+
+@register("normalize_git_url", rf"SELECT page_id, regexp_replace({_GIT_URL}, '\.git$', '') AS url FROM pages")
+def q_normalize_git_url(spark, sf):
+    return B.urls(spark, sf).withColumn("url", F.expr(_GIT_URL)).select("page_id", U.normalize_url("url").alias("url"))
+
+
+@register("normalize_backslash_path", r"SELECT page_id, replace(replace(url, '/e', '\e'), '\', '/') AS path FROM pages")
+def q_normalize_backslash_path(spark, sf):
+    p = B.urls(spark, sf).withColumn("url", F.replace("url", F.lit("/e"), F.lit("\\e")))
+    return p.select("page_id", P.normalize_path("url").alias("path"))
+
+
+@register("split_code_identifier", """SELECT ident, array_to_string(string_split(trim(regexp_replace(regexp_replace(regexp_replace(ident,
+  '_', ' ', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')), ' '), ' ') AS words
+FROM (SELECT DISTINCT concat(lower(lang), upper(substr(source, 1, 1)), substr(source, 2), '_HTTP', upper(substr(lang, 1, 1)), substr(lang, 2)) AS ident FROM documents
+      WHERE lang IS NOT NULL AND source IS NOT NULL)""")
+def q_split_code_identifier(spark, sf):
+    d = B.table(spark, sf, "documents").where("lang is not null and source is not null")
+    name = F.expr("concat(lower(lang), upper(substr(source, 1, 1)), substr(source, 2), '_HTTP', upper(substr(lang, 1, 1)), substr(lang, 2))")
+    return d.select(name.alias("ident")).distinct().select("ident", F.array_join(T.split_identifier(F.col("ident")), " ").alias("words"))
+
+
 @register("normalize_path", r"SELECT page_id, replace(url, '\', '/') AS path FROM pages")
 def q_normalize_path(spark, sf):
     return B.urls(spark, sf).select("page_id", P.normalize_path("url").alias("path"))
@@ -191,7 +236,8 @@ def q_filter_bulk_commits(spark, sf):
 
 @register("filter_routes_by_width", O.hist("SELECT \"start\", \"end\", width FROM routes WHERE width >= 300"))
 def q_filter_routes_by_width(spark, sf):
-    return _Hist(spark, sf).routes().where(F.col("width") >= 300)
+    from ..operators.lookups import filter_routes_by_width
+    return filter_routes_by_width(_Hist(spark, sf).routes(), 300)
 
 
 @register("extract_identifiers", O.with_(O.CORPUS) + "SELECT path, ipos, ident FROM idents")
@@ -290,11 +336,16 @@ def q_commit_files_outer(spark, sf):
 FROM buildings b"""))
 def q_highlight_commit(spark, sf):
     x = _Hist(spark, sf)
-    last = x.h.commits.select(F.max("commit_seq")).scalar()
-    hit = x.touches.where(F.col("commit_seq") == last).select(F.col("path").alias("fileName")).distinct() \
-        .withColumn("highlighted", F.lit(True))
-    return x.buildings().join(hit, "fileName", "left").select(
-        "fileName", "label", F.coalesce("highlighted", F.lit(False)).alias("highlighted"))
+    from ..operators.lookups import highlight_commit
+    last = x.h.commits.agg(F.max_by("commit_id", "commit_seq")).first()[0]
+    return highlight_commit(x.buildings(), x.touches, last).select("fileName", "label", "highlighted")
+
+
+@register("highlight_commit_none", O.hist("SELECT fileName, label, false AS highlighted FROM buildings"))
+def q_highlight_commit_none(spark, sf):
+    from ..operators.lookups import highlight_commit
+    x = _Hist(spark, sf)
+    return highlight_commit(x.buildings(), x.touches, "None").select("fileName", "label", "highlighted")
 
 
 @register("select_city", O.hist("""SELECT fileName, height FROM buildings WHERE label = 3"""))
@@ -304,6 +355,13 @@ def q_select_city(spark, sf):
     return files.select("fileName", "height")
 
 
+@register("select_city_routes", O.hist("""SELECT "start", "end", width FROM routes WHERE "start" = 3 OR "end" = 3"""))
+def q_select_city_routes(spark, sf):
+    from ..operators.lookups import select_city
+    x = _Hist(spark, sf)
+    return select_city(x.buildings(), x.routes(), 3)[1]
+
+
 @register("route_endpoints", O.hist("""SELECT r."start", r."end", r.width, round(s.x, 6) AS start_x, round(s.y, 6) AS start_y,
   round(e.x, 6) AS end_x, round(e.y, 6) AS end_y
 FROM routes r JOIN cities s ON s.label = r."start" JOIN cities e ON e.label = r."end" """))
@@ -373,7 +431,7 @@ def q_tf_idf(spark, sf):
     return S.tf_idf(_tokens(spark, sf), B.corpus(spark, sf)).select("path", "word", r6("w").alias("w"))
 
 
-@register("cluster_members", O.hist("SELECT label, count(*) AS size, min(path) AS first_path FROM clusters GROUP BY label"))
+@register("cluster_members", O.hist("SELECT DISTINCT label, path FROM clusters"))
 def q_cluster_members(spark, sf):
     return G.cluster_members(_Hist(spark, sf).clusters())
 
@@ -607,20 +665,7 @@ def q_embed_mca(spark, sf):
     return mca(_Hist(spark, sf).inc)
 
 
-@register("embed_nmds")
-def q_embed_nmds(spark, sf):
-    from ..operators.embedding.nmds import nmds
-    x = _Hist(spark, sf)
-    return nmds(x.heights.select("path"), S.jaccard_pairs(x.inc))
-
-
-# ---- wide matrix, results, log loader, composed maps -----------------------------------------------
-
-@register("incidence_wide")
-def q_incidence_wide(spark, sf):
-    x = _Hist(spark, sf)
-    return H.incidence_wide(x.inc, x.h.commits)
-
+# ---- results, log loader, composed maps -----------------------------------------------
 
 def _scratch(spark, name: str) -> str:
     import uuid
@@ -635,7 +680,7 @@ def _quick_result(spark, sf):
     return _tail(x.h, x.touches, x.inc, x.clusters(), x.layout())
 
 
-@register("write_result")
+@register("write_result", O.hist("SELECT label, fileName, height, round(x, 6) AS x, round(y, 6) AS y FROM buildings JOIN cities USING (label)"))
 def q_write_result(spark, sf):
     from ..sources.results import read_result, write_result
     folder = _scratch(spark, "results")
@@ -645,7 +690,7 @@ def q_write_result(spark, sf):
                                                             r6("y").alias("y"))
 
 
-@register("save_result")
+@register("save_result", O.hist("""SELECT "start", "end", width, 'logical' AS couplings, 'events' AS repo FROM routes"""))
 def q_save_result(spark, sf):
     from ..sources.results import save_result
     root = _scratch(spark, "saved")
@@ -653,7 +698,7 @@ def q_save_result(spark, sf):
     return spark.read.parquet(f"{root}/routes")
 
 
-@register("load_result")
+@register("load_result", O.hist('SELECT "start", "end", width FROM routes'))
 def q_load_result(spark, sf):
     from ..sources.results import load_result, save_result
     root = _scratch(spark, "saved")
@@ -661,7 +706,9 @@ def q_load_result(spark, sf):
     return load_result(spark, root, "logical", "events").routes
 
 
-@register("load_history_log")
+@register("load_history_log", O.hist("""SELECT commit_seq, ord, old_path, new_path FROM (
+  SELECT commit_seq, row_number() OVER (PARTITION BY commit_seq ORDER BY ord) - 1 AS ord, old_path, new_path FROM mods)
+WHERE old_path IS NOT NULL OR new_path IS NOT NULL"""))
 def q_load_history_log(spark, sf):
     from ..sources.history import load_history_log, write_history_log
     folder = _scratch(spark, "logs")
@@ -691,11 +738,3 @@ def q_semantic_map(spark, sf):
 def q_couplings_map(spark, sf):
     from ..plans.maps import couplings_map
     return couplings_map(None, B.events_history(spark, sf)).routes
-
-
-@register("cluster_optics")
-def q_cluster_optics(spark, sf):
-    from ..operators.clustering.optics import optics
-    p = B.points(spark, sf).select("path", F.col("embedding").cast("array<double>").alias("v"))
-    return optics(p.select("path"), min_samples=2, points=p).select(
-        "path", "label", r6("reachability").alias("reachability"), "pos")

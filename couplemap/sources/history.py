@@ -76,12 +76,37 @@ def scan_source_tree(spark: SparkSession, root: str) -> DataFrame:
     import os
     import re
 
-    full = F.col("_metadata.file_path")
+    # the path is a URI: its escapes stand for the characters of the file name
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     root_abs = os.path.abspath(root).rstrip("/") if "://" not in root else root.rstrip("/").split("://", 1)[1]
     rel = F.regexp_extract(full, re.escape(root_abs) + "/(.*)$", 1)
     return df.select(rel.alias("path"), F.col("value").alias("text"))
 
 
+def _unquoted(field):
+    """A name as it was: quoted names hold backslash escapes, and bytes that
+    are not ASCII as three octal digits."""
+    inner = F.substring(field, F.lit(2), F.length(field) - 2)
+    bits = F.regexp_extract_all(inner, F.lit(r"\\[0-7]{3}|\\.|[^\\]+"), F.lit(0))
+
+    def plain(x):
+        octal = F.unhex(F.lpad(F.conv(F.substring(x, F.lit(2), F.lit(3)), 8, 16), 2, "0"))
+        code = F.substring(x, F.lit(2), F.lit(1))
+        escape = F.when(code == "t", "\t").when(code == "n", "\n").when(code == "r", "\r").otherwise(code)
+        return F.when(x.rlike(r"^\\[0-7]{3}$"), octal).when(F.startswith(x, F.lit("\\")), escape.cast("binary")).otherwise(x.cast("binary"))
+
+    joined = F.aggregate(F.transform(bits, plain), F.lit(b""), lambda a, b: F.concat(a, b))
+    return F.when(field.rlike('^".*"$'), F.decode(joined, "UTF-8")).otherwise(field)
+
+
+def _quoted(name):
+    special = name.rlike(r'["\\\t\n\r]')
+    out = name
+    for plain, safe in (("\\", "\\\\"), ('"', '\\"'), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        out = F.replace(out, F.lit(plain), F.lit(safe))
+    return F.when(special, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(name)
+
+
 def load_history_log(spark: SparkSession, path: str) -> History:
     """Read ``git log --name-status`` style text dumps.
 
@@ -94,6 +119,9 @@ def load_history_log(spark: SparkSession, path: str) -> History:
         A\\tpath
         D\\tpath
         R100\\told\\tnew
+        C100\\tsource\\tnew
+
+    Names with special characters are quoted with backslash escapes.
 
     Each record is split and exploded by Spark; no line is handled on the driver.
     """
@@ -105,17 +133,19 @@ def load_history_log(spark: SparkSession, path: str) -> History:
         F.to_timestamp(F.element_at(head, 2)).alias("committer_ts"),
         F.regexp_extract(F.element_at(head, 2), r"([+-]\d\d:?\d\d|Z)$", 1).alias("committer_tz"),
         F.element_at(head, 3).cast("long").alias("commit_seq"),
-        F.slice("lines", 2, 1 << 20).alias("body"),
+        F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))).alias("body"),
     )
     commits = base.select("commit_seq", "commit_id", "committer_ts",
-                          F.when(F.col("committer_tz") == "", None).otherwise(F.col("committer_tz")).alias("committer_tz"))
+                          F.when(F.col("committer_tz") == "", None).when(F.col("committer_tz") == "Z", "+00:00")
+                          .otherwise(F.col("committer_tz")).alias("committer_tz"))
     lines = base.select("commit_seq", F.posexplode("body").alias("ord", "line")).where(F.length("line") > 0)
-    parts = F.split("line", "\t")
+    parts = F.transform(F.split("line", "\t"), _unquoted)
     status = F.substring(F.element_at(parts, 1), 1, 1)
     mods = lines.select(
         "commit_seq",
         F.col("ord").cast("long").alias("ord"),
-        F.when(status == "A", None).otherwise(F.element_at(parts, 2)).alias("old_path"),
+        # a copy is a birth: its source lives on
+        F.when(status.isin("A", "C"), None).otherwise(F.element_at(parts, 2)).alias("old_path"),
         F.when(status == "D", None)
         .when(status.isin("R", "C"), F.element_at(parts, 3))
         .otherwise(F.element_at(parts, 2))
@@ -127,6 +157,14 @@ def load_history_log(spark: SparkSession, path: str) -> History:
     return History(commits, mods, live_files_from_modifications(mods))
 
 
+def _local_time(ts: str, tz: str):
+    """The committer's local time with its offset; without one, the session's."""
+    offset = F.regexp_replace(F.col(tz), r"^([+-]\d\d):?(\d\d)$", "$1:$2")
+    form = "yyyy-MM-dd HH:mm:ss"
+    local = F.from_utc_timestamp(F.to_utc_timestamp(F.col(ts), F.current_timezone()), offset)
+    return F.when(offset.isNull(), F.date_format(F.col(ts), form)).otherwise(F.concat(F.date_format(local, form), offset))
+
+
 def write_history_log(history: History, folder: str) -> None:
     """Write a history as the text dump ``load_history_log`` reads: every
     commit's lines go to one file in order (partitioned by commit, sorted
@@ -134,9 +172,9 @@ def write_history_log(history: History, folder: str) -> None:
     c = history.commits.select(
         "commit_seq", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("ord"),
         F.concat(F.lit("@@@\n"), F.col("commit_id"), F.lit("\t"),
-                 F.date_format("committer_ts", "yyyy-MM-dd HH:mm:ss"), F.lit("\t"),
+                 _local_time("committer_ts", "committer_tz"), F.lit("\t"),
                  F.col("commit_seq").cast("string")).alias("value"))
-    m = history.modifications
+    m = history.modifications.withColumns({c: _quoted(F.col(c)) for c in ("old_path", "new_path")})
     line = (
         F.when(F.col("old_path").isNull(), F.concat(F.lit("A\t"), F.col("new_path")))
         .when(F.col("new_path").isNull(), F.concat(F.lit("D\t"), F.col("old_path")))

@@ -56,3 +56,18 @@ def test_source_tree_ast_mode(spark, tmp_path):
     assert toks == [("pkg/a.py", "bar"), ("pkg/a.py", "foo"), ("pkg/a.py", "x")]
     assert [r.path for r in T.parsed_sources(src, "ast").collect()] == ["pkg/a.py"]
     assert [r.path for r in T.unparsable_sources(src).collect()] == ["b.py"]
+
+
+def test_extended_stems():
+    from couplemap.functions.porter import stem
+
+    got = {w: stem(w) for w in "use using used one age geology biology theology caresses ponies relational hopping happy".split()}
+    assert got == {"use": "use", "using": "use", "used": "use", "one": "one", "age": "age", "geology": "geolog", "biology": "biolog",
+                   "theology": "theolog", "caresses": "caress", "ponies": "poni", "relational": "relat", "hopping": "hop", "happy": "happi"}
+
+
+def test_identifiers_of_any_script(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("café número größe item2 2nd __init__ _x HTTPServer",)], ["t"])
+    assert df.select(T.identifiers(F.col("t"))).first()[0] == ["café", "número", "größe", "item2", "nd", "__init__", "_x", "HTTPServer"]

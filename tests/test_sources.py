@@ -41,3 +41,35 @@ def test_saved_result_round_trip(spark):
     back = load_result(spark, root, "logical", "events")
     assert sorted(tuple(r) for r in back.routes.collect()) == sorted(tuple(r) for r in res.routes.collect())
     assert back.buildings.count() == res.buildings.count()
+
+
+def test_history_log_copies_swaps_quotes_and_offsets(spark, tmp_path):
+    log = (
+        "@@@\nc1\t2024-03-01 10:00:00+02:00\t1\nA\ta.py\nA\tx.py\nA\ty.py\nA\t\"odd\\tname \\\"q\\\" caf\\303\\251.py\"\n"
+        "@@@\nc2\t2024-03-02 10:00:00-05:30\t2\nC100\ta.py\tb.py\nR100\tx.py\ty.py\nR100\ty.py\tx.py\n"
+        "@@@\nc3\t2024-03-03 10:00:00Z\t3\nD\tb.py\n"
+    )
+    (tmp_path / "log.txt").write_text(log)
+    h = load_history_log(spark, str(tmp_path / "log.txt"))
+    assert {r.path for r in h.files.collect()} == {"a.py", "x.py", "y.py", 'odd\tname "q" café.py'}
+    folder = _scratch(spark, "logs")
+    write_history_log(h, folder)
+    back = load_history_log(spark, folder)
+    rows = lambda x: sorted(map(str, x.commits.collect()))
+    assert rows(back) == rows(h)
+    assert {r.commit_id: r.committer_tz for r in back.commits.collect()} == {"c1": "+02:00", "c2": "-05:30", "c3": "+00:00"}
+    assert {r.path for r in back.files.collect()} == {r.path for r in h.files.collect()}
+
+
+def test_history_log_long_commit(spark, tmp_path):
+    (tmp_path / "log.txt").write_text("@@@\nc1\t2024-03-01 10:00:00\t1\n" + "".join(f"A\tf{k}.py\n" for k in range(3000)))
+    assert load_history_log(spark, str(tmp_path / "log.txt")).modifications.count() == 3000
+
+
+def test_source_tree_paths(spark, tmp_path):
+    from couplemap.sources.history import scan_source_tree
+
+    (tmp_path / "my dir").mkdir()
+    (tmp_path / "my dir" / "a+b é%20.py").write_text("x = 1")
+    got = scan_source_tree(spark, str(tmp_path)).collect()
+    assert [(r.path, r.text) for r in got] == [("my dir/a+b é%20.py", "x = 1")]
