@@ -14,17 +14,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 DEFAULT_TILE = 4096
+BROADCAST_GROUPS = 1 << 20
 
 
-def _sharded(df: DataFrame, group: str, item: str, tile: int) -> DataFrame:
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__k"))
-    shards = F.greatest(F.lit(1), F.ceil(F.col("__k") / F.lit(tile))).cast("int")
+def _sharded(df: DataFrame, group: str, item: str, tile: int, large: DataFrame, few: bool) -> DataFrame:
+    """Give the rows of large groups a shard of their group, all others shard
+    0 of 1.  The list of large groups holds at most rows / tile entries; it is
+    broadcast when it is short, so hot groups are not shuffled to be split."""
+    known = F.broadcast(large) if few else large
     return (
-        df.join(sizes, group)
-        .withColumn("__s", shards)
+        df.join(known.withColumnRenamed(group, "__big"), F.col(group) == F.col("__big"), "left")
+        .withColumn("__s", F.coalesce("__s", F.lit(1)))
         .withColumn("__sh", F.pmod(F.xxhash64(F.col(item)), F.col("__s")).cast("int"))
-        .drop("__k")
+        .drop("__big")
     )
 
 
@@ -33,15 +38,17 @@ def pair_rows(df: DataFrame, group: str, item: str, carry: list[str] | None = No
     """All (a, b) with a < b sharing ``group``, one row per shared group.
 
     ``carry`` columns of each side come out suffixed ``_a`` / ``_b``.
-    The input must hold each (group, item) once.  The largest group is
-    measured first (one small aggregate); when no group exceeds ``tile`` the
-    plain self-join on the group is used, otherwise hot groups are tiled."""
+    The input must hold each (group, item) once.  It is written once; groups
+    of more than ``tile`` items are counted from the written table, and tiled.
+    Without such groups the plain self-join on the group gives the same rows."""
     carry = carry or []
-    base = df.select(group, item, *carry)
-    kmax = base.groupBy(group).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
-    if kmax <= tile:
+    base = cut_lineage(df.select(group, item, *carry).where(F.col(group).isNotNull()))
+    counts = base.groupBy(group).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > tile)
+    large = cut_lineage(counts.select(group, F.ceil(F.col("k") / F.lit(tile)).cast("int").alias("__s")))
+    n = large.count()
+    if n == 0:
         return _plain_pairs(base, group, item, carry)
-    return _tiled_pairs(base, group, item, carry, tile)
+    return _tiled_pairs(_sharded(base, group, item, tile, large, n <= BROADCAST_GROUPS), group, item, carry)
 
 
 def _orient(l: str, r: str, group_col, group: str, carry: list[str]) -> list:
@@ -64,8 +71,7 @@ def _plain_pairs(x: DataFrame, group: str, item: str, carry: list[str]) -> DataF
     return j.select(*_orient("__l", "__r", F.col("__g"), group, carry))
 
 
-def _tiled_pairs(base: DataFrame, group: str, item: str, carry: list[str], tile: int) -> DataFrame:
-    x = _sharded(base, group, item, tile)
+def _tiled_pairs(x: DataFrame, group: str, item: str, carry: list[str]) -> DataFrame:
     left = x.select(
         F.col(group).alias("__g"), F.col("__sh").alias("__i"),
         F.explode(F.sequence(F.col("__sh"), F.col("__s") - 1)).alias("__j"),

@@ -116,3 +116,30 @@ def test_with_group_index(spark):
     df = spark.createDataFrame(rows, "g string, p string")
     got = {(r.g, r.p): r.i for r in with_group_index(df, ["g"], [F.col("p")], name="i").collect()}
     assert got[("a", "p00")] == 0 and got[("a", "p29")] == 29 and got[("b", "q0")] == 0 and got[("b", "q1")] == 1
+
+
+def test_radius_pairs_against_all_pairs(spark):
+    import numpy as np
+
+    from couplemap.operators.neighbors import radius_pairs
+
+    rng = np.random.default_rng(4)
+    dense = rng.normal(0, 0.05, (300, 5))
+    far = rng.normal(0, 1.0, (60, 5))
+    pts = np.vstack([dense, far, [[0.5, 0, 0, 0, 0]], dense[:3]])
+    df = spark.createDataFrame([(f"p{i:04d}", [float(x) for x in v]) for i, v in enumerate(pts)], "path string, v array<double>")
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    for eps, strict in ((0.4, False), (0.4, True), (0.0, False)):
+        want = {(f"p{i:04d}", f"p{j:04d}") for i in range(len(pts)) for j in range(i + 1, len(pts)) if (d[i, j] < eps if strict else d[i, j] <= eps)}
+        assert {(r.a, r.b) for r in radius_pairs(df, eps, strict=strict, tile=40).collect()} == want
+    assert radius_pairs(df.limit(0), 0.4).collect() == []
+
+
+def test_pair_rows_hot_group(spark):
+    from couplemap.operators.cooccurrence import pair_rows
+
+    rows = [(1, f"i{k}") for k in range(50)] + [(2, "i1"), (2, "i2"), (None, "i3"), (None, "i4")]
+    df = spark.createDataFrame(rows, "g long, x string")
+    plain = sorted(tuple(r) for r in pair_rows(df, "g", "x").collect())
+    assert len(plain) == 50 * 49 // 2 + 1
+    assert sorted(tuple(r) for r in pair_rows(df, "g", "x", tile=7).collect()) == plain
