@@ -72,3 +72,61 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), tex
        CAST(sum(upto) FILTER (WHERE role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
 FROM summed GROUP BY conv_id
 """
+
+
+SQL["op7_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+twice AS (SELECT doc_id, k FROM wins GROUP BY doc_id, k HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS x FROM wins JOIN twice USING (doc_id, k)) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+), worded AS (
+  SELECT doc_id, line, len(w) AS n, w, (length(line) - length(replace(line, '|', ''))) AS pipes,
+         length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
+         strlen(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS solid,
+         ((length(line) - length(replace(line, '!!', ''))) + (length(line) - length(replace(line, '??', ''))) + (length(line) - length(replace(line, ',,', '')))) // 2 AS marks,
+         coalesce(list_sum(list_transform(range(1, len(w)), lambda i: CAST(w[i] = w[i + 1] AS INTEGER))), 0) AS stutter,
+         length(line) - length(regexp_replace(line, '[A-Z]', '', 'g')) AS upper,
+         length(line) - length(regexp_replace(line, '[a-z]', '', 'g')) AS low
+  FROM lines WHERE len(w) > 0
+), judged AS (
+  SELECT doc_id, line, n,
+         (pipes >= 3 AND 4 * pipes >= n) OR 10 * symbols > solid OR (n >= 3 AND 10 * marks > 3 * n) OR (n >= 5 AND 2 * stutter > n)
+         OR (n >= 5 AND upper > 4 * low AND 2 * upper > strlen(line) - n)
+         OR (n <= 40 AND regexp_matches(lower(line), 'all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|enable javascript|lorem ipsum|skip to (main )?content|sign up for our newsletter|click here to|share (this )?on (facebook|twitter)|back to top|powered by wordpress')) AS bad
+  FROM worded
+), lost AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup, coalesce(sum(n) FILTER (WHERE bad), 0) AS lost FROM judged GROUP BY doc_id
+), base AS (
+  SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(length(array_to_string(d.w, '')) AS BIGINT) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words, coalesce(lost.lost, 0) AS lost
+  FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN covered USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost <= 50 * n_words AS kept
+FROM base
+"""
+
+
+SQL["op10_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, k FROM (
+    SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 4)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id <> b.doc_id
+  JOIN sizes sa ON sa.doc_id = a.doc_id JOIN sizes sb ON sb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, sa.n, sb.n HAVING 180 * count(*) >= 80 * (sa.n + sb.n)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+), least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id
+FROM documents d JOIN least l USING (doc_id) LEFT JOIN sizes s USING (doc_id)
+"""
