@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import BoundedCache, chunks, id_and_text, map_slices, read_ranks, whole
 
-CACHE = 400_000
+CACHE = 200_000
 _NEVER = 1 << 40
 
 
@@ -39,11 +39,14 @@ class Vocabulary:
         self.ranks = dict(ranks)
         self.tokens = {rank: token for token, rank in ranks}
         self.longest = max(map(len, self.ranks))
+        # every ending of a token, with the token's rank if it is one, so that a search backwards knows when to stop
+        self.endings = {token[k:]: -1 for token in self.ranks for k in range(1, len(token))}
+        self.endings.update(self.ranks)
         self.find = regex.compile(pattern).findall
         self._parts: dict = {}
         self._left: dict = {}
         self._right: dict = {}
-        self.pairs = BoundedCache(1_000_000)
+        self.pairs = BoundedCache(CACHE)
         self._chunks = BoundedCache(CACHE)
         self._pieces = BoundedCache(CACHE)
 
@@ -85,6 +88,10 @@ class Vocabulary:
         key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
+            known = self.pairs.old.get(key)
+            if known is not None:
+                self.pairs[key] = known
+                return known
             known = True
             for x, x_made, x_gone in self._edge(a, 1, self._right):
                 for y, y_made, y_gone in self._edge(b, 0, self._left):
@@ -107,7 +114,7 @@ class Vocabulary:
             return [whole_piece]
         return PrefixTable(self, text).tokens()
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Encode pieces in sorted order: each one goes on from the prefix
         that it shares with the one before."""
         table = PrefixTable(self)
@@ -117,23 +124,15 @@ class Vocabulary:
                 table.restart(text)
             self._pieces[text.decode()] = np.array(table.tokens() if token is None else [token], "<u4").tobytes()
 
-    def _fresh(self, cache: BoundedCache, wanted: set) -> set:
-        """What of ``wanted`` the cache lacks, after making room for it."""
-        new = {x for x in wanted if x not in cache}
-        if len(cache) + len(new) > cache.limit:
-            cache.clear()
-            return wanted
-        return new
-
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
         cuts = [chunks(text) for text in texts]
         # the first chunk of a text has no space before it: it is cut into pieces like a text of its own
         loose = {text if cut is None else cut[0] for text, cut in zip(texts, cuts)}
         loose = {text: self.find(text) for text in loose}
-        new = self._fresh(self._chunks, {chunk for cut in cuts if cut for chunk in cut[1:]})
+        new = self._chunks.settle({chunk for cut in cuts if cut for chunk in cut[1:]})
         new_chunks = {chunk: self.find(whole(chunk)) for chunk in new}
-        self._learn(self._fresh(self._pieces, {p for found in (loose, new_chunks) for pieces in found.values() for p in pieces}))
+        self._learn(self._pieces.settle({p for found in (loose, new_chunks) for pieces in found.values() for p in pieces}))
         piece = self._pieces.__getitem__
         for chunk, pieces in new_chunks.items():
             self._chunks[chunk] = b"".join(map(piece, pieces))
@@ -161,21 +160,26 @@ class PrefixTable:
 
     def _fill(self, end: int) -> None:
         text, last, vocabulary = self.text, self.last, self.vocabulary
-        rank, longest, pairs, fits = vocabulary.ranks.get, vocabulary.longest, vocabulary.pairs, vocabulary.side_by_side
+        ending, pairs, fits = vocabulary.endings.get, vocabulary.pairs, vocabulary.side_by_side
         for i in range(len(last) + 1, end + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                token = rank(text[j:i])
-                if token is not None:
-                    if j:
-                        before = last[j - 1]
-                        good = pairs.get(before << 32 | token)
-                        if good is None:
-                            good = fits(before, token)
-                    else:
-                        good = vocabulary.reached(token)
-                    if good:
-                        last.append(token)
-                        break
+            found = []
+            for j in range(i - 1, -1, -1):
+                token = ending(text[j:i])
+                if token is None:
+                    break
+                if token >= 0:
+                    found.append((j, token))
+            for j, token in reversed(found):  # the longest first
+                if j:
+                    before = last[j - 1]
+                    good = pairs.get(before << 32 | token)
+                    if good is None:
+                        good = fits(before, token)
+                else:
+                    good = vocabulary.reached(token)
+                if good:
+                    last.append(token)
+                    break
             else:
                 raise ValueError("the vocabulary lacks a byte")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time inside one task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 #: White space as the contracts use it: space and the control characters 09 to 0D.
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
@@ -76,17 +76,35 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordB
 
 
 class BoundedCache(dict):
-    """A dict that empties itself when it holds ``limit`` entries, so a
-    worker's memory stays bounded whatever the corpus holds."""
+    """A dict of about ``limit`` entries at most, so a worker's memory stays
+    bounded whatever the corpus holds.  When it is full its entries become
+    the old ones; those that are asked for again come back."""
 
     def __init__(self, limit: int):
         super().__init__()
         self.limit = limit
+        self.old: dict = {}
 
     def room(self, wanted: int) -> None:
         if len(self) + wanted > self.limit:
+            self.old = dict(self)
             self.clear()
 
+    def settle(self, wanted: set) -> list:
+        """Makes room for ``wanted``; returns what of it has to be made."""
+        missing = [x for x in wanted if x not in self]
+        if len(self) + len(missing) > self.limit:
+            self.room(self.limit)
+            missing = list(wanted)
+        new = []
+        for x in missing:
+            value = self.old.get(x)
+            if value is None:
+                new.append(x)
+            else:
+                self[x] = value
+        return new
+
 
 _RARE_SPACES = "\t\r\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _TWO_SPACES = re.compile(f"[ \n][ \n]|[{_RARE_SPACES}]")

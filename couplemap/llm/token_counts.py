@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import BoundedCache, chunks, id_and_text, map_slices, whole
 
-CACHE = 400_000
+CACHE = 200_000
 #: The byte-level pattern that the library uses (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = np.int64(1) << 40
@@ -135,10 +135,7 @@ class RankMerger:
         cuts = [chunks(x) for x in parts]
         loose = {text if cut is None else cut[0] for text, cut in zip(parts, cuts)}
         wanted = {chunk for cut in cuts if cut for chunk in cut[1:]}
-        new = [x for x in wanted if x not in self.chunks]
-        if len(self.chunks) + len(new) > self.chunks.limit:
-            self.chunks.clear()
-            new = list(wanted)
+        new = self.chunks.settle(wanted)
         loose_pieces = {text: self.find(text) for text in loose}
         new_pieces = [self.find(whole(x)) for x in new]
         distinct = list({p for found in (loose_pieces.values(), new_pieces) for pieces in found for p in pieces})
