@@ -70,7 +70,7 @@ def main() -> None:
     timed("step5_output", step5)
     steps = sum(times[k] for k in list(times))
 
-    for key in ["resolve_renames", "coupled_pairs", "tf_idf", "cluster_dbscan", "cosine_vectors"]:
+    for key in ["resolve_renames", "coupled_pairs", "tf_idf", "stem_words", "cluster_dbscan", "cluster_ward", "cosine_vectors"]:
         timed(key, lambda key=key: run(QUERIES[key](spark, sf_dir)))
 
     sf = re.search(r"sf([0-9.]+)", sf_dir)
