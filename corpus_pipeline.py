@@ -9,6 +9,7 @@ changed, ``n_chars`` following it).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -21,9 +22,20 @@ from couplemap.llm.decontaminate import decontaminate
 from couplemap.llm.jaccard_join import jaccard_components
 from couplemap.llm.line_dedup import dedup_lines
 from couplemap.llm.quality import judge_quality
-from couplemap.session import cut_lineage
+from couplemap.session import cut_lineage, ship_package
 
 MIN_WORDS = 20
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(work: Stage) -> Stage:
+    """A stage may be called on its own: its Python workers need the package."""
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return work(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def _documents(out: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -38,12 +50,14 @@ def _documents(out: DataFrame, columns: list[str], text: str) -> DataFrame:
     return out.select(*[one(c) for c in columns])
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their failing lines."""
     out = judge_quality(docs, min_words=MIN_WORDS, carry=docs.columns)
     return _documents(out.where("kept"), docs.columns, "clean")
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines go that a document with a smaller id holds.  A document that is
     left with less than half of its characters and under ``MIN_WORDS`` words
@@ -54,6 +68,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(out.where(left), docs.columns, "kept")
 
 
+@_stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id
     stays, of repeated rows one.  Documents without an id stay."""
@@ -66,6 +81,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return once.unionByName(twice)
 
 
+@_stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items are cut out; documents that consist of
     them for more than half go."""
@@ -73,6 +89,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return _documents(out.where("clean is not null"), docs.columns, "clean")
 
 
+@_stage
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256)"""
     vocabulary = ship_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -80,7 +97,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
     ("jaccard_join", jaccard_join),
