@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from couplemap.llm.bpe import decode_ids, encode_texts, ship_vocabulary
+from couplemap.llm.bpe import encode_texts, ship_vocabulary
 from couplemap.llm.common import table
 from couplemap.llm.decontaminate import decontaminate
 from couplemap.llm.jaccard_join import jaccard_components
@@ -93,7 +93,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256)"""
     vocabulary = ship_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = decode_ids(encode_texts(docs, vocabulary), vocabulary)
+    out = encode_texts(docs, vocabulary, decode=True)
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -26,9 +26,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, chunks, id_and_text, map_slices, read_ranks, whole
+from .common import BoundedCache, chunks, id_and_text, map_slices, read_ranks, resident, whole
 
-CACHE = 200_000
+CACHE = 120_000
 _NEVER = 1 << 40
 
 
@@ -44,8 +44,8 @@ class Vocabulary:
         self.endings.update(self.ranks)
         self.find = regex.compile(pattern).findall
         self._parts: dict = {}
-        self._left: dict = {}
-        self._right: dict = {}
+        self._left = BoundedCache(20_000)
+        self._right = BoundedCache(20_000)
         self.pairs = BoundedCache(CACHE)
         self._chunks = BoundedCache(CACHE)
         self._pieces = BoundedCache(CACHE)
@@ -68,7 +68,7 @@ class Vocabulary:
     def reached(self, token: int) -> bool:
         return len(self.tokens[token]) == 1 or self.parts(token) is not None
 
-    def _edge(self, token: int, side: int, memo: dict) -> list[tuple[bytes, int, int]]:
+    def _edge(self, token: int, side: int, memo: BoundedCache) -> list[tuple[bytes, int, int]]:
         """The symbols that stand at one end of the token while it is built:
         (bytes, rank that makes it, rank that swallows it), last one first."""
         if token not in memo:
@@ -79,7 +79,8 @@ class Vocabulary:
                 if cut is None:
                     break
                 above, token = token, cut[side]
-            memo[token if not edge else self.ranks[edge[0][0]]] = edge
+            memo.room(1)
+            memo[self.ranks[edge[0][0]]] = edge
             return edge
         return memo[token]
 
@@ -222,16 +223,10 @@ class PrefixTable:
 
 # ---- tables ----------------------------------------------------------------------------
 
-_BUILT: dict = {}
-
-
 def _vocabulary(shipped) -> Vocabulary:
     """One vocabulary per worker process, with its caches."""
     name, ranks, pattern = shipped.value
-    if name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[name] = Vocabulary(ranks, pattern)
-    return _BUILT[name]
+    return resident(f"ranks {name}", lambda: Vocabulary(ranks, pattern))
 
 
 def ship_vocabulary(spark: SparkSession, path: str, pattern: str):
@@ -240,16 +235,22 @@ def ship_vocabulary(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast((uuid.uuid5(uuid.NAMESPACE_URL, path + pattern).hex, read_ranks(path), pattern))
 
 
-def encode_texts(documents: DataFrame, shipped, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids): ids are little-endian unsigned 32-bit integers."""
+def encode_texts(documents: DataFrame, shipped, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """(id, n_tokens, ids): ids are little-endian unsigned 32-bit integers.
+    With ``decode`` the bytes decoded from the ids follow, as ``decode_ids``
+    gives them, from the same worker."""
 
     def fn(batch: pa.RecordBatch):
         vocabulary = _vocabulary(shipped)
         ids = vocabulary.encode_all(batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
+        columns, names = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"]
+        if decode:
+            columns.append(pa.array(map(vocabulary.decode, ids), pa.binary()))
+            names.append("decoded")
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_slices(id_and_text(documents, id_col, text_col), fn, "id long, n_tokens long, ids binary")
+    schema = "id long, n_tokens long, ids binary" + (", decoded binary" if decode else "")
+    return map_slices(id_and_text(documents, id_col, text_col), fn, schema, keep=True)
 
 
 def decode_ids(encoded: DataFrame, shipped) -> DataFrame:
@@ -261,4 +262,4 @@ def decode_ids(encoded: DataFrame, shipped) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=["id", "ids", "n_tokens", "decoded"])
 
     ordered = encoded.select("id", F.coalesce("ids", F.lit(b"")).alias("ids"), "n_tokens")
-    return map_slices(ordered, fn, "id long, ids binary, n_tokens long, decoded binary")
+    return map_slices(ordered, fn, "id long, ids binary, n_tokens long, decoded binary", keep=True)

@@ -63,11 +63,26 @@ def slices(batch: pa.RecordBatch, column: int = 1, limit: int = SLICE_BYTES) ->
     yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+_RESIDENT: dict = {}
+
+
+def resident(key: str, make: Callable[[], object]) -> object:
+    """An object that a worker keeps between batches and tasks (a vocabulary,
+    an automaton); one at a time, so that workers do not gather them."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, keep: bool = False) -> DataFrame:
     """``fn`` over bounded slices of the table's Arrow batches; the second
-    column is the one whose bytes are bounded."""
+    column is the one whose bytes are bounded.  Without ``keep`` the worker
+    gives up what an earlier operator left resident."""
 
     def run(batches):
+        if not keep:
+            _RESIDENT.clear()
         for batch in batches:
             for piece in slices(batch):
                 yield from fn(piece)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, map_slices
+from .common import id_and_bytes, map_slices, resident
 
 WINDOW = 10
 SHARD_BYTES = 1 << 20
@@ -196,16 +196,10 @@ def benchmark_shards(benchmark: DataFrame, id_col: str, text_col: str, window: i
         yield k == shards - 1, [(r["item"], bytes(r["words"])) for r in pieces.where(at == k).collect()]
 
 
-_BUILT: dict = {}
-
-
 def _automaton(shard, window: int) -> SuffixAutomaton:
     """One automaton at a time is kept per worker."""
     name, items = shard.value
-    if name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[name] = SuffixAutomaton([(item, words.split()) for item, words in items], window)
-    return _BUILT[name]
+    return resident(f"items {name}", lambda: SuffixAutomaton([(item, words.split()) for item, words in items], window))
 
 
 # ---- documents -------------------------------------------------------------------------
@@ -297,7 +291,7 @@ def decontaminate(
         if last:
             schema = "id long, n_words long, n_hit long, items array<string>, spans array<struct<start:bigint,end:bigint>>"
             schema += (", clean binary" if with_text else "") + tail
-            now = map_slices(now, _finish(shard, window, max_coverage, with_text), schema)
+            now = map_slices(now, _finish(shard, window, max_coverage, with_text), schema, keep=True)
         else:
-            now = map_slices(now, _scan(shard, window), "id long, body binary, hits array<bigint>, items array<string>" + tail)
+            now = map_slices(now, _scan(shard, window), "id long, body binary, hits array<bigint>, items array<string>" + tail, keep=True)
     return now.withColumn("clean", F.col("clean").cast("string")) if with_text else now

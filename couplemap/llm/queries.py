@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode_ids, encode_texts, ship_vocabulary
+from .bpe import encode_texts, ship_vocabulary
 from .chat_format import conversation_digests, format_conversations
 from .common import table
 from .decontaminate import decontaminate
@@ -33,7 +33,7 @@ def register(fn: Callable[[SparkSession, str], DataFrame]):
 @register
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = ship_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = decode_ids(encode_texts(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    out = encode_texts(table(spark, sf_dir, "documents"), vocabulary, decode=True)
     return out.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BoundedCache, chunks, id_and_text, map_slices, whole
+from .common import BoundedCache, chunks, id_and_text, map_slices, resident, whole
 
 CACHE = 200_000
 #: The byte-level pattern that the library uses (fixed value).
@@ -151,9 +151,6 @@ class RankMerger:
         return total
 
 
-_BUILT: dict = {}
-
-
 def ship_file(spark: SparkSession, path: str):
     """Broadcast a tokenizer file (bounded by the file, whatever the corpus holds)."""
     with open(path, encoding="utf-8") as f:
@@ -165,12 +162,10 @@ def count_tokens(documents: DataFrame, shipped, id_col: str = "doc_id", text_col
 
     def fn(batch: pa.RecordBatch):
         name, text = shipped.value
-        if name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[name] = RankMerger(json.loads(text))
+        merger = resident(f"merges {name}", lambda: RankMerger(json.loads(text)))
         bodies = batch.column(1).to_pylist()
-        n = np.array(_BUILT[name].texts(bodies), np.int64)
+        n = np.array(merger.texts(bodies), np.int64)
         size = pc.binary_length(batch.column(1).cast(pa.binary()))
         yield pa.RecordBatch.from_arrays([batch.column(0), size.cast(pa.int64()), pa.array(n), pa.array(n > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
-    return map_slices(id_and_text(documents, id_col, text_col), fn, "id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_slices(id_and_text(documents, id_col, text_col), fn, "id long, n_bytes long, n_tokens long, over_limit boolean", keep=True)

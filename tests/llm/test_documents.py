@@ -260,6 +260,8 @@ def test_bpe_round_trip(spark, docs, rows, empty):
     want = Counter((i, np.array(library.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows)
     assert Counter((r["id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got) == want
     assert all(r["n_tokens"] * 4 == len(r["ids"]) for r in got)
+    both = encode_texts(docs, shipped, decode=True).select("id", "ids", "decoded").collect()
+    assert Counter((r["id"], bytes(r["ids"]), bytes(r["decoded"])) for r in both) == want
     assert encode_texts(empty, shipped).collect() == []
 
 
