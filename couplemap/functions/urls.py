@@ -33,7 +33,7 @@ def repo_name(url, raise_error: bool = False) -> Column:
     bad = (slash == 0) | (end <= slash)
     name = u.substr(slash + 1, end - slash - 1)
     if raise_error:
-        return F.when(bad, F.raise_error(F.concat(F.lit("Badly formatted url "), u))).otherwise(name)
+        return F.when(bad, F.raise_error(F.concat(F.lit("no repository name in url: "), u))).otherwise(name)
     return F.when(bad, F.lit(None).cast("string")).otherwise(name)
 
 

@@ -82,4 +82,4 @@ def couplings_map(couplings: str | None, history: History, sources: DataFrame |
         if sources is None:
             raise ValueError("semantic couplings need source texts")
         return semantic_map(history, sources, **kw)
-    raise ValueError("Wrong couplings type")
+    raise ValueError(f"unknown couplings {couplings!r}: logical or semantic")

@@ -636,6 +636,25 @@ def q_cluster_average_linkage(spark, sf):
     return average_linkage(x.heights.select("path"), S.jaccard_pairs(x.inc))
 
 
+@register("average_linkage_invariant", O.hist("""SELECT count(*) AS n_files, count(*) AS n_labelled, CAST(0 AS BIGINT) AS n_mergeable FROM heights"""))
+def q_average_linkage_invariant(spark, sf):
+    """Every file has one label, and no two clusters are left whose mean
+    similarity is above the cut."""
+    from ..operators.clustering.average_linkage import THRESHOLD, average_linkage
+    x = _Hist(spark, sf)
+    pairs = cut_lineage(S.jaccard_pairs(x.inc))
+    labels = cut_lineage(average_linkage(x.heights.select("path"), pairs))
+    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    la, lb = (labels.select(F.col("path").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
+    sums = pairs.join(la, "a").join(lb, "b").where("la <> lb") \
+        .groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).agg(F.sum("similarity").alias("w"))
+    na, nb = (size.select(F.col("label").alias(f"l{c}"), F.col("n").alias(f"n{c}")) for c in ("a", "b"))
+    mean = F.col("w") / (F.col("na") * F.col("nb"))
+    above = sums.join(na, "la").join(nb, "lb").where(mean > 1 - THRESHOLD + 1e-9).count()
+    both = x.heights.select("path").join(labels.select(F.col("path").alias("labelled")), F.col("path") == F.col("labelled"), "full")
+    return both.agg(F.countDistinct("path").alias("n_files"), F.countDistinct("labelled").alias("n_labelled")).withColumn("n_mergeable", F.lit(above).cast("long"))
+
+
 @register("cluster_birch")
 def q_cluster_birch(spark, sf):
     from ..operators.clustering.birch import birch
