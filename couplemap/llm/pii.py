@@ -3,15 +3,21 @@
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers
 that pass their checks.  Their distinct values are the protected entities.
 The corpus tells how much a word discloses of an entity: from the documents
-in which both stand in one line, the pointwise mutual information
+in which both stand in one passage, the pointwise mutual information
 ``ln(N * n_both / (n_entity * n_word))`` is set against the entity's own
 information ``ln(N / n_entity)``.  Where the quotient reaches ``disclosure``
-and the two meet in ``support`` different lines or more (copies of a line
-count once), the word is a term span in every document that holds the entity.
-Entities are generalised to their kind, terms are removed.
+and the two meet in ``support`` documents or more (copies of a line in other
+documents count), the word is a term span in every document that holds the
+entity.  Entities are generalised to their kind, terms are removed.
 
-Word counts cover all documents.  They are summed per task before the shuffle
-and joined with the few words that stand beside entities.
+A passage is a run of lines: a line break ends it only between two lines that
+both end a sentence, so the fields of a signature stay together and sentences
+of running text stay apart.  Blank lines do not count.
+
+Words are runs of letters and digits outside base spans, for counting as for
+spans.  Word counts cover all documents.  They are summed per task before the
+shuffle and joined with the few words that stand beside entities.  Entities in
+fewer than ``support`` documents cannot reach it and are left out first.
 
 Definitions.  Null and empty texts have no spans.  Rows come back one to one;
 rows with equal ids and texts stay apart.  Positions are code points, end
@@ -42,6 +48,12 @@ HINTS = {
     "phone": r"\+[0-9][\x20().0-9-]",
 }
 WORD = r"[\p{L}\p{N}]++"
+#: What a text must hold for any base pattern to match.
+ANY_HINT = "|".join(f"(?:{HINTS[k]})" for k in KINDS)
+_END = r"[.!?\u2026\u3002\uff01\uff1f\u061f\u0964]"
+_CLOSE = r"[\"')\]\u00bb\u2019\u201d]"
+#: Line breaks (and blank lines) between two lines that both end a sentence.
+PASSAGE = rf"(?<={_END}{_CLOSE}{{0,3}}[ \t\r]{{0,8}})\n\s*+(?=[^\n]*{_END}{_CLOSE}{{0,3}}[ \t\r]{{0,8}}(?:\n|\z))"
 BLOCK = 64
 
 
@@ -150,28 +162,43 @@ def _entities(line: Column) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
-def _words(text: Column) -> Column:
-    """Distinct lower-case words of letters; addresses are taken out first."""
-    plain = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
-    return F.array_distinct(F.filter(F.split(F.lower(plain), r"[^\p{L}]+", -1), lambda w: F.length(w) > 1))
+def with_free_words(rows: DataFrame, name: str, wanted: Column, text: str = "body") -> DataFrame:
+    """Adds ``name``: the words outside base spans as (value, start, end);
+    the rows have their base spans."""
+    rows = with_matches(rows, text, WORD, name, wanted)
+    held = F.flatten(F.array(*[F.transform(k, _places) for k in KINDS]))
+    free = lambda x: ~F.exists(held, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    return rows.withColumn(name, F.filter(name, free))
+
+
+def _terms(words: Column) -> Column:
+    """Distinct lower-case words; lowered one by one, as those of spans are."""
+    return F.array_distinct(F.transform(F.array_distinct(words), F.lower))
+
+
+def document_words(rows: DataFrame) -> DataFrame:
+    """(term): the distinct words of every document, places only where a base
+    span can be."""
+    hint = F.col("body").rlike(ANY_HINT)
+    spans = with_free_words(with_base_spans(rows.select("body")), "word", hint)
+    return spans.select(F.explode(_terms(F.when(hint, F.col("word")["value"]).otherwise(F.regexp_extract_all("body", F.lit(WORD), F.lit(0))))).alias("term"))
 
 
 def disclosing_terms(rows: DataFrame, disclosure: float = 0.75, support: int = 3) -> DataFrame:
     """(entity, term) pairs whose mutual information reaches ``disclosure``
-    of the entity's information.  ``rows``: (row, body)."""
-    any_hint = F.lit(False)
-    for kind in KINDS:
-        any_hint = any_hint | F.col("line").rlike(HINTS[kind])
-    lines = rows.select("row", F.explode(F.split("body", "\n", -1)).alias("line")).where(any_hint)
-    beside = lines.select("row", F.xxhash64("line").alias("line_key"), _entities(F.col("line")).alias("entities"), _words(F.col("line")).alias("words")).where(F.size("entities") > 0)
-    beside = cut_lineage(beside.select("row", "line_key", F.explode("entities").alias("entity"), "words"))
-    n_entity = beside.groupBy("entity").agg(F.count_distinct("row").alias("n_entity"), F.count_distinct("line_key").alias("lines")).where(F.col("lines") >= support)
-    pairs = (
-        beside.select("row", "line_key", "entity", F.explode("words").alias("term"))
-        .groupBy("entity", "term").agg(F.count_distinct("row").alias("n_both"), F.count_distinct("line_key").alias("meets"))
-        .where(F.col("meets") >= support).join(n_entity.select("entity", "n_entity"), "entity")
-    )
-    n_word = rows.select(F.explode(_words(F.col("body"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_word"))
+    of the entity's information.  ``rows``: (body), one per document."""
+    hint = F.col("body").rlike(ANY_HINT)
+    passages = rows.where(hint).select(F.monotonically_increasing_id().alias("doc"), F.explode(F.split("body", PASSAGE, -1)).alias("body")).where(hint)
+    passages = passages.withColumn("entities", _entities(F.col("body"))).where(F.size("entities") > 0)
+    words = with_free_words(with_base_spans(passages), "word", F.lit(True))
+    # the numbers of documents and passages hold within this table
+    beside = cut_lineage(words.select("doc", F.monotonically_increasing_id().alias("passage"), "entities", _terms(F.col("word")["value"]).alias("words")))
+    each = beside.select("doc", "passage", F.explode("entities").alias("entity"))
+    n_entity = each.groupBy("entity").agg(F.count_distinct("doc").alias("n_entity")).where(F.col("n_entity") >= support)
+    known = each.join(n_entity, "entity").groupBy("passage").agg(F.collect_list(F.struct("entity", "n_entity")).alias("known"))
+    met = beside.join(known, "passage").select("doc", "words", F.explode("known").alias("e")).select("doc", "e.entity", "e.n_entity", F.explode("words").alias("term"))
+    pairs = met.groupBy("entity", "n_entity", "term").agg(F.count_distinct("doc").alias("n_both")).where(F.col("n_both") >= support)
+    n_word = document_words(rows).groupBy("term").agg(F.count(F.lit(1)).alias("n_word"))
     total = rows.select(F.count(F.lit(1)).cast("double").alias("n")).scalar()
     shared = F.log(total * F.col("n_both") / (F.col("n_entity").cast("double") * F.col("n_word")))
     own = F.log(total / F.col("n_entity"))
@@ -184,15 +211,13 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     # rows are told apart by id and text, which a lost task makes again alike
     rows = base.withColumn("row", F.xxhash64("id", "body"))
-    pairs = disclosing_terms(rows.select("row", "body"), disclosure, support)
-    holders = rows.where(F.col("body").rlike("|".join(f"(?:{HINTS[k]})" for k in KINDS)))
+    pairs = disclosing_terms(rows.select("body"), disclosure, support).groupBy("entity").agg(F.collect_list("term").alias("told"))
+    holders = rows.where(F.col("body").rlike(ANY_HINT))
     holders = holders.select("row", F.explode(_entities(F.col("body"))).alias("entity")).distinct()
-    terms = cut_lineage(holders.join(pairs, "entity").groupBy("row").agg(F.collect_set("term").alias("terms")))
+    terms = cut_lineage(holders.join(pairs, "entity").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("told"))).alias("terms")))
     spans = with_base_spans(rows).join(terms, "row", "left")
-    spans = with_matches(spans, "body", WORD, "term", F.col("terms").isNotNull())
-    held = F.flatten(F.array(*[F.transform(k, _places) for k in KINDS]))
-    free = lambda x: ~F.exists(held, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    spans = spans.withColumn("term", F.filter("term", lambda x: F.array_contains("terms", F.lower(x["value"])) & free(x)))
+    spans = with_free_words(spans, "term", F.col("terms").isNotNull())
+    spans = spans.withColumn("term", F.filter("term", lambda x: F.array_contains("terms", F.lower(x["value"]))))
     out = spans.select("id", *KINDS, "term", *(["body"] if sanitise else []))
     return out.withColumn("sanitised", sanitised(F.col("body"))).drop("body") if sanitise else out
 

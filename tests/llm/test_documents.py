@@ -351,6 +351,21 @@ def test_pii_terms(spark):
     assert all(not got[10 + k]["term"] and got[10 + k]["sanitised"] == rows[4 + k][1] for k in range(40))
 
 
+def test_pii_terms_counted_by_document(spark):
+    """Verbatim lines of other documents count, fields on lines of their own
+    meet, words may hold digits; digits of an address are no words."""
+    from couplemap.llm.pii import find_pii
+
+    card = "Name: Zorblatt\n\nUser: zb77x\nHost: 10.20.30.40\nEmail: z@x.org"
+    rows = [(k, f"Note from the office.\n{card}") for k in range(4)] + [(None, f"Note from the office.\n{card}")]
+    rows += [(10 + k, f"Note from the office.\nName, user, host and email of line {k}.") for k in range(60)]
+    rows += [(100, "Write to z@x.org or 30 others."), (101, "Zorblatt is 77 today.")]
+    got = find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    told = [[s["value"] for s in r["term"]] for r in got]
+    assert [t for r, t in zip(got, told) if r["id"] is None or r["id"] < 4] == [["Zorblatt", "zb77x"]] * 5
+    assert not any(t for r, t in zip(got, told) if r["id"] is not None and r["id"] >= 10)
+
+
 def test_toxicity_held_out(spark, docs, empty):
     from couplemap.llm.toxicity import score_chain, train_chain
 
