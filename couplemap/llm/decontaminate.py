@@ -8,9 +8,12 @@ item, marks its words as hit.  Hit spans are cut out of the text; a document
 whose share of hit words exceeds ``max_coverage`` loses its whole text.
 
 Items longer than ``PIECE_WORDS`` are cut into pieces that overlap by
-``window - 1`` words, which changes no window.  Shards are scanned one after
-another in the same stage, so nothing is shuffled and one shard at a time is
-broadcast; its size is bounded whatever the benchmark holds.
+``window - 1`` words, which changes no window.  A benchmark of one shard is
+broadcast with its item ids, and nothing is shuffled.  Of a larger one each
+distinct piece is kept once, its item ids stay in a side table.  Each shard is
+a job of its own that writes what it finds, so one broadcast and one automaton
+a worker are alive at a time; the documents are read once a shard.  What was
+found then meets the item ids and the documents by joins.
 
 Definitions.  Null and empty texts have no words; such items match nothing.
 A null item id is listed as the empty string.  Repeated item ids count once.
@@ -23,16 +26,18 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, map_slices, resident
+from ..session import cut_lineage, ensure_checkpoint_dir
+from .common import id_and_bytes, map_slices, resident, skew_join
 
 WINDOW = 10
 SHARD_BYTES = 1 << 20
+#: What a piece counts besides its words and item id.
+PIECE_BYTES = 8
 PIECE_WORDS = 20_000
 
 #: A-Z to a-z; digits, a-z and all bytes from 80 stay; the rest separates.
@@ -181,19 +186,27 @@ def _pieces(window: int):
     return fn
 
 
-def benchmark_shards(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[tuple[bool, list[tuple[str, bytes]]]]:
-    """(last?, items with their words): shards of about ``SHARD_BYTES``, one
-    bounded list at a time."""
+def benchmark_pieces(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, words), written once."""
     base = benchmark.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"),
     )
-    pieces = map_slices(base, _pieces(window), "item string, words binary")
-    total = pieces.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, math.ceil(total / SHARD_BYTES))
-    at = F.pmod(F.xxhash64("words"), F.lit(shards))
-    for k in range(shards):
-        yield k == shards - 1, [(r["item"], bytes(r["words"])) for r in pieces.where(at == k).collect()]
+    return cut_lineage(map_slices(base, _pieces(window), "item string, words binary"))
+
+
+def _bytes(rows: DataFrame, *columns: str) -> int:
+    sizes = [F.octet_length(c) for c in columns]
+    return rows.agg(F.coalesce(F.sum(sum(sizes, F.lit(PIECE_BYTES))), F.lit(0)).alias("n")).first()["n"]
+
+
+def distinct_shards(pieces: DataFrame) -> tuple[int, DataFrame]:
+    """(number of shards, (piece, words, shard)): each distinct piece once,
+    in order of the shards, so that reading one skips the others."""
+    once = pieces.groupBy("words").agg(F.first(F.sha2("words", 256)).alias("piece"))
+    shards = max(1, math.ceil(_bytes(once, "words", "piece") / SHARD_BYTES))
+    dealt = once.select("piece", "words", F.pmod(F.xxhash64("words"), F.lit(shards)).alias("shard"))
+    return shards, cut_lineage(dealt.repartitionByRange("shard").sortWithinPartitions("shard"))
 
 
 def _automaton(shard, window: int) -> SuffixAutomaton:
@@ -210,51 +223,85 @@ def char_spans(body: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
-def _scan(shard, window: int):
-    """Add what one shard finds to the (a, b) intervals and items so far."""
+def _find(shard, window: int):
+    """(key, hits, pieces) of the documents in which a shard finds something."""
 
     def fn(batch: pa.RecordBatch):
         automaton = _automaton(shard, window)
-        hits, items = [], []
-        for body, old, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        keys, hits, pieces = [], [], []
+        for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             spans, found = automaton.scan(words_of(body))
-            if old:
-                spans = merged(spans + list(zip(old[::2], old[1::2])))
-            hits.append([x for s in spans for x in s])
-            items.append(sorted(found.union(known or ())))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), *batch.columns[4:]], names=batch.schema.names)
+            if found:
+                keys.append(key)
+                hits.append([x for s in spans for x in s])
+                pieces.append(sorted(found))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(hits, pa.list_(pa.int64())), pa.array(pieces, pa.list_(pa.string()))], names=["key", "hits", "pieces"])
+
+    return fn
+
+
+def find_in_shards(bodies: DataFrame, pieces: DataFrame, window: int) -> DataFrame:
+    """(key, hits, items) of the documents (key, body) that hold a piece."""
+    spark = bodies.sparkSession
+    shards, dealt = distinct_shards(pieces)
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    schema = "key string, hits array<bigint>, pieces array<string>"
+    for k in range(shards):
+        items = [(r["piece"], bytes(r["words"])) for r in dealt.where(F.col("shard") == k).collect()]
+        shard = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
+        map_slices(bodies, _find(shard, window), schema, keep=True).write.mode("append").parquet(target)
+        shard.destroy()
+    found = spark.read.schema(schema).parquet(target)
+    hits = found.groupBy("key").agg(F.flatten(F.collect_set("hits")).alias("hits"))
+    names = pieces.select(F.sha2("words", 256).alias("piece"), "item").distinct()
+    held = found.select("key", F.explode("pieces").alias("piece")).distinct()
+    items = held.join(names, "piece").groupBy("key").agg(F.collect_set("item").alias("items"))
+    return hits.join(items, "key")
+
+
+def _scanned(shard, window: int):
+    """(spans, items) of the rows of a batch: by the one shard, or as found before."""
+
+    def fn(batch: pa.RecordBatch):
+        if shard is None:
+            for hits, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                yield merged(list(zip(hits[::2], hits[1::2]))) if hits else [], sorted(items or ())
+        else:
+            automaton = _automaton(shard, window)
+            for body in batch.column(1).to_pylist():
+                spans, found = automaton.scan(words_of(body))
+                yield spans, sorted(found)
 
     return fn
 
 
 def _finish(shard, window: int, max_coverage: float, with_text: bool):
-    scan = _scan(shard, window)
+    scan = _scanned(shard, window)
 
     def fn(batch: pa.RecordBatch):
-        for done in scan(batch):
-            n_words, n_hit, spans, texts = [], [], [], []
-            for body, hits in zip(done.column(1).to_pylist(), done.column(2).to_pylist()):
-                n = len(words_of(body))
-                pairs = list(zip(hits[::2], hits[1::2]))
-                hit = sum(b - a for a, b in pairs)
-                cut = char_spans(body, pairs)
-                n_words.append(n)
-                n_hit.append(hit)
-                spans.append([{"start": len(body[:a].decode()), "end": len(body[:b].decode())} for a, b in cut])
-                if with_text:
-                    keep, at = [], 0
-                    for a, b in cut:
-                        keep.append(body[at:a])
-                        at = b
-                    keep.append(body[at:])
-                    texts.append(None if hit > max_coverage * n else b"".join(keep))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            columns = [done.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), done.column(3), pa.array(spans, kind)]
-            names = ["id", "n_words", "n_hit", "items", "spans"]
+        n_words, n_hit, spans, texts, found = [], [], [], [], []
+        for body, (pairs, items) in zip(batch.column(1).to_pylist(), scan(batch)):
+            n = len(words_of(body))
+            hit = sum(b - a for a, b in pairs)
+            found.append(items)
+            cut = char_spans(body, pairs)
+            n_words.append(n)
+            n_hit.append(hit)
+            spans.append([{"start": len(body[:a].decode()), "end": len(body[:b].decode())} for a, b in cut])
             if with_text:
-                columns.append(pa.array(texts, pa.binary()))
-                names.append("clean")
-            yield pa.RecordBatch.from_arrays([*columns, *done.columns[4:]], names=[*names, *done.schema.names[4:]])
+                keep, at = [], 0
+                for a, b in cut:
+                    keep.append(body[at:a])
+                    at = b
+                keep.append(body[at:])
+                texts.append(None if hit > max_coverage * n else b"".join(keep))
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, kind)]
+        names = ["id", "n_words", "n_hit", "items", "spans"]
+        if with_text:
+            columns.append(pa.array(texts, pa.binary()))
+            names.append("clean")
+        yield pa.RecordBatch.from_arrays([*columns, *batch.columns[4:]], names=[*names, *batch.schema.names[4:]])
 
     return fn
 
@@ -282,16 +329,19 @@ def decontaminate(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"),
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"),
     )
-    now = now.select(
-        "id", "body", F.lit(None).cast("array<bigint>").alias("hits"), F.lit(None).cast("array<string>").alias("items"),
-        *(["carried"] if carry else []))
     tail = f", carried {now.schema['carried'].dataType.simpleString()}" if carry else ""
-    for last, items in benchmark_shards(benchmark, item_id_col, item_text_col, window):
+    extra = ["carried"] if carry else []
+    pieces = benchmark_pieces(benchmark, item_id_col, item_text_col, window)
+    if _bytes(pieces, "words", "item") <= SHARD_BYTES:
+        items = [(r["item"], bytes(r["words"])) for r in pieces.collect()]
         shard = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
-        if last:
-            schema = "id long, n_words long, n_hit long, items array<string>, spans array<struct<start:bigint,end:bigint>>"
-            schema += (", clean binary" if with_text else "") + tail
-            now = map_slices(now, _finish(shard, window, max_coverage, with_text), schema, keep=True)
-        else:
-            now = map_slices(now, _scan(shard, window), "id long, body binary, hits array<bigint>, items array<string>" + tail, keep=True)
+        now = now.select("id", "body", F.lit(None).cast("array<bigint>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), *extra)
+    else:
+        shard = None
+        now = cut_lineage(now.withColumn("key", F.sha2("body", 256)))
+        found = cut_lineage(find_in_shards(now.select("key", "body"), pieces, window))
+        now = skew_join(now, found, "key", "id").select("id", "body", "hits", "items", *extra)
+    schema = "id long, n_words long, n_hit long, items array<string>, spans array<struct<start:bigint,end:bigint>>"
+    schema += (", clean binary" if with_text else "") + tail
+    now = map_slices(now, _finish(shard, window, max_coverage, with_text), schema, keep=True)
     return now.withColumn("clean", F.col("clean").cast("string")) if with_text else now

@@ -148,6 +148,25 @@ def test_decontaminate_cuts_spans(spark):
     assert [tuple(s) for s in got[1]["spans"]] == [(10, 10 + len(item))]
 
 
+def test_decontaminate_keeps_shards_bounded(spark, docs, rows, monkeypatch):
+    """Copies of an item under many ids are one piece; a shard is a job of its
+    own, so the plan holds one Python step whatever the number of shards."""
+    from couplemap.llm import decontaminate as d
+
+    first = rows[7][1].split()
+    bench = [(k, " ".join(first[20:60])) for k in range(50)] + [(100 + k, " ".join(first[k:k + 12])) for k in range(0, 100, 25)]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    whole = d.decontaminate(docs, items, carry=["doc_id"])
+    monkeypatch.setattr(d, "SHARD_BYTES", 600)
+    shards, dealt = d.distinct_shards(d.benchmark_pieces(items, "item_id", "text", 10))
+    sizes = [r["n"] for r in dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert shards > 1 and sum(sizes) == 5
+    split = d.decontaminate(docs, items, carry=["doc_id"])
+    assert split._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert Counter(map(str, split.collect())) == Counter(map(str, whole.collect()))
+    assert max(len(r["items"]) for r in split.collect()) > 50
+
+
 def test_quality(docs, rows, empty):
     from couplemap.llm.quality import judge_quality
 
