@@ -73,7 +73,7 @@ def parsed_sources(sources: DataFrame, mode: str = "regex") -> DataFrame:
     that parse in ast mode."""
     if mode == "ast":
         return python_identifiers(sources).where("parsed").select("path").distinct()
-    return sources.select("path")
+    return sources.select("path").distinct()
 
 
 def unparsable_sources(sources: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.indexing import dense_rank_of
+from ..operators.history import live_files
 from ..session import cut_lineage
 from .history import History
 
@@ -125,9 +127,10 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source texts for the events history: the live file of user u reads
-    document u (for the semantic map, whose corpus must be the history's files)."""
-    h = events_history(spark, sf_dir)
-    files = h.files.select("path", F.regexp_extract("path", r"user_([0-9]+)", 1).cast("long").alias("doc_id"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return files.join(docs, "doc_id").select("path", "text")
+    """Source texts for the events history: every document is dealt by a hash
+    to a live file (for the semantic map, whose corpus must be the history's
+    files); the texts of a file are rows of their own."""
+    paths = dense_rank_of(live_files(events_history(spark, sf_dir).files), "path", "slot")
+    n = paths.select(F.count(F.lit(1)).alias("n")).scalar()
+    docs = table(spark, sf_dir, "documents").select(F.pmod(F.xxhash64("doc_id", "text"), F.nullif(n, F.lit(0))).alias("slot"), "text")
+    return docs.join(paths, "slot").select("path", "text")

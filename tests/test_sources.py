@@ -73,3 +73,17 @@ def test_source_tree_paths(spark, tmp_path):
     (tmp_path / "my dir" / "a+b é%20.py").write_text("x = 1")
     got = scan_source_tree(spark, str(tmp_path)).collect()
     assert [(r.path, r.text) for r in got] == [("my dir/a+b é%20.py", "x = 1")]
+
+
+def test_events_sources_take_every_document(spark):
+    """All documents feed the semantic map, as texts of live files; a file of
+    several texts counts once for idf."""
+    from couplemap.functions.text import parsed_sources
+    from couplemap.operators.history import live_files
+    from couplemap.sources import bindings as B
+
+    got = B.events_sources(spark, SF).cache()
+    assert sorted(r["text"] or "" for r in got.collect()) == sorted(r["text"] or "" for r in B.table(spark, SF, "documents").collect())
+    live = {r["path"] for r in live_files(B.events_history(spark, SF).files).collect()}
+    paths = [r["path"] for r in parsed_sources(got).collect()]
+    assert set(paths) <= live and len(paths) == len(set(paths)) == got.select("path").distinct().count()
