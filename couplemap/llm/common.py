@@ -75,7 +75,7 @@ def resident(key: str, make: Callable[[], object]) -> object:
     return _RESIDENT[key]
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, keep: bool = False) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, keep: bool = False, limit: int = SLICE_BYTES) -> DataFrame:
     """``fn`` over bounded slices of the table's Arrow batches; the second
     column is the one whose bytes are bounded.  Without ``keep`` the worker
     gives up what an earlier operator left resident."""
@@ -84,7 +84,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordB
         if not keep:
             _RESIDENT.clear()
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=limit):
                 yield from fn(piece)
 
     return df.mapInArrow(run, schema)

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_texts, ship_vocabulary
 from .chat_format import conversation_digests, format_conversations
+from .collocations import collocations
 from .common import table
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_components
+from .licenses import LOWER, UPPER, label_text, scan_licenses
 from .line_dedup import dedup_lines
+from .merkle import fold, leaf, merkle_manifest, proof_digest
 from .oracle import SQL  # noqa: F401
 from .pii import KINDS, find_pii, span_text
 from .quality import judge_quality
@@ -102,3 +105,30 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_components(table(spark, sf_dir, "documents"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    lowered = leaf(*row[:4], F.translate("text", UPPER, LOWER))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, lowered)
+    out = merkle_manifest(table(spark, sf_dir, "documents"), "doc_id", "source", leaf(*row), claim=tampered)
+    folded = out.select("*", fold(F.coalesce("claim", "leaf"), F.col("steps")).alias("folded_root"))
+    return folded.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@register
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    places, base = F.transform("base", lambda x: x["place"]), F.transform("base", lambda x: x["label"])
+    return out.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"), label_text(base).alias("base_labels"),
+        label_text(F.concat(base, F.transform("found", lambda x: x["label"]))).alias("labels"), "score")
+
+
+@register
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
