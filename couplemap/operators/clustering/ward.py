@@ -1,54 +1,38 @@
 """Ward agglomeration on points, cut at a distance threshold (reference: 1).
 
 Ward's merge cost of clusters A, B is sqrt(2 nA nB / (nA + nB)) * |cA - cB|,
-which is reducible, so mutual nearest neighbours merge in parallel rounds.
-The factor is at least 1, so a merge below the threshold needs centres
-closer than the threshold: candidates come from the exact grid range join
-on the centres, never from all pairs.  Merged centre = size-weighted mean.
+which is reducible, so mutual nearest neighbours merge in parallel rounds
+(``centres.agglomerate``) and the result is that of the serial method.  The
+factor is at least 1, so a merge below the threshold needs centres closer than
+the threshold: partners come from the exact radius search, never from all pairs.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.indexing import with_global_index
 from ...session import cut_lineage
-from ..neighbors import radius_pairs
+from ..neighbors import as_vectors
+from .centres import Link, agglomerate, features_of, resolve_roots
 
 THRESHOLD = 1.0  # fixed value of the reference
 
 
+def ward_link(threshold: float) -> Link:
+    def cost(na, nb, sa, sb, d2):
+        w = np.sqrt(2.0 * na * nb / (na + nb) * d2)
+        return np.where(w < threshold, w, np.inf)
+
+    return Link(cost, threshold)
+
+
 def ward(points: DataFrame, threshold: float = THRESHOLD, vec: str = "v") -> DataFrame:
     """points(path, v) -> (path, label)."""
-    ids = cut_lineage(with_global_index(points.select("path", F.col(vec).cast("array<double>").alias("v")),
-                                        [F.col("path")], name="id"))
-    cl = ids.select(F.col("id").alias("cid"), F.lit(1).cast("long").alias("n"), "v")
-    assign = ids.select("id", F.col("id").alias("cid"))
-    while True:  # every round merges a pair at least, or ends
-        cand = radius_pairs(cl.select(F.col("cid").alias("path"), "v"), threshold, strict=True)
-        sz = cl.select(F.col("cid"), "n")
-        c = cand.join(sz.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a") \
-            .join(sz.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
-        w = F.sqrt(2.0 * F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))) * F.col("dist")
-        c = c.select("a", "b", F.round(w, 12).alias("w")).where(F.col("w") < threshold)
-        d = c.select(F.col("a").alias("x"), F.col("b").alias("y"), "w").unionByName(
-            c.select(F.col("b").alias("x"), F.col("a").alias("y"), "w"))
-        best = d.groupBy("x").agg(F.min_by("y", F.struct("w", "y")).alias("y"))
-        mutual = best.join(best.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"]) \
-            .where(F.col("x") > F.col("y"))
-        m = cut_lineage(mutual)
-        if m.count() == 0:
-            break
-        # merged centre of each pair; the larger id goes into the smaller
-        big = cl.select(F.col("cid").alias("x"), F.col("n").alias("n2"), F.col("v").alias("v2"))
-        small = cl.select(F.col("cid").alias("y"), F.col("n").alias("n1"), F.col("v").alias("v1"))
-        merged = m.join(big, "x").join(small, "y").select(
-            F.col("y").alias("cid"), (F.col("n1") + F.col("n2")).alias("n"),
-            F.zip_with("v1", "v2", lambda p, q: (p * F.col("n1") + q * F.col("n2")) / (F.col("n1") + F.col("n2"))).alias("v"))
-        gone = m.select(F.col("x").alias("cid")).unionByName(m.select(F.col("y").alias("cid")))
-        cl = cut_lineage(cl.join(gone, "cid", "left_anti").unionByName(merged))
-        mc = m.select(F.col("x").alias("cid"), F.col("y").alias("to"))
-        assign = cut_lineage(assign.join(mc, "cid", "left").select("id", F.coalesce("to", "cid").alias("cid")))
+    ids = cut_lineage(with_global_index(as_vectors(points, "path", vec).withColumnRenamed("id", "path"), [F.col("path")], name="id"))
+    _, merges = agglomerate(features_of(ids), ward_link(threshold))
+    assign = cut_lineage(resolve_roots(ids.select("id"), merges))
     ranks = with_global_index(assign.select("cid").distinct(), [F.col("cid")], name="label")
     return assign.join(ranks, "cid").join(ids.select("id", "path"), "id").select("path", F.col("label").cast("int"))

@@ -655,18 +655,82 @@ def q_average_linkage_invariant(spark, sf):
     return both.agg(F.countDistinct("path").alias("n_files"), F.countDistinct("labelled").alias("n_labelled")).withColumn("n_mergeable", F.lit(above).cast("long"))
 
 
+# the embeddings are spread over the unit sphere (no two closer than 0.89), so
+# the reference's own cuts (0.5 and 1) would merge nothing
+_BIRCH_CUT, _WARD_CUT = 0.8, 1.4
+
+
+def _points(spark, sf) -> DataFrame:
+    return B.points(spark, sf).select("path", F.col("embedding").cast("array<double>").alias("v"))
+
+
+def _birch(spark, sf) -> DataFrame:
+    from ..operators.clustering.birch import birch
+    return birch(_points(spark, sf), _BIRCH_CUT)
+
+
+def _ward(spark, sf) -> DataFrame:
+    from ..operators.clustering.ward import ward
+    return ward(_points(spark, sf), _WARD_CUT)
+
+
 @register("cluster_birch")
 def q_cluster_birch(spark, sf):
-    from ..operators.clustering.birch import birch
-    p = B.points(spark, sf).select("path", F.col("embedding").cast("array<double>").alias("v"))
-    return birch(p)
+    return _birch(spark, sf)
 
 
 @register("cluster_ward")
 def q_cluster_ward(spark, sf):
-    from ..operators.clustering.ward import ward
-    p = B.points(spark, sf).select("path", F.col("embedding").cast("array<double>").alias("v"))
-    return ward(p)
+    return _ward(spark, sf)
+
+
+def _cluster_stats(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, n, c, s): size, centre and sum of squared distances to it, from
+    the points' coordinates."""
+    rows = labels.join(points, "path").select("label", F.posexplode("v").alias("k", "x"))
+    axes = rows.groupBy("label", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("var"))
+    return axes.groupBy("label").agg(
+        F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("c"),
+        F.sum(F.col("n") * F.col("var")).alias("s"))
+
+
+def _agglomeration_view(points: DataFrame, labels: DataFrame, reach: float, mergeable, broken) -> DataFrame:
+    """(n_points, n_labelled, merged, n_broken, n_mergeable): are all points
+    labelled, is there a cluster of two, how many clusters break the rule, and
+    how many pairs of clusters could still merge.  ``broken(n, s)`` and
+    ``mergeable(na, nb, sa, sb, d)`` state the rule."""
+    from ..operators.neighbors import radius_pairs
+    labels = cut_lineage(labels)
+    stats = cut_lineage(_cluster_stats(points, labels))
+    near = radius_pairs(stats.select(F.col("label").alias("path"), F.col("c").alias("v")), reach)
+    one, two = (stats.select(F.col("label").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+    left = near.join(one, "a").join(two, "b").where(mergeable(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), F.col("dist"))).count()
+    seen = stats.agg((F.max("n") > 1).alias("merged"), F.count_if(broken(F.col("n"), F.col("s"))).alias("n_broken"))
+    both = points.select("path").join(labels.select(F.col("path").alias("labelled")), F.col("path") == F.col("labelled"), "full")
+    counted = both.agg(F.countDistinct("path").alias("n_points"), F.countDistinct("labelled").alias("n_labelled"))
+    return counted.join(F.broadcast(seen)).withColumn("n_mergeable", F.lit(left).cast("long"))  # one row each
+
+
+_AGGLOMERATION_SQL = "SELECT count(*) AS n_points, count(*) AS n_labelled, true AS merged, CAST(0 AS BIGINT) AS n_broken, CAST(0 AS BIGINT) AS n_mergeable FROM embeddings"
+
+
+@register("birch_invariant", _AGGLOMERATION_SQL)
+def q_birch_invariant(spark, sf):
+    """No subcluster's radius is above the threshold, and no two subclusters
+    with centres two thresholds apart or less could merge within it."""
+    t = _BIRCH_CUT
+    fits = lambda na, nb, sa, sb, d: (sa + sb + na * nb / (na + nb) * d * d) / (na + nb) <= t * t * (1 - 1e-6)
+    return _agglomeration_view(_points(spark, sf), _birch(spark, sf), 2 * t, fits, lambda n, s: s / n > t * t * (1 + 1e-6))
+
+
+@register("ward_invariant", _AGGLOMERATION_SQL)
+def q_ward_invariant(spark, sf):
+    """No two clusters are left whose Ward distance is below the cut; a
+    cluster's own height is at most that of its last merge, so below the cut
+    its scatter is at most (n - 1) / 2 times the cut squared."""
+    t = _WARD_CUT
+    near = lambda na, nb, sa, sb, d: F.sqrt(2 * na * nb / (na + nb)) * d < t * (1 - 1e-6)
+    return _agglomeration_view(_points(spark, sf), _ward(spark, sf), t, near, lambda n, s: s > (n - 1) / 2 * t * t * (1 + 1e-6))
 
 
 # ---- 2.7 embeddings ------------------------------------------------------------------------------
@@ -678,6 +742,28 @@ def q_embed_tsne(spark, sf):
     return tsne(x.heights.select("path"), S.jaccard_pairs(x.inc))
 
 
+@register("tsne_invariant", O.hist("""SELECT count(*) AS n_files, count(*) AS n_placed, true AS neighbours_nearer FROM heights"""))
+def q_tsne_invariant(spark, sf):
+    """Every file has a finite place, and files that are neighbours by
+    distance lie nearer to each other than the mean pair of files does (the
+    mean squared distance of all pairs is twice the variance)."""
+    from ..operators.embedding.common import id_pairs, indexed
+    from ..operators.embedding.tsne import nearest_pairs, tsne
+    x = _Hist(spark, sf)
+    files = x.heights.select("path")
+    pairs = cut_lineage(S.jaccard_pairs(x.inc))
+    places = cut_lineage(tsne(files, pairs))
+    ids = indexed(files)
+    near = nearest_pairs(ids, id_pairs(ids, pairs, "distance"), ids.count(), 3, 0).where("val < 1")
+    at = ids.join(places, "path")
+    one, two = (at.select(F.col("id").alias(k), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")) for k in "ij")
+    d = near.join(one, "i").join(two, "j").agg(F.avg((F.col("xi") - F.col("xj")) ** 2 + (F.col("yi") - F.col("yj")) ** 2).alias("near"))
+    spread = places.agg((2 * (F.var_samp("x") + F.var_samp("y"))).alias("mean"))
+    finite = places.where("not isnan(x) and not isnan(y) and abs(x) < 1e6 and abs(y) < 1e6")
+    counted = files.agg(F.count(F.lit(1)).alias("n_files")).join(F.broadcast(finite.agg(F.countDistinct("path").alias("n_placed"))))
+    return counted.join(F.broadcast(d.join(F.broadcast(spread)).select((F.col("near") < F.col("mean")).alias("neighbours_nearer"))))  # one row each
+
+
 @register("embed_mca")
 def q_embed_mca(spark, sf):
     from ..operators.embedding.mca import mca

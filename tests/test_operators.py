@@ -55,12 +55,66 @@ def test_dbscan_matches_brute_force(spark):
         assert (lab[paths[i]] == -1) == (deg[i] == 1)
 
 
-def test_birch_radius(spark):
+def _radius(X, rows):
+    return np.sqrt(((X[rows] - X[rows].mean(0)) ** 2).sum(1).mean())
+
+
+def test_birch(spark):
+    """Same subclusters from 1 and 8 partitions, dense and sparse; radii within
+    the threshold, and no two near subclusters that could merge."""
     from couplemap.operators.clustering.birch import birch
-    pts = _points(spark)
-    lab = birch(pts, threshold=0.9).toPandas()
-    assert lab.path.nunique() == pts.count()
-    assert lab.label.min() == 0
+    rng = np.random.default_rng(5)
+    X = np.vstack([rng.normal(0, 1, (12, 6))[rng.integers(0, 12, 400)] + rng.normal(0, 0.08, (400, 6)), np.ones((20, 6)), [[9.0] * 6]])
+    df = spark.createDataFrame([(f"p{i:04d}", x.tolist()) for i, x in enumerate(X)], "path string, v array<double>")
+    sparse = df.select("path", F.struct(F.expr("transform(sequence(0, 5), i -> i * 70000)").alias("idx"), F.col("v").alias("val")).alias("v"))
+    found = []
+    for points in (df.repartition(1), df.repartition(8), sparse):
+        found.append({r.path: r.label for r in birch(points, threshold=0.5, leaf=40).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(X)
+    groups = {}
+    for i in range(len(X)):
+        groups.setdefault(found[0][f"p{i:04d}"], []).append(i)
+    groups = list(groups.values())
+    assert 5 < len(groups) < 200 and all(_radius(X, g) <= 0.5 + 1e-9 for g in groups)
+    for i, a in enumerate(groups):
+        for b in groups[:i]:
+            if np.linalg.norm(X[a].mean(0) - X[b].mean(0)) <= 1.0:
+                assert _radius(X, a + b) > 0.5 - 1e-9
+
+
+def test_birch_distance_rows(spark):
+    """Distances between sparse similarity rows are those between dense
+    distance rows."""
+    from couplemap.operators.clustering.birch import distance_rows
+    from couplemap.operators.neighbors import radius_pairs
+    items = spark.createDataFrame([(p,) for p in "abcde"], "path string")
+    s = {("a", "b"): 0.9, ("a", "c"): 0.2, ("d", "e"): 0.5}
+    pairs = spark.createDataFrame([(*k, v) for k, v in s.items()], "a string, b string, similarity double")
+    D = np.ones((5, 5)) - np.eye(5)
+    for (a, b), v in s.items():
+        D["abcde".index(a), "abcde".index(b)] = D["abcde".index(b), "abcde".index(a)] = 1 - v
+    got = {(r.a, r.b): r.dist for r in radius_pairs(distance_rows(items, pairs), 9.0).collect()}
+    assert len(got) == 10
+    for (a, b), d in got.items():
+        assert abs(d - np.linalg.norm(D["abcde".index(a)] - D["abcde".index(b)])) < 1e-9
+
+
+def test_ward_equals_serial(spark):
+    from couplemap.operators.clustering.ward import ward
+    rng = np.random.default_rng(9)
+    X = rng.normal(0, 1, (90, 4))
+    df = spark.createDataFrame([(f"p{i:04d}", x.tolist()) for i, x in enumerate(X)], "path string, v array<double>")
+    got = {}
+    for r in ward(df, 2.0).collect():
+        got.setdefault(r.label, set()).add(int(r.path[1:]))
+    parts = [[i] for i in range(len(X))]
+    while True:
+        best = min(((np.sqrt(2 * len(a) * len(b) / (len(a) + len(b))) * np.linalg.norm(X[a].mean(0) - X[b].mean(0)), i, j)
+                    for i, a in enumerate(parts) for j, b in enumerate(parts) if i < j), default=(9e9, 0, 0))
+        if best[0] >= 2.0:
+            break
+        parts[best[1]] += parts.pop(best[2])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, parts)) and len(parts) < 60
 
 
 def test_ward_threshold(spark):
@@ -98,16 +152,77 @@ def test_average_linkage_cut(spark):
     assert all(v / (size[a] * size[b]) <= 0.05 + 1e-12 for (a, b), v in w.items())
 
 
-def test_embeddings_shape(spark):
+def _kl(P, Y):
+    d2 = ((Y[:, None] - Y[None]) ** 2).sum(-1)
+    Q = 1 / (1 + d2)
+    np.fill_diagonal(Q, 0)
+    Q /= Q.sum()
+    return float((P[P > 0] * np.log(P[P > 0] / Q[P > 0])).sum())
+
+
+def test_tsne(spark):
+    """The divergence falls, neighbours are kept, several blocks do about as
+    well as one, and items without pairs have a place."""
+    from couplemap.operators.embedding import tsne as T
+    rng = np.random.default_rng(2)
+    n = 120
+    group = rng.integers(0, 6, n)
+    names = [f"p{i:03d}" for i in range(n)]
+    rows = [(names[i], names[j], float(0.1 + 0.5 * rng.random())) for i in range(n) for j in range(i + 1, n) if group[i] == group[j] and i > 2]
+    items = spark.createDataFrame([(p,) for p in names], "path string")
+    pairs = spark.createDataFrame(rows, "a string, b string, distance double")
+    ids = T.indexed(items)
+    p = T.affinities(ids, T.id_pairs(ids, pairs, "distance"), n, 5.0, 0).toPandas()
+    P = np.zeros((n, n))
+    P[p.i, p.j] = p.p
+    assert abs(P.sum() - 1) < 1e-9 and np.allclose(P, P.T) and ((P > 0).sum(1) >= 16).all()
+    kl = []
+    for kw in ({"n_iter": 4}, {"n_iter": 600}, {"n_iter": 600, "block": 20}):
+        out = T.tsne(items, pairs, **kw).toPandas().sort_values("path")
+        Y = out[["x", "y"]].to_numpy()
+        assert out.path.tolist() == names and np.isfinite(Y).all()
+        kl.append(_kl(P, Y))
+    assert kl[1] < 0.6 * kl[0] and kl[2] < 0.75 * kl[0]
+    d2 = ((Y[3:, None] - Y[None, 3:]) ** 2).sum(-1)
+    np.fill_diagonal(d2, np.inf)
+    near = np.argsort(d2, axis=1)[:, :5]
+    assert np.mean(group[3:][near] == group[3:, None]) > 0.8
+
+
+def test_tsne_small(spark):
     from couplemap.operators.embedding.tsne import tsne
-    from couplemap.plans.registry import _Hist
-    x = _Hist(spark, SF)
-    pairs = S.jaccard_pairs(x.inc)
-    items = x.heights.select("path")
-    e1 = tsne(items, pairs, n_iter=200).toPandas()
-    e2 = tsne(items, pairs, n_iter=3, local_limit=1).toPandas()
-    assert len(e1) == len(e2) == items.count()
-    assert np.isfinite(e1[["x", "y"]].to_numpy()).all() and np.isfinite(e2[["x", "y"]].to_numpy()).all()
+    for n in (0, 1, 2, 3):
+        items = spark.createDataFrame([(f"p{i}",) for i in range(n)], "path string")
+        pairs = spark.createDataFrame([("p0", "p1", 0.5)] if n > 1 else [], "a string, b string, distance double")
+        out = tsne(items, pairs, n_iter=20).toPandas()
+        assert len(out) == n and np.isfinite(out[["x", "y"]].to_numpy(dtype=float)).all()
+
+
+def test_grid_potentials():
+    """Forces read from the grid against the sum over all pairs."""
+    import pandas as pd
+
+    from couplemap.operators.embedding import tsne as T
+    rng = np.random.default_rng(1)
+    Y = rng.normal(0, 6, (300, 2))
+    grid = T.Grid((Y[:, 0].min(), Y[:, 0].max(), Y[:, 1].min(), Y[:, 1].max()), T.MARGIN)
+    at = (Y - np.array(grid.origin)) / grid.h
+    c = np.floor(at).astype(int)
+    t, u = (at - c).T
+    charges = {"cx": c[:, 0], "cz": c[:, 1]}
+    for name, v in (("w", 1.0), ("a", Y[:, 0]), ("b", Y[:, 1])):
+        for k, w in enumerate(((1 - t) * (1 - u), t * (1 - u), (1 - t) * u, t * u)):
+            charges[f"{name}{k}"] = w * v
+    fields, z = grid.potentials(pd.DataFrame(charges).groupby(["cx", "cz"], as_index=False).sum())
+    q = T._kernel(Y, Y)
+    assert abs(z - q.sum()) < 0.02 * q.sum()
+    a, b0, b1 = grid.read(fields, Y)
+    got = a[:, None] * Y - np.column_stack([b0, b1])
+    want = T._push(q * q, Y, Y)
+    assert np.abs(got - want).max() < 0.05 * np.abs(want).max()
+    far = np.array([[500.0, -300.0]])  # outside of the grid
+    a, b0, b1 = grid.read(fields, far)
+    assert np.allclose(a[0] * far[0] - [b0[0], b1[0]], T._push(T._kernel(far, Y) ** 2, far, Y)[0], rtol=0.05)
 
 
 def test_with_group_index(spark):
@@ -143,3 +258,61 @@ def test_pair_rows_hot_group(spark):
     plain = sorted(tuple(r) for r in pair_rows(df, "g", "x").collect())
     assert len(plain) == 50 * 49 // 2 + 1
     assert sorted(tuple(r) for r in pair_rows(df, "g", "x", tile=7).collect()) == plain
+
+
+def test_metric_tree(spark):
+    """Clustered 64-d points: exact pairs, few distances; equal points and one
+    large leaf end; sparse vectors give the same."""
+    from couplemap.operators.neighbors import compared_pairs, radius_pairs
+    rng = np.random.default_rng(0)
+    centres = rng.normal(0, 3, (30, 64))
+    X = np.concatenate([centres[rng.integers(0, 30, 1500)] + rng.normal(0, 0.15, (1500, 64)), np.repeat(centres[:1], 200, 0)])
+    df = spark.createDataFrame([(f"p{i:05d}", x.tolist()) for i, x in enumerate(X)], "path string, v array<double>")
+    D = np.sqrt(np.maximum((X * X).sum(1)[:, None] + (X * X).sum(1) - 2 * X @ X.T, 0))
+    want = int((D[np.triu_indices(len(X), 1)] <= 1.8).sum())
+    assert radius_pairs(df, 1.8, tile=100).count() == want
+    seen = compared_pairs(df, 1.8, tile=100).first()
+    assert seen.points == len(X) and seen.compared < 0.2 * len(X) ** 2
+    few = df.limit(300)
+    sparse = few.select("path", F.struct(F.expr("transform(sequence(0, 63), i -> i * 9000)").alias("idx"), F.col("v").alias("val")).alias("v"))
+    assert sorted(map(tuple, radius_pairs(few, 1.8, tile=50).select("a", "b").collect())) == sorted(map(tuple, radius_pairs(sparse, 1.8, tile=50).select("a", "b").collect()))
+
+
+def _components(n, edges):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in range(n)}
+
+
+def test_components(spark):
+    from couplemap.operators.components import connected_components
+    rng = np.random.default_rng(3)
+    cases = [(6, []), (5, [(1, 1)]), (400, [(i, i + 1) for i in range(399)]), (2000, [tuple(map(int, e)) for e in rng.integers(0, 2000, (1300, 2))]),
+             (5000, [(0, i) for i in range(1, 4000)] + [(4500, i) for i in range(3990, 4400)])]
+    for n, edges in cases:
+        df = spark.createDataFrame(edges, "src long, dst long")
+        assert {r.id: r.comp for r in connected_components(spark.range(n), df).collect()} == _components(n, edges)
+
+
+def test_components_deal_a_hub_out(spark):
+    """The join that meets a star's hub spreads its edges."""
+    from couplemap.operators.components import _with_minimum
+    edges = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = _with_minimum(both, 2 * 100_000 // (4 * 8))
+        per = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert sum(per) == 200_000 and max(per) <= 3 * sorted(per)[len(per) // 2]
