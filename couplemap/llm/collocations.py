@@ -8,13 +8,14 @@ sum is the count of that phrase, since each occurrence opens one window.  No
 separate n-grams are exploded.
 
 A window is padded from the place on where no candidate can go on.  A
-candidate's neighbouring words occur together at least ``least`` times, and a
-first pass counts all neighbouring pairs by a 64-bit hash.  The hashes reached
-``least`` times set bits of a bitmap of ``BITS`` bits, 16 MB whatever the
-corpus holds, which is broadcast.  A bit that another pair set keeps a window
-longer than needed and changes no count: what is reported is counted on the
-words themselves.  With very large corpora the bitmap fills up and the windows
-stay long; the result is the same.
+candidate's words, and its neighbouring words together, occur at least
+``least`` times, and a first pass counts all words and neighbouring pairs by a
+hash.  The hashes reached ``least`` times set bits of a bitmap of 2 ** ``BITS``
+bits, 16 MB whatever the corpus holds, which is broadcast.  A bit that another
+word or pair set keeps a window longer than needed and changes no count: what
+is reported is counted on the words themselves.  With very large corpora the
+bitmap fills up and the windows stay long; the result is the same.  Windows
+that open with a rarer word count for the language's total only.
 
 Scores are exact: decimals of 38 digits, and integer division.
 
@@ -46,7 +47,7 @@ TOP = 2000
 BITS = 27
 PART_BYTES = 128 << 20  # text whose pairs one part of the bitmap counts
 LEAST_PARTS = 256
-SLICE = 8 << 20
+SLICE = 4 << 20
 _BREAK = b"\xff"  # in no UTF-8 text
 _DELIMITERS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(0xFF if c in _DELIMITERS else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -68,35 +69,43 @@ def _words(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return distinct, codes, langs
 
 
-def _pair_hashes(batch: pa.RecordBatch, distinct: list[bytes], codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The hash of each place's word and the next one (of the language too);
-    meaningless where either is a break."""
+def _hashes(batch: pa.RecordBatch, distinct: list[bytes], codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each place's word, and of it and the next one (of the
+    language too); meaningless where a break is among them."""
     word = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
     lang = np.fromiter(map(xxhash.xxh3_64_intdigest, batch.column(0).to_pylist()), np.uint64, batch.num_rows)
     h = word[codes]
-    x = (h[:-1] * _ODD[0] + lang[owner[:-1]]) * _ODD[1]
-    x = ((x ^ (x >> np.uint64(31))) + h[1:]) * _ODD[2]
-    return x ^ (x >> np.uint64(29))
+    x = (h * _ODD[0] + lang[owner]) * _ODD[1]
+    x ^= x >> np.uint64(31)
+    pair = (x[:-1] + h[1:]) * _ODD[2]
+    one = x * _ODD[2]
+    return one ^ (one >> np.uint64(29)), pair ^ (pair >> np.uint64(29))
 
 
-def _count_pairs(depth: int):
-    """Packed hashes and counts per part of the hash space (its first bits)."""
+def _count_hashes(depth: int):
+    """Hashes that occur in the slice, packed per part of the hash space (the
+    first ``depth`` bits; the next 32 are sent): those found once, and the
+    others with their counts."""
 
     def fn(batch: pa.RecordBatch):
         distinct, codes, owner = _words(batch)
-        if len(codes) < 2:
+        if not len(codes):
             return
-        h = _pair_hashes(batch, distinct, codes, owner)[(codes[:-1] >= 0) & (codes[1:] >= 0)]
+        one, pair = _hashes(batch, distinct, codes, owner)
+        is_word = codes >= 0
+        h = np.concatenate([one[is_word], pair[is_word[:-1] & is_word[1:]]])
         if not len(h):
             return
-        found, times = np.unique(h, return_counts=True)
-        part = _first_bits(found, depth)
+        found, times = np.unique(h >> np.uint64(32 - depth), return_counts=True)
+        part, rest = (found >> np.uint64(32)).astype(np.int64), found.astype("<u4")
         cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        ends = np.append(cuts[1:], len(part))
+        rows = []
+        for a, b in zip(cuts, np.append(cuts[1:], len(part))):
+            again = times[a:b] > 1
+            rows.append((int(part[a]), rest[a:b][~again].tobytes(), rest[a:b][again].tobytes(), times[a:b][again].astype("<u4").tobytes()))
+        columns = list(zip(*rows))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(part[cuts], pa.int32()), pa.array([found[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-             pa.array([times[a:b].astype("<u4").tobytes() for a, b in zip(cuts, ends)], pa.binary())],
-            names=["part", "hashes", "times"])
+            [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "once", "hashes", "times"])
 
     return fn
 
@@ -108,28 +117,30 @@ def _first_bits(h: np.ndarray, bits: int) -> np.ndarray:
 # ---- the bitmap of pairs ----------------------------------------------------------------------
 
 def _sum_part(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(b"".join(frame["hashes"]), np.uint64)
-    n = np.frombuffer(b"".join(frame["times"]), "<u4").astype(np.int64)
+    read = lambda name: np.frombuffer(b"".join(frame[name]), "<u4")
+    once, h = read("once"), read("hashes")
+    n = np.concatenate([np.ones(len(once), np.int64), read("times").astype(np.int64)])
+    h = np.concatenate([once, h])
     order = np.argsort(h, kind="stable")
     h, n = h[order], n[order]
     starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     return h[starts], np.add.reduceat(n, starts)
 
 
-def frequent_pairs(texts: DataFrame, least: int = LEAST, bits: int = BITS) -> bytes:
-    """A bitmap of 2 ** bits bits: set where the hash of a neighbouring pair
-    occurs ``least`` times or more.  A part sums the pairs of a range of the
-    hash space; there are as many parts as the texts need.  A very common pair
-    is one packed entry per slice."""
+def frequent_bitmap(texts: DataFrame, least: int = LEAST, bits: int = BITS) -> bytes:
+    """A bitmap of 2 ** bits bits: set where the hash of a word or of a
+    neighbouring pair occurs ``least`` times or more.  A part sums the counts
+    of a range of the hash space; there are as many parts as the texts need.  A
+    very common pair is one packed entry per slice."""
     size = texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     depth = min(bits - 3, math.ceil(math.log2(max(LEAST_PARTS, size / PART_BYTES))))
-    packed = map_slices(texts, _count_pairs(depth), "part int, hashes binary, times binary", limit=SLICE)
+    packed = map_slices(texts, _count_hashes(depth), "part int, once binary, hashes binary, times binary", limit=SLICE)
 
     def frequent(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         h, n = _sum_part(frame)
         width = 1 << (bits - depth)
         mine = np.zeros(width, bool)
-        mine[_first_bits(h[n >= least], bits) - int(key[0]) * width] = True
+        mine[h[n >= least].astype(np.int64) >> (32 - (bits - depth))] = True
         return pd.DataFrame({"part": [int(key[0])], "map": [zlib.compress(np.packbits(mine).tobytes(), 1)]})
 
     rows = packed.groupBy("part").applyInPandas(frequent, "part int, map binary").collect()  # the bitmap, of fixed size
@@ -161,23 +172,28 @@ def _windows(bitmap, bits: int):
         names, lang = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
         lang = lang[owner]
         n = len(codes)
-        # runs[i]: how many places after i belong to i's window
-        runs = np.zeros(n + ORDER, np.int64)
-        if n > 1:
-            h = _pair_hashes(batch, distinct, codes, owner)
+        one, pair = _hashes(batch, distinct, codes, owner)
+        set_bits = np.frombuffer(bitmap.value, np.uint8)
+
+        def marked(h: np.ndarray) -> np.ndarray:
             at = _first_bits(h, bits)
-            set_bits = np.frombuffer(bitmap.value, np.uint8)
-            on = np.zeros(n + ORDER, bool)
-            on[:n - 1] = (codes[:-1] >= 0) & (codes[1:] >= 0) & ((set_bits[at >> 3] >> (7 - (at & 7)) & 1) == 1)
-            going = np.ones(n + ORDER, bool)
-            for k in range(ORDER - 1):
-                going[:n] &= on[k:n + k]
-                runs[:n] += going[:n]
-        here = np.flatnonzero(codes >= 0)
+            return (set_bits[at >> 3] >> (7 - (at & 7)) & 1) == 1
+
+        is_word = codes >= 0
+        frequent = is_word & marked(one)
+        # runs[i]: how many places after i belong to i's window
+        runs, going, on = np.zeros(n, np.int64), frequent.copy(), np.zeros(n + ORDER, bool)
+        on[:n - 1] = frequent[:-1] & frequent[1:] & marked(pair)
+        for k in range(ORDER - 1):
+            going &= on[k:n + k]
+            runs += going
+        here = np.flatnonzero(is_word)
+        if not len(here):
+            return
         columns = [lang[here]]
         wide = np.append(codes, np.full(ORDER, -1))
         for k in range(ORDER):
-            columns.append(np.where(runs[here] >= k, wide[here + k], -1))
+            columns.append(np.where(frequent[here] & (runs[here] >= k), wide[here + k], -1))
         rows = []
         for some in (columns[2] < 0, columns[2] >= 0):  # of one word (most), and longer ones
             part = np.column_stack([c[some] for c in columns])
@@ -200,7 +216,7 @@ def phrase_counts(documents: DataFrame, text_col: str = "text", lang_col: str =
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
     spark = documents.sparkSession
-    bitmap = spark.sparkContext.broadcast(frequent_pairs(texts, least, bits))
+    bitmap = spark.sparkContext.broadcast(frequent_bitmap(texts, least, bits))
     wide = map_slices(texts, _windows(bitmap, bits), "lang string, " + ", ".join(f"{c} string" for c in COLUMNS) + ", n long", limit=SLICE)
     windows = cut_lineage(wide.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n")))
     sums = windows.rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
