@@ -92,8 +92,8 @@ def _pass_one(width: int):
         keys = [set_key(x) for x in sets]
         size = pa.array([len(x) for x in sets], pa.int64())
         none = pa.nulls(len(sets), pa.int64())
-        names = ["id", "n", "key", "token", "df"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(keys, pa.int64()), none, none], names=names)
+        names = ["id", "row", "n", "key", "token", "df"]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), size, pa.array(keys, pa.int64()), none, none], names=names)
         classes = dict(zip(keys, sets))
         all_tokens = np.sort(np.concatenate(list(classes.values())))
         starts = np.flatnonzero(np.diff(all_tokens, prepend=all_tokens[:1] + np.uint64(1)))
@@ -101,7 +101,7 @@ def _pass_one(width: int):
         hot = df >= max(2, len(classes) / HOT)
         token = pa.array(all_tokens[starts[hot]].view(np.int64))
         none = pa.nulls(len(token), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, token, pa.array(df[hot], pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, token, pa.array(df[hot], pa.int64())], names=names)
 
     return fn
 
@@ -228,9 +228,15 @@ def _may_link(a: str, b: str, threshold: int) -> Column:
     return (100 + threshold) * F.least(f"{a}.rest", f"{b}.rest") >= threshold * total
 
 
-def _links(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
+def _links(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Of the pairs (a, b) those that are linked: partial overlaps per
-    fragment, summed per pair."""
+    fragment, summed per pair.  Only classes that are in a pair are cut into
+    segments."""
+    pairs = cut_lineage(pairs)
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    segments = classes.join(ends, "key", "left_semi").select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(COUNT_FRAGMENTS - 1))).alias("fragment"), "tokens")
+    segments = segments.select("key", "n", "fragment", F.expr(f"filter(tokens, t -> pmod(t, {COUNT_FRAGMENTS}) = fragment)").alias("tokens")).where("size(tokens) > 0")
+    segments = cut_lineage(segments)
     left = segments.select(F.col("key").alias("a"), "fragment", F.col("tokens").alias("ta"), F.col("n").alias("na"))
     right = segments.select(F.col("key").alias("b"), "fragment", F.col("tokens").alias("tb"), F.col("n").alias("nb"))
     partial = (
@@ -279,14 +285,12 @@ def class_components(documents: DataFrame, sets: DataFrame, hot_rows: DataFrame,
         .select("token", "key", "n", "score", (F.col("shared") - F.col("pos")).alias("rest"))
     )
     leaders = cut_lineage(postings.groupBy("token").agg(F.max(F.struct("score", "key", "n", "rest")).alias("top"), F.count(F.lit(1)).alias("many")).where("many > 1").select("token", "top.*"))
-    segs = left.select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(COUNT_FRAGMENTS - 1))).alias("fragment"), "tokens").select(
-        "key", "n", "fragment", F.expr(f"filter(tokens, t -> pmod(t, {COUNT_FRAGMENTS}) = fragment)").alias("tokens"))
     first = (
         postings.alias("x").join(leaders.alias("l"), "token")
         .where((F.col("x.key") != F.col("l.key")) & _may_link("x", "l", threshold))
         .select(*_pair("x.key", "l.key")).distinct()
     )
-    links = cut_lineage(_links(first, segs, threshold))
+    links = cut_lineage(_links(first, left, threshold))
     labels = _components(links)
 
     # what is left: prefix shingles whose classes lie in two components or more
@@ -306,23 +310,27 @@ def class_components(documents: DataFrame, sets: DataFrame, hot_rows: DataFrame,
         one.alias("x").join(member.alias("y"), ["token", "label"])
         .where(_may_link("x", "y", threshold)).select(*_pair("x.key", "y.key")).distinct()
     )
-    more = _links(second, segs, threshold)
+    more = _links(second, left, threshold)
     both = cut_lineage(links.union(more))
     return _components(both)
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: int = THRESHOLD,
-                       hot_least: int = HOT_LEAST, fragment: int = FRAGMENT) -> DataFrame:
-    """(id, n_shingles, component_id) per row of ``documents``."""
-    rows = cut_lineage(map_slices(id_and_bytes(documents, id_col, text_col), _pass_one(width), "id long, n long, key long, token long, df long"))
-    sets, hot_rows = rows.where("key is not null").select("id", "n", "key"), rows.where("token is not null").select("token", "df")
+                       hot_least: int = HOT_LEAST, fragment: int = FRAGMENT, with_rows: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) per row of ``documents``; ``with_rows``
+    adds row (xxhash64 of the text's bytes, empty for null) and group (a number
+    that the rows of a component share, null without shingles), which tell rows
+    and components apart also where ids are null or repeat."""
+    texts = id_and_bytes(documents, id_col, text_col).select("id", "body", F.xxhash64("body").alias("row"))
+    rows = cut_lineage(map_slices(texts, _pass_one(width), "id long, row long, n long, key long, token long, df long"))
+    sets, hot_rows = rows.where("key is not null").select("id", "row", "n", "key"), rows.where("token is not null").select("token", "df")
     labels = class_components(documents, sets, hot_rows, id_col, text_col, width, threshold, hot_least, fragment)
     classes = sets.where("n > 0").groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("many"))
     labelled = cut_lineage(classes.join(labels, "key", "left").select("key", "first", "many", F.coalesce("label", "key").alias("label")))
     firsts = labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.sum("many").alias("many"))
     # a class of one document alone has its own id
-    named = labelled.select("key", "label").join(firsts.where("many > 1"), "label").select("key", "component_id")
-    return (
-        sets.join(cut_lineage(named), "key", "left")
-        .select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
-    )
+    named = labelled.select("key", "label").join(firsts.where("many > 1"), "label").select("key", "component_id", "label")
+    out = sets.join(cut_lineage(named), "key", "left").select(
+        "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
+        "row", F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("group"))
+    return out if with_rows else out.drop("row", "group")

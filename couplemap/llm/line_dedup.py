@@ -89,11 +89,11 @@ def line_census(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 # ---- minimal perfect hash ------------------------------------------------------------
 
-def _slot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
+def _slot(keys: np.ndarray, level: int, size: int | np.ndarray) -> np.ndarray:
     x = keys.view(np.uint64) ^ np.uint64((0x9E3779B97F4A7C15 * (2 * level + 1)) & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return ((x ^ (x >> np.uint64(31))) % np.uint64(size)).astype(np.int64)
+    return ((x ^ (x >> np.uint64(31))) % np.asarray(size, np.uint64)).astype(np.int64)
 
 
 def build_hash(h1: np.ndarray, h2: np.ndarray, gamma: float = 1.5) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -172,16 +172,15 @@ def build_index(census: DataFrame, shards: int) -> DataFrame:
 
 # ---- probes ---------------------------------------------------------------------------
 
-def _probes(min_chars: int, shards: int, copies: dict[int, int]):
+def _probes(min_chars: int, shards: int, copies):
+    """``copies``: a broadcast array, how many copies each shard has."""
+
     def fn(batch: pa.RecordBatch):
         pairs, owner = _batch_pairs(batch, min_chars)
         if not len(owner):
             return
         shard = pairs[:, 0] % shards
-        copy = np.zeros(len(shard), np.int64)
-        for hot, n in copies.items():
-            mine = shard == hot
-            copy[mine] = _slot(owner[mine], 0, n)
+        copy = _slot(owner, 0, copies.value[shard])
         order = np.lexsort((copy, shard))
         s, c = shard[order], copy[order]
         packed = np.column_stack([pairs, owner])[order].astype("<i8")
@@ -243,26 +242,29 @@ def _strip(min_chars: int):
 def dropped_keys(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """(drop_id, gone): per document the packed hashes of the lines it loses,
     from the sharded index."""
+    if min_docs > 2:
+        raise ValueError("an id may repeat, so the index tells one document from several only")
     census = cut_lineage(line_census(documents, id_col, text_col, min_chars))
     size = census.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("probes")).first()
     width = documents.sparkSession.sparkContext.defaultParallelism
     shards = max(width, math.ceil(size["keys"] / SHARD_KEYS), math.ceil(size["probes"] / PROBES))
     index = cut_lineage(build_index(census, shards))
-    # shards with a hot key: there are at most probes / PROBES of them, however many shards there are
-    load = census.groupBy(F.pmod("h1", F.lit(shards)).cast("int").alias("shard")).agg(F.sum("n").alias("n"))
-    copies = {r["shard"]: math.ceil(r["n"] / PROBES) for r in load.where(F.col("n") > PROBES).collect()}
-    probes = map_slices(id_and_bytes(documents, id_col, text_col), _probes(min_chars, shards, copies), "shard int, copy int, probes binary")
-    n_copies = F.lit(1)
-    for hot, n in copies.items():
-        n_copies = F.when(F.col("shard") == hot, F.lit(n)).otherwise(n_copies)
-    spread = index.withColumn("copy", F.explode(F.sequence(F.lit(0), n_copies - 1)))
+    # probes per shard: a number for each shard of the index, in an array for the tasks and a column for the index
+    load = cut_lineage(census.groupBy(F.pmod("h1", F.lit(shards)).cast("int").alias("shard")).agg(F.ceil(F.sum("n") / F.lit(PROBES)).cast("int").alias("copies")))
+    spread = index.join(load, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    several = load.where("copies > 1").toPandas()  # at most probes / PROBES rows
+    copies = np.ones(shards, np.int32)
+    copies[several["shard"].to_numpy()] = several["copies"].to_numpy()
+    shared = documents.sparkSession.sparkContext.broadcast(copies)
+    probes = map_slices(id_and_bytes(documents, id_col, text_col), _probes(min_chars, shards, shared), "shard int, copy int, probes binary")
     answers = probes.groupBy("shard", "copy").cogroup(spread.groupBy("shard", "copy")).applyInPandas(_answer(min_docs), "drop_id long, gone binary")
     return answers.groupBy("drop_id").agg(F.collect_list("gone").alias("gone"))
 
 
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, carry: list[str] | None = None) -> DataFrame:
-    """(id, kept, n_lines, n_dropped): per row of ``documents`` the text
-    without lines that another document with a smaller id holds.
+    """(id, kept, n_lines, n_dropped, n_chars): per row of ``documents`` the
+    text without lines that another document with a smaller id holds, and the
+    length of the text as it was.
 
     ``carry`` names columns of ``documents`` to hand through, packed in a
     struct column ``carried`` so that no name can clash."""
@@ -270,11 +272,12 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = documents.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"),
+        F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("n_chars"),
         *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []),
     )
     both = base.join(gone.hint("shuffle_hash"), F.coalesce("id", F.lit(NO_ID)) == F.col("drop_id"), "left").select(
-        "id", "body", "gone", *(["carried"] if carry else []))
-    schema = "id long, kept binary, n_lines long, n_dropped long"
+        "id", "body", "gone", "n_chars", *(["carried"] if carry else []))
+    schema = "id long, kept binary, n_lines long, n_dropped long, n_chars long"
     if carry:
         schema += f", carried {both.schema['carried'].dataType.simpleString()}"
     return map_slices(both, _strip(min_chars), schema).withColumn("kept", F.col("kept").cast("string"))

@@ -176,3 +176,34 @@ def test_pipeline(spark, tmp_path):
     assert not {100, 101, 204, 205, 301, 302, 303, 304, 305} & got.keys() and {0, 4, 300, 306} <= got.keys()
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.where("1 = 0"), folder).columns == docs.columns
+
+
+def test_pipeline_near_duplicates_by_row(spark, tmp_path):
+    """Rows are dropped by id and text: nothing unique is lost where ids
+    repeat or are missing."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(500)]
+    text = lambda n=80: " ".join(rng.choice(words) for _ in range(n))
+    near = lambda t: t.replace(t.split()[-1], "changed")
+    a, b, c, d = text(), text(), text(), text()
+    long = " ".join(f"v{rng.randrange(10**6)}" for _ in range(130_000))  # about a megabyte
+    rows = [(1, a), (5, near(a)), (5, b), (7, near(b)), (None, a), (None, a), (None, c), (None, near(c)), (9, d), (9, d), (9, near(d)), (11, None), (12, ""), (None, ""), (20, long), (21, near(long))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["jaccard_join"]
+    got = Counter((r["doc_id"], r["text"]) for r in stage(spark, docs.withColumn("row", F.lit("extra")).withColumn("group", F.lit(1)), str(tmp_path)).collect())
+    lone = [x for x in ((None, c), (None, near(c))) if x in got]
+    ninth = [x for x in ((9, d), (9, near(d))) if x in got]
+    assert len(lone) == len(ninth) == 1
+    assert got == Counter([(1, a), (5, b), lone[0], ninth[0], (11, None), (12, ""), (None, ""), (20, long)])
+
+
+def test_line_dedup_many_hot_shards(spark, monkeypatch):
+    """Thousands of shards that all have copies."""
+    from couplemap.llm import line_dedup
+    monkeypatch.setattr(line_dedup, "PROBES", 2)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    rows = [(d, "\n".join(f"this is line number {k}" for k in range(d % 7, 1500, 7))) for d in range(21)]
+    out = {r["id"]: r["kept"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {d: (t if d < 7 else "") for d, t in rows}
+    with pytest.raises(ValueError):
+        line_dedup.dropped_keys(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3)
