@@ -26,6 +26,7 @@ from couplemap.session import cut_lineage, ship_package
 
 MIN_WORDS = 20
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+MADE = ("text", "n_chars")  # what a stage makes anew; the other columns are handed through
 
 
 def _stage(work: Stage) -> Stage:
@@ -50,10 +51,14 @@ def _documents(out: DataFrame, columns: list[str], text: str) -> DataFrame:
     return out.select(*[one(c) for c in columns])
 
 
+def _others(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c not in MADE]
+
+
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their failing lines."""
-    out = judge_quality(docs, min_words=MIN_WORDS, carry=docs.columns)
+    out = judge_quality(docs, min_words=MIN_WORDS, carry=_others(docs))
     return _documents(out.where("kept"), docs.columns, "clean")
 
 
@@ -62,22 +67,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines go that a document with a smaller id holds.  A document that is
     left with less than half of its characters and under ``MIN_WORDS`` words
     was a copy, and goes."""
-    out = dedup_lines(docs, carry=docs.columns)
+    out = dedup_lines(docs, carry=_others(docs))
     words = F.size(F.filter(F.split("kept", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
-    left = (F.col("n_dropped") == 0) | (2 * F.length("kept") >= F.length(F.col("carried")["text"])) | (words >= MIN_WORDS)
+    left = (F.col("n_dropped") == 0) | (2 * F.length("kept") >= F.col("n_chars")) | (words >= MIN_WORDS)
     return _documents(out.where(left), docs.columns, "kept")
 
 
 @_stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id
-    stays, of repeated rows one.  Documents without an id stay."""
-    groups = cut_lineage(jaccard_components(docs))
-    gone = groups.where(F.col("component_id") != F.col("id")).select("id").distinct()
-    again = groups.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and id is not null").select("id")
-    kept = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
-    once = kept.join(again, kept["doc_id"] == again["id"], "left_anti")
-    twice = kept.join(again, kept["doc_id"] == again["id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of each group of near duplicates one row stays: the one with the
+    smallest id (rows without an id come last, equal ids are told apart by their
+    texts).  Rows are dropped by id and text together, so a row is lost only if
+    one of its own group stays.  Rows of one id and text stay once; rows without
+    words have no group and stay as they are."""
+    rows = cut_lineage(jaccard_components(docs, with_rows=True).where("group is not null").select("id", "row", "group"))
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")).select("group", "first.id", "first.row")
+    gone = rows.distinct().join(
+        first.select(F.col("group").alias("g"), F.col("id").alias("i"), F.col("row").alias("r")),
+        (F.col("group") == F.col("g")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r")), "left_anti").select(F.col("id").alias("gone_id"), F.col("row").alias("gone_row"))
+    again = rows.groupBy("id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("again_id"), F.col("row").alias("again_row"))
+    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))
+    among = lambda name: docs["doc_id"].eqNullSafe(F.col(f"{name}_id")) & (text == F.col(f"{name}_row"))
+    kept = docs.join(gone, among("gone"), "left_anti")
+    once = kept.join(again, among("again"), "left_anti")
+    twice = kept.join(again, among("again"), "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(twice)
 
 
@@ -85,7 +98,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items are cut out; documents that consist of
     them for more than half go."""
-    out = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=docs.columns)
+    out = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=_others(docs))
     return _documents(out.where("clean is not null"), docs.columns, "clean")
 
 
