@@ -8,14 +8,14 @@ sum is the count of that phrase, since each occurrence opens one window.  No
 separate n-grams are exploded.
 
 A window is padded from the place on where no candidate can go on.  A
-candidate's words, and its neighbouring words together, occur at least
-``least`` times, and a first pass counts all words and neighbouring pairs by a
-hash.  The hashes reached ``least`` times set bits of a bitmap of 2 ** ``BITS``
-bits, 16 MB whatever the corpus holds, which is broadcast.  A bit that another
-word or pair set keeps a window longer than needed and changes no count: what
-is reported is counted on the words themselves.  With very large corpora the
-bitmap fills up and the windows stay long; the result is the same.  Windows
-that open with a rarer word count for the language's total only.
+candidate's neighbouring pairs and triples of words occur at least ``least``
+times.  A first pass counts all pairs by a hash, a second one the triples made
+of two pairs that reached ``least``.  The hashes that reach it set bits of a
+bitmap of 2 ** ``BITS`` bits, 16 MB whatever the corpus holds, which is
+broadcast.  A bit that another pair or triple set keeps a window longer than
+needed and changes no count: what is reported is counted on the words
+themselves.  With very large corpora the bitmap fills up and the windows stay
+long; the result is the same.
 
 Scores are exact: decimals of 38 digits, and integer division.
 
@@ -69,31 +69,49 @@ def _words(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return distinct, codes, langs
 
 
-def _hashes(batch: pa.RecordBatch, distinct: list[bytes], codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each place's word, and of it and the next one (of the
-    language too); meaningless where a break is among them."""
-    word = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
-    lang = np.fromiter(map(xxhash.xxh3_64_intdigest, batch.column(0).to_pylist()), np.uint64, batch.num_rows)
-    h = word[codes]
-    x = (h * _ODD[0] + lang[owner]) * _ODD[1]
-    x ^= x >> np.uint64(31)
-    pair = (x[:-1] + h[1:]) * _ODD[2]
-    one = x * _ODD[2]
-    return one ^ (one >> np.uint64(29)), pair ^ (pair >> np.uint64(29))
+def _mixed(x: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """The hash of a phrase from that of its start and of its last word."""
+    x = ((x ^ (x >> np.uint64(31))) + then) * _ODD[2]
+    return x ^ (x >> np.uint64(29))
 
 
-def _count_hashes(depth: int):
+class _Phrases:
+    """Pairs and triples of a slice by the place of their first word."""
+
+    def __init__(self, batch: pa.RecordBatch, distinct: list[bytes], codes: np.ndarray, owner: np.ndarray):
+        word = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+        lang = np.fromiter(map(xxhash.xxh3_64_intdigest, batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+        h, is_word = word[codes], codes >= 0
+        self.pair = _mixed((h[:-1] * _ODD[0] + lang[owner[:-1]]) * _ODD[1], h[1:])
+        self.is_pair = is_word[:-1] & is_word[1:]
+        self.triple = _mixed(self.pair[:-1], h[2:])
+
+    def marked(self, set_bits: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs, and which triples, may be frequent."""
+        on = self.is_pair & _is_set(set_bits, self.pair, bits)
+        both = on[:-1] & on[1:]
+        return on, both
+
+
+def _is_set(set_bits: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    at = _first_bits(h, bits)
+    return (set_bits[at >> 3] >> (7 - (at & 7)) & 1) == 1
+
+
+def _count_hashes(depth: int, pairs, bits: int):
     """Hashes that occur in the slice, packed per part of the hash space (the
     first ``depth`` bits; the next 32 are sent): those found once, and the
-    others with their counts."""
+    others with their counts.  Pairs, or given their bitmap the triples."""
 
     def fn(batch: pa.RecordBatch):
         distinct, codes, owner = _words(batch)
-        if not len(codes):
+        if len(codes) < 3:  # a break, a word
             return
-        one, pair = _hashes(batch, distinct, codes, owner)
-        is_word = codes >= 0
-        h = np.concatenate([one[is_word], pair[is_word[:-1] & is_word[1:]]])
+        phrases = _Phrases(batch, distinct, codes, owner)
+        if pairs is None:
+            h = phrases.pair[phrases.is_pair]
+        else:
+            h = phrases.triple[phrases.marked(np.frombuffer(pairs.value, np.uint8), bits)[1]]
         if not len(h):
             return
         found, times = np.unique(h >> np.uint64(32 - depth), return_counts=True)
@@ -127,14 +145,15 @@ def _sum_part(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[starts], np.add.reduceat(n, starts)
 
 
-def frequent_bitmap(texts: DataFrame, least: int = LEAST, bits: int = BITS) -> bytes:
-    """A bitmap of 2 ** bits bits: set where the hash of a word or of a
-    neighbouring pair occurs ``least`` times or more.  A part sums the counts
+def frequent_bitmap(texts: DataFrame, least: int = LEAST, bits: int = BITS, pairs=None) -> bytes:
+    """A bitmap of 2 ** bits bits: set where the hash of a neighbouring pair
+    (with the broadcast bitmap ``pairs``: of a triple) occurs ``least`` times
+    or more.  A part sums the counts
     of a range of the hash space; there are as many parts as the texts need.  A
     very common pair is one packed entry per slice."""
     size = texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     depth = min(bits - 3, math.ceil(math.log2(max(LEAST_PARTS, size / PART_BYTES))))
-    packed = map_slices(texts, _count_hashes(depth), "part int, once binary, hashes binary, times binary", limit=SLICE)
+    packed = map_slices(texts, _count_hashes(depth, pairs, bits), "part int, once binary, hashes binary, times binary", limit=SLICE)
 
     def frequent(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         h, n = _sum_part(frame)
@@ -172,20 +191,17 @@ def _windows(bitmap, bits: int):
         names, lang = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
         lang = lang[owner]
         n = len(codes)
-        one, pair = _hashes(batch, distinct, codes, owner)
-        set_bits = np.frombuffer(bitmap.value, np.uint8)
-
-        def marked(h: np.ndarray) -> np.ndarray:
-            at = _first_bits(h, bits)
-            return (set_bits[at >> 3] >> (7 - (at & 7)) & 1) == 1
-
         is_word = codes >= 0
-        frequent = is_word & marked(one)
         # runs[i]: how many places after i belong to i's window
-        runs, going, on = np.zeros(n, np.int64), frequent.copy(), np.zeros(n + ORDER, bool)
-        on[:n - 1] = frequent[:-1] & frequent[1:] & marked(pair)
+        runs, on, triples = np.zeros(n, np.int64), np.zeros(n + ORDER, bool), np.zeros(n + ORDER, bool)
+        if n > 2:
+            phrases, set_bits = _Phrases(batch, distinct, codes, owner), np.frombuffer(bitmap.value, np.uint8)
+            on[:n - 1], both = phrases.marked(set_bits, bits)
+            triples[:n - 2] = both & _is_set(set_bits, phrases.triple, bits)
+        going = on[:n].copy()
         for k in range(ORDER - 1):
-            going &= on[k:n + k]
+            if k:
+                going &= triples[k - 1:n + k - 1]
             runs += going
         here = np.flatnonzero(is_word)
         if not len(here):
@@ -193,7 +209,7 @@ def _windows(bitmap, bits: int):
         columns = [lang[here]]
         wide = np.append(codes, np.full(ORDER, -1))
         for k in range(ORDER):
-            columns.append(np.where(frequent[here] & (runs[here] >= k), wide[here + k], -1))
+            columns.append(np.where(runs[here] >= k, wide[here + k], -1))
         rows = []
         for some in (columns[2] < 0, columns[2] >= 0):  # of one word (most), and longer ones
             part = np.column_stack([c[some] for c in columns])
@@ -216,7 +232,10 @@ def phrase_counts(documents: DataFrame, text_col: str = "text", lang_col: str =
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
     spark = documents.sparkSession
-    bitmap = spark.sparkContext.broadcast(frequent_bitmap(texts, least, bits))
+    pairs = frequent_bitmap(texts, least, bits)
+    triples = frequent_bitmap(texts, least, bits, spark.sparkContext.broadcast(pairs))
+    both = np.frombuffer(pairs, np.uint8) | np.frombuffer(triples, np.uint8)
+    bitmap = spark.sparkContext.broadcast(both.tobytes())
     wide = map_slices(texts, _windows(bitmap, bits), "lang string, " + ", ".join(f"{c} string" for c in COLUMNS) + ", n long", limit=SLICE)
     windows = cut_lineage(wide.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n")))
     sums = windows.rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
