@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from ..session import cut_lineage
 from . import porter
 
 IDENT_RE = r"[\p{L}_][\p{L}\p{N}_]*"
@@ -36,16 +36,11 @@ def lower_words(words: Column) -> Column:
     return F.transform(words, lambda x: F.lower(x))
 
 
-@F.pandas_udf(StringType())
-def _stem_udf(words: pd.Series) -> pd.Series:
-    return words.map(porter.stem)
-
-
 def stem_words(tokens: DataFrame, col: str = "word") -> DataFrame:
     """Porter stems, computed once per distinct word and joined back (the
     vocabulary is far smaller than the token stream)."""
     voc = tokens.select(F.col(col).alias("__w")).distinct()
-    stems = voc.select("__w", _stem_udf(F.col("__w")).alias("__s"))
+    stems = porter.stem_frame(voc, "__w", "__s")
     return tokens.join(stems, tokens[col] == stems["__w"]).drop(col, "__w").withColumnRenamed("__s", col)
 
 
@@ -68,6 +63,41 @@ def tokens_from_sources(sources: DataFrame, stem: bool = True, mode: str = "rege
     return toks.select("path", "ipos", "ppos", "word")
 
 
+def identifier_counts(sources: DataFrame, mode: str = "regex") -> DataFrame:
+    """(path, ident, cnt): how often each file holds each identifier."""
+    if mode == "ast":
+        ids = python_identifiers(sources).where(F.col("parsed") & F.col("ident").isNotNull()).select("path", "ident")
+    elif mode == "regex":
+        ids = sources.select("path", F.explode(identifiers(F.col("text"))).alias("ident"))
+    else:
+        raise ValueError(f"unknown identifier mode {mode!r}")
+    return ids.groupBy("path", "ident").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def identifier_dictionary(idents: DataFrame, stem: bool = True) -> DataFrame:
+    """(ident, word, times): the words of every distinct identifier, each
+    split, lower-cased and stemmed once."""
+    words = idents.select("ident").distinct().select("ident", F.explode(lower_words(split_identifier(F.col("ident")))).alias("word"))
+    if stem:
+        words = stem_words(words)
+    return words.groupBy("ident", "word").agg(F.count(F.lit(1)).alias("times"))
+
+
+def word_counts(sources: DataFrame, stem: bool = True, mode: str = "regex") -> DataFrame:
+    """(path, word, cnt) by way of the identifier dictionary.  Identifiers
+    that are their own only word (no underscore, capital or stem) need no entry
+    and no join; so the common words, which every file holds, meet no join key."""
+    counts = cut_lineage(identifier_counts(sources, mode))
+    if stem:
+        known = counts.withColumn("own", F.lit(False))
+    else:
+        known = counts.withColumn("own", (F.lower("ident") == F.col("ident")) & ~F.contains("ident", F.lit("_")))
+    entries = identifier_dictionary(known.where("not own"), stem)
+    joined = known.where("not own").join(entries, "ident").select("path", "word", (F.col("cnt") * F.col("times")).alias("cnt"))
+    rows = joined if stem else joined.unionByName(known.where("own").select("path", F.col("ident").alias("word"), "cnt"))
+    return rows.groupBy("path", "word").agg(F.sum("cnt").alias("cnt"))
+
+
 def parsed_sources(sources: DataFrame, mode: str = "regex") -> DataFrame:
     """The files that count for idf: all of them in regex mode, the ones
     that parse in ast mode."""
@@ -81,12 +111,14 @@ def unparsable_sources(sources: DataFrame) -> DataFrame:
     return python_identifiers(sources).where(~F.col("parsed")).select("path").distinct()
 
 
-def python_identifiers(sources: DataFrame) -> DataFrame:
+def python_identifiers(sources: DataFrame, seen: Observation | None = None) -> DataFrame:
     """AST mode for Python sources: ``Name`` ids plus function and class
     names (not async defs), in ``ast.walk`` order.  A file that does not
     parse gives one row with ``parsed`` false (the reference skips it and
     prints its name; here it stays queryable, see ``unparsable_sources``).
 
+    ``seen`` counts n_unparsed on the same pass.
+
     Output (path, parsed, ipos, ident); a parsed file without identifiers
     has one row with ipos -1 and NULL ident so that it still counts for idf."""
     import ast
@@ -115,5 +147,5 @@ def python_identifiers(sources: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": out_path, "parsed": out_ok,
                                 "ipos": np.array(out_pos, dtype=np.int64), "ident": out_id})
 
-    return sources.select("path", "text").mapInPandas(
-        run, schema="path string, parsed boolean, ipos long, ident string")
+    found = sources.select("path", "text").mapInPandas(run, schema="path string, parsed boolean, ipos long, ident string")
+    return found if seen is None else found.observe(seen, F.count_if(~F.col("parsed")).alias("n_unparsed"))

@@ -91,38 +91,53 @@ def city_positions(cities: DataFrame, ground: DataFrame) -> DataFrame:
                     (pz + F.col("ground_length") / 2).alias("center_z"))
 
 
-def overlapping_cities(pos: DataFrame, cell: float | None = None) -> DataFrame:
+def overlapping_cities(pos: DataFrame) -> DataFrame:
     """Pairs (i, j), i != j, where city i padded by 20 on each side meets city j.
 
-    A range join done as an equi-join: rectangles are cut into grid cells of
-    side ``cell`` (default: the largest padded side, a scalar aggregate), every
-    rectangle is listed in each cell it covers, pairs meet on a cell id and
-    the exact inequalities decide; a pair is kept once at the cell of the
-    larger of the two lower-left corners."""
+    A range join done as equi-joins on a grid of many levels: a rectangle's own
+    level is the smallest power of two that holds its longer side, so it
+    covers at most four cells there.  It meets rectangles of its own and of finer
+    levels on its own level, where those cover four cells at most as well.  A
+    rectangle is listed on the levels that the other side has (a short list:
+    exponents of two), and stands for its own level on one side of the join
+    only, so that many small cities near a huge one do not meet each other on
+    the huge one's level.  The exact inequalities decide; a pair is kept once,
+    in the cell of the larger of the two lower-left corners."""
     r1 = pos.select(
-        F.col("label").alias("i"),
+        F.col("label").alias("id"),
         (F.col("pos_x") - OVERLAP_PAD).alias("x0"), (F.col("pos_z") - OVERLAP_PAD).alias("z0"),
         (F.col("pos_x") - OVERLAP_PAD + F.col("ground_width") + 2 * OVERLAP_PAD).alias("x1"),
         (F.col("pos_z") - OVERLAP_PAD + F.col("ground_length") + 2 * OVERLAP_PAD).alias("z1"))
     r2 = pos.select(
-        F.col("label").alias("j"), F.col("pos_x").alias("x0"), F.col("pos_z").alias("z0"),
+        F.col("label").alias("id"), F.col("pos_x").alias("x0"), F.col("pos_z").alias("z0"),
         (F.col("pos_x") + F.col("ground_width")).alias("x1"), (F.col("pos_z") + F.col("ground_length")).alias("z1"))
-    size = F.lit(cell) if cell else r1.select(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("z1") - F.col("z0")))).scalar()
-
-    def cells(df, key):
-        cx = F.sequence(F.floor(F.col("x0") / size).cast("long"), F.floor(F.col("x1") / size).cast("long"))
-        cz = F.sequence(F.floor(F.col("z0") / size).cast("long"), F.floor(F.col("z1") / size).cast("long"))
-        return df.select("*", F.explode(cx).alias("cx")).select("*", F.explode(cz).alias("cz")).select(
-            F.col(key), *[F.col(c).alias(f"{c}_{key}") for c in ("x0", "z0", "x1", "z1")], "cx", "cz")
-
-    a, b = cells(r1, "i"), cells(r2, "j")
-    j = a.join(b, ["cx", "cz"]).where(F.col("i") != F.col("j"))
-    hit = (F.col("x0_i") < F.col("x1_j")) & (F.col("x0_j") < F.col("x1_i")) & \
-          (F.col("z0_i") < F.col("z1_j")) & (F.col("z0_j") < F.col("z1_i"))
-    # report each pair once: at the cell holding the corner (max x0, max z0)
-    own = (F.col("cx") == F.floor(F.greatest("x0_i", "x0_j") / size)) & \
-          (F.col("cz") == F.floor(F.greatest("z0_i", "z0_j") / size))
-    return j.where(hit & own).select("i", "j")
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("z1") - F.col("z0"), F.lit(1e-6))
+    r1, r2 = (r.withColumn("own", F.ceil(F.log2(side)).cast("int")) for r in (r1, r2))
+    levels = [sorted(row["own"] for row in r.select("own").distinct().collect() if row["own"] is not None) for r in (r1, r2)]
+
+    def cells(df: DataFrame, level, key: str) -> DataFrame:
+        df = df.withColumn("level", level)
+        size = F.pow(F.lit(2.0), F.col("level"))
+        for c, lo, hi in (("cx", "x0", "x1"), ("cz", "z0", "z1")):
+            df = df.withColumn(c, F.explode(F.sequence(F.floor(F.col(lo) / size).cast("long"), F.floor(F.col(hi) / size).cast("long"))))
+        return df.select(F.col("id").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in ("x0", "z0", "x1", "z1")], "level", "cx", "cz")
+
+    def listed(known: list[int], strict: bool):
+        wanted = F.array(*[F.lit(x) for x in known]).cast("array<int>")
+        return F.explode(F.filter(wanted, lambda x: x > F.col("own") if strict else x >= F.col("own")))
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        j = a.join(b, ["level", "cx", "cz"]).where(F.col("i") != F.col("j"))
+        size = F.pow(F.lit(2.0), F.col("level"))
+        hit = (F.col("x0_i") < F.col("x1_j")) & (F.col("x0_j") < F.col("x1_i")) & \
+              (F.col("z0_i") < F.col("z1_j")) & (F.col("z0_j") < F.col("z1_i"))
+        own = (F.col("cx") == F.floor(F.greatest("x0_i", "x0_j") / size)) & \
+              (F.col("cz") == F.floor(F.greatest("z0_i", "z0_j") / size))
+        return j.where(hit & own).select("i", "j")
+
+    # i's level at least j's, or j's above i's: each pair in one of the two
+    return meet(cells(r1, F.col("own"), "i"), cells(r2, listed(levels[0], False), "j")).unionByName(
+        meet(cells(r1, listed(levels[1], True), "i"), cells(r2, F.col("own"), "j")))
 
 
 def min_max_height(buildings: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ The n x n matrices of the reference are kept sparse: one row per pair
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -40,49 +40,103 @@ def invert_similarity(df: DataFrame, col: str = "similarity", out: str = "distan
 
 # ---- text: tf, idf, tf-idf, cosine -------------------------------------------------
 
-def _word_counts(tokens: DataFrame) -> DataFrame:
-    """(path, word, cnt): the one aggregate of the token stream that tf, the
-    token totals and df all derive from (its shuffle is shared)."""
-    return tokens.groupBy("path", "word").agg(F.count(F.lit(1)).alias("cnt"))
+def term_frequency(counts: DataFrame) -> DataFrame:
+    """(path, word, tf) with tf = count / tokens of the file, from
+    (path, word, cnt)."""
+    n = counts.groupBy("path").agg(F.sum("cnt").alias("n_tokens"))
+    return counts.join(n, "path").select("path", "word", (F.col("cnt") / F.col("n_tokens")).alias("tf"))
 
 
-def term_frequency(tokens: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """(path, word, tf) with tf = count / tokens of the file."""
-    c = counts if counts is not None else _word_counts(tokens)
-    n = c.groupBy("path").agg(F.sum("cnt").alias("n_tokens"))
-    return c.join(n, "path").select("path", "word", (F.col("cnt") / F.col("n_tokens")).alias("tf"))
-
-
-def inverse_doc_frequency(tokens: DataFrame, parsed: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def inverse_doc_frequency(counts: DataFrame, parsed: DataFrame) -> DataFrame:
     """(word, df, idf) with idf = ln(N / df); N counts every parsed file, empty
     ones included; no smoothing (a word in every file weighs 0)."""
     n_docs = parsed.select(F.count(F.lit(1))).scalar()
-    c = counts if counts is not None else _word_counts(tokens)
-    df = c.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     return df.select("word", "df", F.ln(n_docs / F.col("df")).alias("idf"))
 
 
-def tf_idf(tokens: DataFrame, parsed: DataFrame) -> DataFrame:
-    """(path, word, tf, idf, w).  The (path, word) counts are materialised once
-    (far smaller than the token stream), so the text is tokenised once."""
-    counts = cut_lineage(_word_counts(tokens))
-    tf = term_frequency(tokens, counts)
-    idf = inverse_doc_frequency(tokens, parsed, counts)
+def tf_idf(counts: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(path, word, tf, idf, w) from (path, word, cnt), which is materialised
+    once, so the text is tokenised once."""
+    counts = cut_lineage(counts)
+    tf = term_frequency(counts)
+    idf = inverse_doc_frequency(counts, parsed)
     return tf.join(idf, "word").select("path", "word", "tf", "idf", (F.col("tf") * F.col("idf")).alias("w"))
 
 
-def cosine_pairs(weights: DataFrame, tile: int = DEFAULT_TILE) -> DataFrame:
-    """(a, b, similarity) from sparse rows (path, word, w).
-
-    Rows are normalised first, zero weights (idf = 0) are dropped before the
-    inverted-index self-join, and a row of norm 0 has similarity 0 to all."""
+def _unit_rows(weights: DataFrame) -> DataFrame:
+    """(path, word, u): rows of norm 1; zero weights (idf = 0) are dropped, so
+    a row of norm 0 has similarity 0 to all."""
     nz = weights.where(F.col("w") != 0)
     norms = nz.groupBy("path").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    u = nz.join(norms, "path").select("path", "word", (F.col("w") / F.col("norm")).alias("u"))
+    return nz.join(norms, "path").select("path", "word", (F.col("w") / F.col("norm")).alias("u"))
+
+
+def cosine_pairs(weights: DataFrame, tile: int = DEFAULT_TILE, minimum: float | None = None) -> DataFrame:
+    """(a, b, similarity) from sparse rows (path, word, w): every pair that
+    shares a word, or with ``minimum`` the pairs that reach it."""
+    u = _unit_rows(weights)
+    if minimum is not None:
+        return _cosine_above(cut_lineage(u), minimum, tile)
     p = pair_rows(u, "word", "path", carry=["u"], tile=tile)
     return p.groupBy("a", "b").agg(F.sum(F.col("u_a") * F.col("u_b")).alias("similarity"))
 
 
+def weighted_prefixes(u: DataFrame, minimum: float) -> DataFrame:
+    """(path, word, u, rest): each row's words, rarest first, as long as the
+    norm ``rest`` from the word on reaches ``minimum``.
+
+    Two rows whose prefixes share no word are below the minimum: let x's prefix
+    end first in the order.  Then all shared words stand behind x's prefix, and
+    by Cauchy-Schwarz their products sum to at most the norm of x's remainder."""
+    df = u.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    onward = Window.partitionBy("path").orderBy("df", "word").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = u.join(df.where("df > 1"), "word", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    rows = rows.withColumn("rest", F.sqrt(F.sum(F.col("u") * F.col("u")).over(onward)))
+    # a word of one row meets nobody; it only stands before the others in the order
+    return rows.where((F.col("rest") >= minimum - 1e-9) & (F.col("df") > 1)).select("path", "word", "u", "rest")
+
+
+def _cosine_above(u: DataFrame, minimum: float, tile: int) -> DataFrame:
+    prefixes = weighted_prefixes(u, minimum)
+    met = pair_rows(prefixes, "word", "path", carry=["u", "rest"], tile=tile)
+    # of the shared prefix words, the last one in the order has the smallest
+    # remainders; what is shared behind it is at most their product
+    seen = met.groupBy("a", "b").agg(
+        F.sum(F.col("u_a") * F.col("u_b")).alias("sum"), F.min("rest_a").alias("ra"), F.min("rest_b").alias("rb"))
+    pairs = cut_lineage(seen.where(F.col("sum") + F.col("ra") * F.col("rb") >= minimum - 1e-9).select("a", "b"))
+    left = u.select(F.col("path").alias("a"), "word", F.col("u").alias("ua"))
+    right = u.select(F.col("path").alias("b"), "word", F.col("u").alias("ub"))
+    dots = pairs.join(left, "a").join(right, ["b", "word"]).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("similarity"))
+    return dots.where(F.col("similarity") >= minimum)
+
+
+def cosine_top_k(weights: DataFrame, k: int, start: float = 0.5, tile: int = DEFAULT_TILE) -> DataFrame:
+    """(path, rank, other, similarity): the k nearest rows of every row that
+    shares a word with others (by similarity to nine digits, then name).
+
+    Rows that have k partners of similarity ``start`` or more are done after
+    the filtered join; pairs of the others come from the full one."""
+    def both(pairs: DataFrame) -> DataFrame:
+        near = F.round("similarity", 9).alias("similarity")
+        return pairs.select(F.col("a").alias("path"), F.col("b").alias("other"), near).unionByName(
+            pairs.select(F.col("b").alias("path"), F.col("a").alias("other"), near))
+
+    def best(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("path").orderBy(F.desc("similarity"), "other")
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    weights = cut_lineage(weights)
+    near = cut_lineage(best(both(cosine_pairs(weights, tile, minimum=start))))
+    done = cut_lineage(near.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("path"))
+    out = near.join(done, "path", "left_semi")
+    rest = weights.select("path").distinct().join(done, "path", "left_anti")
+    if rest.limit(1).count():
+        rest = cut_lineage(rest)
+        out = out.unionByName(best(both(cosine_pairs(weights, tile)).join(rest, "path", "left_semi")))
+    return out.select("path", F.col("rank").cast("long").alias("rank"), "other", "similarity")
+
+
 def cosine_vectors(a: Column, b: Column) -> Column:
     """Cosine of two dense vectors (arrays); NULL when a norm is 0."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)

@@ -62,8 +62,7 @@ def semantic_map(history: History, sources: DataFrame, remove_bulk: int = -1, n_
     live = cut_lineage(H.live_files(history.files))
     src = cut_lineage(sources.join(live, "path"))  # the corpus: the live files that could be read
     parsed = cut_lineage(T.parsed_sources(src, mode))
-    tokens = cut_lineage(T.tokens_from_sources(src, stem=stem, mode=mode))
-    weights = cut_lineage(S.tf_idf(tokens, parsed))
+    weights = cut_lineage(S.tf_idf(T.word_counts(src, stem=stem, mode=mode), parsed))
     cos = cut_lineage(S.cosine_pairs(weights))
     items = parsed
     clusters = cut_lineage(birch(distance_rows(items, cos), THRESHOLD_MATRIX))

@@ -17,6 +17,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.indexing import with_global_index
+from ..functions.porter import stem_sql
 from ..operators import graph as G
 from ..operators import history as H
 from ..operators import layout as L
@@ -122,9 +123,25 @@ def q_scan_files(spark, sf):
     return scan_files(spark, folder)
 
 
-@register("scan_sources", O.with_(O.CORPUS) + "SELECT path, length(text) AS n_chars FROM docs")
+_SKIPPED = 7  # every seventh document is written with a byte that is not UTF-8
+
+
+@register("scan_sources", f"""SELECT concat('doc_', CAST(doc_id AS VARCHAR)) AS path, length(text) AS n_chars,
+  (SELECT count(*) FROM documents) AS n_files, (SELECT count(*) FROM documents WHERE doc_id % {_SKIPPED} = 0) AS n_skipped
+FROM documents WHERE doc_id % {_SKIPPED} <> 0 AND text IS NOT NULL""")
 def q_scan_sources(spark, sf):
-    return B.corpus(spark, sf).select("path", F.length("text").cast("long").alias("n_chars"))
+    """All documents written as a table of contents and read back; the
+    counters come from the pass that reads."""
+    from pyspark.sql import Observation
+    from ..sources.history import scan_sources
+    folder = _scratch(spark, "sources")
+    d = B.table(spark, sf, "documents").where("text is not null")
+    plain = F.encode("text", "UTF-8")
+    content = F.when(F.col("doc_id") % _SKIPPED == 0, F.concat(F.unhex(F.lit("FF")), plain)).otherwise(plain)
+    d.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"), content.alias("content")).write.parquet(folder)
+    seen = Observation()
+    read = cut_lineage(scan_sources(spark, folder, seen=seen).select("path", F.length("text").cast("long").alias("n_chars")))
+    return read.withColumns({k: F.lit(seen.get[k]).cast("long") for k in ("n_files", "n_skipped")})
 
 
 # ---- 2.2 projections, filters, scalar functions ------------------------------------------
@@ -247,6 +264,30 @@ def q_extract_identifiers(spark, sf):
     return ids.select("path", F.col("ipos").cast("long").alias("ipos"), "ident")
 
 
+_UNPARSED = 5  # every fifth source has a bracket that is never closed
+
+_AST_SQL = f"""WITH w AS (SELECT doc_id, concat('doc_', CAST(doc_id AS VARCHAR)) AS path, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE text IS NOT NULL),
+names AS (SELECT path, k AS ipos, concat('x_', w[k]) AS ident FROM (SELECT path, w, unnest(range(1, 2 * (len(w) // 2) + 1)) AS k FROM w WHERE doc_id % {_UNPARSED} <> 0))
+SELECT path, true AS parsed, ipos, ident, n_unparsed FROM (
+  SELECT path, 0 AS ipos, concat('C_', CAST(doc_id AS VARCHAR)) AS ident FROM w WHERE doc_id % {_UNPARSED} <> 0 UNION ALL SELECT * FROM names), (SELECT count(*) AS n_unparsed FROM w WHERE doc_id % {_UNPARSED} = 0)"""
+
+
+@register("extract_identifiers_ast", _AST_SQL)
+def q_extract_identifiers_ast(spark, sf):
+    """Each document's words as a Python source of one class and assignments
+    (``x_a = x_b``), parsed; sources that do not parse are counted on the way."""
+    from pyspark.sql import Observation
+    d = B.table(spark, sf, "documents").where("text is not null")
+    d = d.select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    pairs = F.transform(F.filter(F.transform("w", lambda x, k: F.struct(x.alias("a"), F.get("w", k + 1).alias("b"), k.alias("k"))),
+                                 lambda p: (p["k"] % 2 == 0) & p["b"].isNotNull()), lambda p: F.concat(F.lit("x_"), p["a"], F.lit(" = x_"), p["b"]))
+    opened = F.when(F.col("doc_id") % _UNPARSED == 0, F.lit("\n(")).otherwise(F.lit("\n"))
+    source = F.concat(F.lit("class C_"), F.col("doc_id").cast("string"), F.lit(": pass\n"), F.array_join(pairs, "\n"), opened)
+    seen = Observation()
+    found = cut_lineage(T.python_identifiers(d.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"), source.alias("text")), seen))
+    return found.where("parsed").withColumn("n_unparsed", F.lit(seen.get["n_unparsed"]).cast("long"))
+
+
 @register("split_identifier", O.with_(O.CORPUS) + """SELECT ident, string_agg(w, ' ' ORDER BY spos, k) AS words FROM (
   SELECT DISTINCT ident, spos, k, cw[k] AS w FROM (
     SELECT p.ident, c.spos, c.cw, unnest(generate_series(1, len(c.cw))) AS k
@@ -260,12 +301,12 @@ def q_split_identifier(spark, sf):
 
 @register("lower_words", O.with_(O.CORPUS) + "SELECT DISTINCT word FROM tokens")
 def q_lower_words(spark, sf):
-    return T.tokens_from_sources(B.corpus(spark, sf), stem=False).select("word").distinct()
+    return _counts(spark, sf).select("word").distinct()
 
 
-@register("stem_words")
+@register("stem_words", O.with_(O.CORPUS) + stem_sql("SELECT DISTINCT word AS orig FROM tokens"))
 def q_stem_words(spark, sf):
-    toks = T.tokens_from_sources(B.corpus(spark, sf), stem=False).select("word").distinct()
+    toks = _counts(spark, sf).select("word").distinct()
     return T.stem_words(toks.withColumn("orig", F.col("word"))).select("orig", F.col("word").alias("stem"))
 
 
@@ -408,27 +449,26 @@ def q_history_counts(spark, sf):
 
 @register("vocabulary", O.with_(O.CORPUS) + "SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx FROM (SELECT DISTINCT word FROM tokens)")
 def q_vocabulary(spark, sf):
-    toks = T.tokens_from_sources(B.corpus(spark, sf), stem=False)
-    return with_global_index(toks.select("word").distinct(), [F.col("word")], name="idx")
+    return with_global_index(_counts(spark, sf).select("word").distinct(), [F.col("word")], name="idx")
 
 
-def _tokens(spark, sf):
-    return T.tokens_from_sources(B.corpus(spark, sf), stem=False)
+def _counts(spark, sf):
+    return T.word_counts(B.corpus(spark, sf), stem=False)
 
 
 @register("term_frequency", O.with_(O.CORPUS) + "SELECT path, word, round(tf, 6) AS tf FROM tf")
 def q_term_frequency(spark, sf):
-    return S.term_frequency(_tokens(spark, sf)).select("path", "word", r6("tf").alias("tf"))
+    return S.term_frequency(cut_lineage(_counts(spark, sf))).select("path", "word", r6("tf").alias("tf"))
 
 
 @register("inverse_doc_frequency", O.with_(O.CORPUS) + "SELECT word, df, round(idf, 6) AS idf FROM idf")
 def q_inverse_doc_frequency(spark, sf):
-    return S.inverse_doc_frequency(_tokens(spark, sf), B.corpus(spark, sf)).select("word", "df", r6("idf").alias("idf"))
+    return S.inverse_doc_frequency(_counts(spark, sf), B.corpus(spark, sf)).select("word", "df", r6("idf").alias("idf"))
 
 
 @register("tf_idf", O.with_(O.CORPUS) + "SELECT path, word, round(w, 6) AS w FROM tfidf")
 def q_tf_idf(spark, sf):
-    return S.tf_idf(_tokens(spark, sf), B.corpus(spark, sf)).select("path", "word", r6("w").alias("w"))
+    return S.tf_idf(_counts(spark, sf), B.corpus(spark, sf)).select("path", "word", r6("w").alias("w"))
 
 
 @register("cluster_members", O.hist("SELECT DISTINCT label, path FROM clusters"))
@@ -485,10 +525,25 @@ def q_jaccard_distance(spark, sf):
 
 @register("cosine_similarity", O.with_(O.CORPUS) + "SELECT a, b, round(similarity, 6) AS similarity FROM cosine")
 def q_cosine_similarity(spark, sf):
-    w = S.tf_idf(_tokens(spark, sf), B.corpus(spark, sf))
+    w = S.tf_idf(_counts(spark, sf), B.corpus(spark, sf))
     return S.cosine_pairs(w).select("a", "b", r6("similarity").alias("similarity"))
 
 
+@register("cosine_similarity_above", O.with_(O.CORPUS) + "SELECT a, b, round(similarity, 6) AS similarity FROM cosine WHERE similarity >= 0.4")
+def q_cosine_similarity_above(spark, sf):
+    w = S.tf_idf(_counts(spark, sf), B.corpus(spark, sf))
+    return S.cosine_pairs(w, minimum=0.4).select("a", "b", r6("similarity").alias("similarity"))
+
+
+@register("cosine_top_k", O.with_(O.CORPUS, """
+near AS (SELECT a AS path, b AS other, round(similarity, 9) AS s FROM cosine UNION ALL SELECT b, a, round(similarity, 9) FROM cosine),
+ranked AS (SELECT path, other, s, row_number() OVER (PARTITION BY path ORDER BY s DESC, other) AS rank FROM near)""") + """
+SELECT path, rank, other, round(s, 6) AS similarity FROM ranked WHERE rank <= 5""")
+def q_cosine_top_k(spark, sf):
+    w = S.tf_idf(_counts(spark, sf), B.corpus(spark, sf))
+    return S.cosine_top_k(w, 5).select("path", "rank", "other", r6("similarity").alias("similarity"))
+
+
 @register("cosine_vectors", O.with_(O.POINTS) + """SELECT x.path AS a, y.path AS b,
   round(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 6) AS cosine
 FROM pts x JOIN pts y ON y.vec_id = x.vec_id + 1""")
@@ -843,3 +898,9 @@ def q_semantic_map(spark, sf):
 def q_couplings_map(spark, sf):
     from ..plans.maps import couplings_map
     return couplings_map(None, B.events_history(spark, sf)).routes
+
+
+@register("couplings_map_semantic")
+def q_couplings_map_semantic(spark, sf):
+    from ..plans.maps import couplings_map
+    return couplings_map("semantic", B.events_history(spark, sf), B.events_sources(spark, sf), mode="regex").routes

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,8 +27,12 @@ def _read(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
 
 
 def scan_commits(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Ordered commit log; ``commit_seq`` is the traversal order."""
+    """Ordered commit log; ``commit_seq`` is the traversal order and must be
+    unique (a repeated one raises)."""
     df = _read(spark, path, fmt)
+    again = df.groupBy("commit_seq").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"commit_seq {again[0]['commit_seq']} occurs {again[0]['n']} times")
     if "committer_tz" not in df.columns:
         df = df.withColumn("committer_tz", F.lit(None).cast("string"))
     return df.select("commit_seq", "commit_id", "committer_ts", "committer_tz")
@@ -69,10 +73,25 @@ def scan_file_tree(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def scan_source_tree(spark: SparkSession, root: str) -> DataFrame:
+def _decoded(contents: DataFrame, seen: Observation | None) -> DataFrame:
+    """(path, text) of (path, content BINARY): contents that are not UTF-8 are
+    skipped.  ``seen`` counts n_files and n_skipped on the pass that reads."""
+    text = F.col("content").cast("string")
+    rows = contents.select("path", F.when(F.is_valid_utf8(text), text).alias("text"))
+    if seen is not None:
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("text").isNull()).alias("n_skipped"))
+    return rows.where("text is not null")
+
+
+def scan_sources(spark: SparkSession, path: str, fmt: str | None = None, seen: Observation | None = None) -> DataFrame:
+    """sources(path, text) from a table (path, content BINARY)."""
+    return _decoded(_read(spark, path, fmt).select("path", F.col("content").cast("binary").alias("content")), seen)
+
+
+def scan_source_tree(spark: SparkSession, root: str, seen: Observation | None = None) -> DataFrame:
     """sources(path, text): every file under ``root`` as one text row, path
-    relative to ``root``; unreadable files are skipped."""
-    df = spark.read.option("ignoreCorruptFiles", "true").text(root, wholetext=True, recursiveFileLookup=True)
+    relative to ``root``; files that cannot be decoded are skipped."""
+    df = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").load(root)
     import os
     import re
 
@@ -80,7 +99,7 @@ def scan_source_tree(spark: SparkSession, root: str) -> DataFrame:
     full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     root_abs = os.path.abspath(root).rstrip("/") if "://" not in root else root.rstrip("/").split("://", 1)[1]
     rel = F.regexp_extract(full, re.escape(root_abs) + "/(.*)$", 1)
-    return df.select(rel.alias("path"), F.col("value").alias("text"))
+    return _decoded(df.select(rel.alias("path"), "content"), seen)
 
 
 def _unquoted(field):

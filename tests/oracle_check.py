@@ -29,7 +29,7 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or type(v).__name__ == "NAType":
         return None
     if isinstance(v, float):
         if math.isnan(v):

@@ -71,3 +71,29 @@ def test_identifiers_of_any_script(spark):
 
     df = spark.createDataFrame([("café número größe item2 2nd __init__ _x HTTPServer",)], ["t"])
     assert df.select(T.identifiers(F.col("t"))).first()[0] == ["café", "número", "größe", "item2", "nd", "__init__", "_x", "HTTPServer"]
+
+
+def test_stem_expressions_equal_the_word_by_word_stemmer(spark):
+    import random
+
+    from couplemap.functions import porter
+
+    rng = random.Random(1)
+    endings = [a for a, _ in porter._STEP2 + porter._STEP3] + porter._STEP4 + ["s", "ies", "sses", "ed", "ing", "eed", "ied", "y", "e", "ll", ""]
+    words = set(porter._POOL) | {"y" * k for k in range(9)} | {"b" + "y" * k + "ing" for k in range(9)} | {"ñandúes", "été", "日本s", "x" * 3000 + "ing"}
+    for _ in range(6000):
+        start = "".join(rng.choice("aeioubcdfglmnprstvwxyz") for _ in range(rng.randint(0, 6)))
+        words.add(start + rng.choice(endings) + rng.choice(["", "", "s", "ed", "ing", "ly"]))
+    df = spark.createDataFrame([(w,) for w in words], "w string")  # the column is named like the expressions' own
+    got = {r["w"]: r["p"] for r in porter.stem_frame(df, "w", "p").collect()}
+    assert got == {w: porter.stem(w) for w in words}
+
+
+def test_word_counts_by_dictionary(spark):
+    from collections import Counter
+
+    texts = [("a", "fooBar foo_bar foo Foo HTTPServer __init__ plain plain été ÉTÉ"), ("b", "plain foo relational"), ("c", ""), ("d", None)]
+    src = spark.createDataFrame(texts, "path string, text string")
+    for stem in (False, True):
+        want = Counter((r.path, r.word) for r in T.tokens_from_sources(src, stem=stem).collect())
+        assert {(r.path, r.word): r.cnt for r in T.word_counts(src, stem=stem).collect()} == want

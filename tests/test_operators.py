@@ -316,3 +316,39 @@ def test_components_deal_a_hub_out(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
     assert sum(per) == 200_000 and max(per) <= 3 * sorted(per)[len(per) // 2]
+
+
+def test_overlapping_cities_one_huge(spark):
+    """A huge city among many small ones, against all pairs of a small grid;
+    the small ones do not meet on the huge one's level."""
+    from couplemap.operators.layout import OVERLAP_PAD, overlapping_cities
+    rng = np.random.default_rng(6)
+    rows = [(0, 0.0, 0.0, 1e6, 1e6)] + [(i, *map(float, rng.uniform(-5e3, 5e3, 2)), *map(float, rng.choice([10.0, 40.0, 900.0], 2))) for i in range(1, 400)] + [(500, 7.0, 7.0, 0.0, 0.0)]
+    pos = spark.createDataFrame(rows, "label long, pos_x double, pos_z double, ground_width double, ground_length double")
+    p = OVERLAP_PAD
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and a[1] - p < b[1] + b[3] and b[1] < a[1] + a[3] + p and a[2] - p < b[2] + b[4] and b[2] < a[2] + a[4] + p}
+    got = [tuple(r) for r in overlapping_cities(pos).collect()]
+    assert set(got) == want and len(got) == len(want)
+    small = spark.range(1, 50_001).select(
+        F.col("id").alias("label"), (F.col("id") % 250 * 100).cast("double").alias("pos_x"), F.floor(F.col("id") / 250).cast("double").alias("pos_z") * 100,
+        F.lit(30.0).alias("ground_width"), F.lit(30.0).alias("ground_length")).toDF("label", "pos_x", "pos_z", "ground_width", "ground_length")
+    many = small.unionByName(pos.where("label = 0"))
+    assert overlapping_cities(many).where("i = 0").count() == 50_000
+
+
+def test_cosine_above_and_top_k(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"p{i:02d}", f"w{j}", float(w)) for i in range(60) for j, w in zip(rng.choice(40, 8, replace=False), rng.exponential(1.0, 8)) if i != 7]
+    rows += [("p07", "alone", 1.0), ("p61", "w1", 0.0)]
+    df = spark.createDataFrame(rows, "path string, word string, w double")
+    full = {(r.a, r.b): r.similarity for r in S.cosine_pairs(df).collect()}
+    for t in (0.2, 0.6, 0.99):
+        got = {(r.a, r.b): r.similarity for r in S.cosine_pairs(df, minimum=t).collect()}
+        assert got.keys() == {k for k, v in full.items() if v >= t} and all(abs(got[k] - full[k]) < 1e-12 for k in got)
+    near = {}
+    for (a, b), v in full.items():
+        near.setdefault(a, []).append((-round(v, 9), b))
+        near.setdefault(b, []).append((-round(v, 9), a))
+    want = sorted((p, k + 1, other) for p, rest in near.items() for k, (_, other) in enumerate(sorted(rest)[:3]))
+    for start in (0.1, 0.9):
+        assert sorted((r.path, r["rank"], r.other) for r in S.cosine_top_k(df, 3, start=start).collect()) == want

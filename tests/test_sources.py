@@ -87,3 +87,35 @@ def test_events_sources_take_every_document(spark):
     live = {r["path"] for r in live_files(B.events_history(spark, SF).files).collect()}
     paths = [r["path"] for r in parsed_sources(got).collect()]
     assert set(paths) <= live and len(paths) == len(set(paths)) == got.select("path").distinct().count()
+
+
+def test_skipped_sources_are_counted(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from couplemap.functions.text import python_identifiers
+    from couplemap.sources.history import scan_source_tree, scan_sources
+
+    (tmp_path / "good é.py").write_text("x = 1\n")
+    (tmp_path / "bad.py").write_bytes(b"\xff\xfe x = 1")
+    (tmp_path / "open.py").write_text("x = (\n")
+    seen, parsed = Observation(), Observation()
+    src = scan_source_tree(spark, str(tmp_path), seen)
+    got = sorted((r.path, r.ident, r.parsed) for r in python_identifiers(src, parsed).collect())
+    assert got == [("good é.py", "x", True), ("open.py", None, False)]
+    assert seen.get == {"n_files": 3, "n_skipped": 1} and parsed.get == {"n_unparsed": 1}
+    rows = [("p", bytearray(b"ok")), ("q", bytearray(b"\xff")), ("r", None)]
+    spark.createDataFrame(rows, "path string, content binary").write.parquet(str(tmp_path / "t.parquet"))
+    seen = Observation()
+    assert [tuple(r) for r in scan_sources(spark, str(tmp_path / "t.parquet"), seen=seen).collect()] == [("p", "ok")]
+    assert seen.get == {"n_files": 3, "n_skipped": 2}
+
+
+def test_repeated_commit_seq_raises(spark, tmp_path):
+    import pytest
+
+    from couplemap.sources.history import scan_commits
+
+    folder = str(tmp_path / "commits")
+    spark.sql("SELECT 1L AS commit_seq, 'a' AS commit_id, timestamp'2024-01-01' AS committer_ts UNION ALL SELECT 1L, 'b', timestamp'2024-01-02'").write.parquet(folder)
+    with pytest.raises(ValueError):
+        scan_commits(spark, folder)
