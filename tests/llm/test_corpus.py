@@ -200,3 +200,46 @@ def test_collocation_counts_do_not_rest_on_the_bitmap(spark, prose):
 
 def test_collocations_empty(spark, prose):
     assert collocations(frame(spark, prose).where("1 = 0")).count() == 0
+
+
+# ---- tokenizers over every code point ---------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def code_points(spark):
+    """Every code point, in runs and between letters, digits and spaces."""
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = []
+    for k in range(0, len(points), 512):
+        run = points[k:k + 512]
+        texts += ["".join(run), "".join(f"a{c}1 {c}" for c in run)]
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+
+
+def test_bpe_of_every_code_point(spark, code_points):
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
+
+    from couplemap.llm.bpe import encode_texts, ship_vocabulary
+    from couplemap.llm.common import read_ranks
+
+    texts, df = code_points
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(read_ranks(path)), special_tokens={})
+    out = encode_texts(df, ship_vocabulary(spark, path, public_tokenizers.PATTERN), decode=True)
+    got = {r.id: (bytes(r.ids), bytes(r.decoded)) for r in out.select("id", "ids", "decoded").collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == (np.array(library.encode_ordinary(t), "<u4").tobytes(), t.encode())
+
+
+def test_token_counts_of_every_code_point(spark, code_points):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from couplemap.llm.token_counts import count_tokens, ship_file
+
+    texts, df = code_points
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    got = {r.id: r.n_tokens for r in count_tokens(df, ship_file(spark, path)).collect()}
+    assert got == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
