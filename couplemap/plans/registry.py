@@ -825,6 +825,23 @@ def q_embed_mca(spark, sf):
     return mca(_Hist(spark, sf).inc)
 
 
+@register("mca_invariant", O.hist("""SELECT count(*) AS n_files, count(*) AS n_placed, true AS centred, true AS orthogonal, true AS ordered, true AS within FROM heights"""))
+def q_mca_invariant(spark, sf):
+    """The axes are centred and orthogonal, the first carries at least the
+    inertia of the second, and both together at most the whole (the mean squared
+    distance from the centre is 1 with all axes)."""
+    from ..operators.embedding.mca import mca
+    x = _Hist(spark, sf)
+    out = mca(x.inc).select("path", "x", "y")
+    both = x.heights.select("path").join(out.withColumnRenamed("path", "placed"), F.col("path") == F.col("placed"), "full")
+    sums = both.agg(
+        F.countDistinct("path").alias("n_files"), F.countDistinct("placed").alias("n_placed"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
+        F.avg(F.col("x") * F.col("x")).alias("xx"), F.avg(F.col("y") * F.col("y")).alias("yy"), F.avg(F.col("x") * F.col("y")).alias("xy"))
+    return sums.select(
+        "n_files", "n_placed", ((F.abs("mx") < 1e-6) & (F.abs("my") < 1e-6)).alias("centred"), (F.abs("xy") <= 1e-6 * F.col("xx")).alias("orthogonal"),
+        (F.col("xx") >= F.col("yy") * (1 - 1e-9)).alias("ordered"), ((F.col("yy") > 0) & (F.col("xx") + F.col("yy") <= 1 + 1e-9)).alias("within"))
+
+
 # ---- results, log loader, composed maps -----------------------------------------------
 
 def _scratch(spark, name: str) -> str:

@@ -352,3 +352,19 @@ def test_cosine_above_and_top_k(spark):
     want = sorted((p, k + 1, other) for p, rest in near.items() for k, (_, other) in enumerate(sorted(rest)[:3]))
     for start in (0.1, 0.9):
         assert sorted((r.path, r["rank"], r.other) for r in S.cosine_top_k(df, 3, start=start).collect()) == want
+
+
+def test_mca_equals_the_dense_decomposition(spark):
+    from couplemap.operators.embedding.mca import mca
+    rng = np.random.default_rng(12)
+    Z = (rng.random((50, 30)) < np.where(rng.integers(0, 2, 50)[:, None] == rng.integers(0, 2, 30)[None, :], 0.6, 0.1)).astype(float)
+    Z[:, 0], Z[0] = 1.0, 1.0  # a commit of all files says nothing
+    inc = spark.createDataFrame([(f"p{i:02d}", int(k)) for i, k in zip(*np.nonzero(Z))], "path string, commit_seq long")
+    f = Z.mean(0)
+    use = (f > 0) & (f < 1)
+    X = (Z[:, use] - f[use]) / np.sqrt(f[use] * (1 - f[use]))
+    u, s, _ = np.linalg.svd(X, full_matrices=False)
+    want = u[:, :2] * s[:2] / np.sqrt(use.sum())
+    got = np.array([[r.x, r.y] for r in mca(inc).orderBy("path").collect()])
+    for k in range(2):
+        assert min(np.abs(got[:, k] - want[:, k]).max(), np.abs(got[:, k] + want[:, k]).max()) < 1e-3
