@@ -11,13 +11,12 @@ the edges with these minima.  Vertices of very many edges (at most
 ``HUBS`` times the shuffle partitions, whatever the graph holds: a list of
 bounded length) have their edges dealt over copies of their minimum, so a hub
 fills no task.  No vertex's neighbourhood is gathered into one row.  Count and
-checksum of the edges, observed while a round is written, tell when nothing
-changes any more.
+checksum of a round's written edges tell when nothing changes any more.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -39,10 +38,9 @@ def _with_minimum(edges: DataFrame, limit: int) -> DataFrame:
 
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The distinct edges (larger vertex first), with their count and checksum."""
-    seen = Observation()
     whole = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    out = cut_lineage(whole.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")))
-    return out, (seen.get["n"], seen.get["x"])
+    out = cut_lineage(whole)
+    return out, tuple(out.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,7 +52,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         limit = max(HUB_EDGES, 2 * before[0] // (HUBS * parts))
         both = rows.unionByName(rows.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_minimum(both, limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large, _ = _written(large)
+        large = cut_lineage(large.where("u <> v").distinct())  # u is the larger one
         small = _with_minimum(large, limit).select("v", "u", "m")
         small = small.select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
         rows, now = _written(small)
