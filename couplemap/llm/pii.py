@@ -55,6 +55,9 @@ _CLOSE = r"[\"')\]\u00bb\u2019\u201d]"
 #: Line breaks (and blank lines) between two lines that both end a sentence.
 PASSAGE = rf"(?<={_END}{_CLOSE}{{0,3}}[ \t\r]{{0,8}})\n\s*+(?=[^\n]*{_END}{_CLOSE}{{0,3}}[ \t\r]{{0,8}}(?:\n|\z))"
 BLOCK = 64
+#: Stands for a letter or digit of a base span (a private-use character, no letter itself).
+MARK = "\ue000"
+MARKED_WORD = rf"[\p{{L}}\p{{N}}{MARK}]++"
 
 
 def _digits(text: Column) -> Column:
@@ -145,6 +148,16 @@ def with_matches(rows: DataFrame, text: str, pattern: str, name: str, wanted: Co
     return rows.withColumn(name, F.coalesce(F.when(F.size(hit) > 0, F.transform(zipped, span)), empty)).drop(gap, hit, f"__size_{name}", f"__from_{name}")
 
 
+def _masked(text: str, kind: str) -> Column:
+    """The text with ``MARK`` for every letter and digit inside the kind's
+    spans, of the same length.  Marks of the text itself become spaces (they
+    are no letters either)."""
+    hide = lambda m: F.when(is_valid(kind, m), F.regexp_replace(m, r"[\p{L}\p{N}]", MARK)).otherwise(m)
+    gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda g: F.translate(g, MARK, " "))
+    hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    return F.array_join(F.zip_with(gaps, hits, lambda g, m: F.concat(g, F.coalesce(hide(m), F.lit("")))), "")
+
+
 def with_base_spans(rows: DataFrame, text: str = "body") -> DataFrame:
     """Adds one array of (value, start, end) per kind."""
     for kind in KINDS:
@@ -164,11 +177,19 @@ def _entities(line: Column) -> Column:
 
 def with_free_words(rows: DataFrame, name: str, wanted: Column, text: str = "body") -> DataFrame:
     """Adds ``name``: the words outside base spans as (value, start, end);
-    the rows have their base spans."""
+    the rows have their base spans.  A text masked by one kind has the same
+    words at the same places, so the k-th word overlaps a span of the kind if
+    the k-th masked word holds a mark."""
     rows = with_matches(rows, text, WORD, name, wanted)
-    held = F.flatten(F.array(*[F.transform(k, _places) for k in KINDS]))
-    free = lambda x: ~F.exists(held, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return rows.withColumn(name, F.filter(name, free))
+    for kind in KINDS:
+        masked, seen = f"__masked_{kind}", f"__seen_{kind}"
+        rows = rows.withColumn(masked, F.when((F.size(name) > 0) & (F.size(kind) > 0), _masked(text, kind)))
+        hits = F.when(F.col(masked).isNotNull(), F.regexp_extract_all(masked, F.lit(MARKED_WORD), F.lit(0)))
+        rows = rows.withColumn(seen, F.coalesce(hits, F.array().cast("array<string>"))).drop(masked)
+    words = F.arrays_zip(F.col(name).alias("w"), *[F.col(f"__seen_{k}").alias(k) for k in KINDS])
+    free = lambda x: ~F.greatest(*[F.coalesce(F.contains(x[k], F.lit(MARK)), F.lit(False)) for k in KINDS])
+    marked = sum([F.size(f"__seen_{k}") for k in KINDS], F.lit(0)) > 0
+    return rows.withColumn(name, F.when(marked, F.transform(F.filter(words, free), lambda x: x["w"])).otherwise(F.col(name))).drop(*[f"__seen_{k}" for k in KINDS])
 
 
 def _terms(words: Column) -> Column:
@@ -188,7 +209,9 @@ def disclosing_terms(rows: DataFrame, disclosure: float = 0.75, support: int = 3
     """(entity, term) pairs whose mutual information reaches ``disclosure``
     of the entity's information.  ``rows``: (body), one per document."""
     hint = F.col("body").rlike(ANY_HINT)
-    passages = rows.where(hint).select(F.monotonically_increasing_id().alias("doc"), F.explode(F.split("body", PASSAGE, -1)).alias("body")).where(hint)
+    # numbered before the explode: in one select with it, each passage would get a number of its own
+    numbered = rows.where(hint).select("body", F.monotonically_increasing_id().alias("doc"))
+    passages = numbered.select("doc", F.explode(F.split("body", PASSAGE, -1)).alias("body")).where(hint)
     passages = passages.withColumn("entities", _entities(F.col("body"))).where(F.size("entities") > 0)
     words = with_free_words(with_base_spans(passages), "word", F.lit(True))
     # the numbers of documents and passages hold within this table
