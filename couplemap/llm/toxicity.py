@@ -6,17 +6,19 @@ style, and the probabilities of the categories before it.  While training,
 those earlier probabilities come from out-of-fold models, so a later model
 sees them as wrong as they will be on new texts.
 
-Training takes at most ``train_rows`` labelled rows (those with the smallest
-hash of their id).  Per category the ``n_features`` words and beginnings with
+Training takes at most ``train_rows`` labelled ids (those with the smallest
+hash), with one text and one row of labels each.  Per category the ``n_features`` words and beginnings with
 the highest chi-square against the label are kept; their counts are summed
 by Spark.  The bounded training table is fitted in one task, and the model (a
 few thousand weights) is broadcast.  Every document is scored over its whole
 text.
 
 Definitions.  Null and empty texts have no words and are scored from the
-bias.  Rows with a null label do not train.  Without any labelled rows of both
-kinds a category's probability is 0.  Rows come back one to one, repeated ids
-included; of repeated labels each trains.
+bias.  Rows with a null label or id do not train.  Of repeated label rows of an
+id the smallest trains, of repeated documents the text with the smallest hash.
+Without any labelled rows of both kinds (so with empty tables) a category's
+probability is 0.  Rows come back one to one, repeated ids included; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -156,12 +158,15 @@ def train_chain(documents: DataFrame, labels: DataFrame, categories: list[tuple[
     complete = F.lit(True)
     for name, _ in categories:
         complete = complete & F.col(name).isNotNull()
-    marks = [(F.col(name) == value).cast("int").alias(f"y{k}") for k, (name, value) in enumerate(categories)]
-    sample = labels.where(complete & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), *marks)
-    sample = cut_lineage(sample.orderBy(F.xxhash64("id"), *[f"y{k}" for k in range(len(categories))]).limit(train_rows))
-    # at most train_rows ids: small enough to send to every executor
-    texts = id_and_text(documents, id_col, text_col)
-    rows = cut_lineage(texts.join(F.broadcast(sample), "id").select("id", "body", F.array(*[f"y{k}" for k in range(len(categories))]).alias("y")))
+    marks = [(F.col(name) == value).cast("int") for name, value in categories]
+    y = F.array(*marks)
+    # one row of labels per id; at most train_rows ids are small enough to send to every executor
+    sample = labels.where(complete & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), y.alias("y")).groupBy("id").agg(F.min("y").alias("y"))
+    sample = cut_lineage(sample.orderBy(F.xxhash64("id"), "id").limit(train_rows))
+    # repeated documents of an id are reduced to one text before the shuffle
+    texts = id_and_text(documents, id_col, text_col).join(F.broadcast(sample), "id")
+    one = texts.groupBy("id", "y").agg(F.min_by("body", F.struct(F.xxhash64("body"), "body")).alias("body"))
+    rows = cut_lineage(one.select("id", "body", "y"))
 
     def features(batch: pa.RecordBatch):
         tally: dict = {}
