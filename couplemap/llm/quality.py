@@ -10,7 +10,8 @@ All counts cover the whole text.  Windows that may repeat are found by 64-bit
 hashes over a slice of documents at a time; their words are then compared.
 
 Definitions.  Null and empty texts have no words and fail the base rules.
-Rows come back one to one, repeated ids included.
+Rows come back one to one, repeated ids included; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -385,6 +385,129 @@ def test_pii_terms_counted_by_document(spark):
     assert not any(t for r, t in zip(got, told) if r["id"] is not None and r["id"] >= 10)
 
 
+def brute_terms(rows, disclosure, support):
+    """Term spans per row by plain counting."""
+    import math
+
+    def free(text):
+        held = [s for spans in base_spans(text).values() for s in spans]
+        return [m for m in re.finditer(r"[^\W_]+", text) if not any(a < m.end() and m.start() < b for a, b in held)]
+
+    def entities(text):
+        return {(k, text[a:b].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", text[a:b])) for k, spans in base_spans(text).items() for a, b in spans}
+
+    n_entity, n_word, both = Counter(), Counter(), Counter()
+    for _, text in rows:
+        n_word.update({m.group().lower() for m in free(text)})
+        n_entity.update(entities(text))
+        met = set()
+        for passage in re.split(r"(?<=\.)\n(?=[^\n]*\.(?:\n|$))", text):
+            met |= {(e, m.group().lower()) for e in entities(passage) for m in free(passage)}
+        both.update(met)
+    n = len(rows)
+    told = defaultdict(set)
+    for (e, w), k in both.items():
+        own = math.log(n / n_entity[e])
+        if k >= support and own > 0 and math.log(n * k / (n_entity[e] * n_word[w])) >= disclosure * own:
+            told[e].add(w)
+    return Counter((i, tuple(m.span() for m in free(text) if any(m.group().lower() in told[e] for e in entities(text)))) for i, text in rows)
+
+
+def test_pii_terms_brute_force(spark):
+    from couplemap.llm.pii import find_pii
+
+    rng = random.Random(23)
+    people = {f"name{k}": [f"p{k}@x.org", f"10.0.0.{k}", "4111 1111 1111 1111", "+1 555 010 9999"][k % 4] for k in range(12)}
+    rows = []
+    for k in range(240):
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            name = rng.choice(list(people))
+            value = people[name] if rng.random() < 0.9 else ""
+            glue = rng.choice([" ", " ", "é", ", "])
+            lines.append(f"{rng.choice(['the', 'a', 'of'])} {name if rng.random() < 0.9 else 'nobody'} {rng.choice('abcdefgh')}{glue}{value}{glue}{rng.choice(['x', 'tail', '\ue000q'])}{rng.choice(['.', ''])}")
+        rows.append((k, "\n".join(lines)))
+    for disclosure in (0.3, 0.75):
+        want = brute_terms(rows, disclosure, 3)
+        got = find_pii(spark.createDataFrame(rows, "doc_id long, text string"), disclosure=disclosure).collect()
+        assert Counter((r["id"], tuple((s["start"], s["end"]) for s in r["term"])) for r in got) == want
+        assert sum(len(spans) * n for (_, spans), n in want.items()) > 20
+
+
+def test_pii_long_text(spark):
+    """Words are set against thousands of spans of one text in linear time."""
+    from couplemap.llm.pii import find_pii
+
+    text = " ".join(f"word{i}+ user{i}@host{i}.org\ue000" for i in range(8000))
+    (got,) = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(got["email"]) == 8000 and not got["term"]
+    assert got["sanitised"] == " ".join(f"word{i}+ [EMAIL]\ue000" for i in range(8000))
+
+
+def test_toxicity_training_is_bounded(spark, monkeypatch):
+    """Repeated documents and labels of an id train once, and ``train_rows``
+    bounds the rows that are fitted."""
+    from couplemap.llm import toxicity
+
+    rng = random.Random(8)
+    docs = [(k, f"{'awful ' if k % 2 else ''}text {rng.randint(0, 9)} copy {c}") for k in range(40) for c in range(5)]
+    marks = [(k, 1, k % 2) for k in range(40)] * 3 + [(k, 0, k % 2) for k in range(0, 40, 4)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("y", F.lit("extra"))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int").withColumn("y", F.lit("extra"))
+    written = []
+    keep = toxicity.cut_lineage
+    monkeypatch.setattr(toxicity, "cut_lineage", lambda df: written.append(keep(df)) or written[-1])
+    for bound, want in ((10, 10), (1000, 40)):
+        written.clear()
+        toxicity.train_chain(table, labels, [("quality", 0), ("toxic", 1)], train_rows=bound)
+        rows = next(df for df in written if df.columns == ["id", "body", "y"]).collect()
+        assert len(rows) == len({r["id"] for r in rows}) == want
+        assert all(list(r["y"]) == [0, r["id"] % 2] for r in rows)
+
+
+def test_toxicity_chain_brute_force():
+    """The chain against a dense version of the same steps: later models see
+    the earlier probabilities of models that did not train on the row."""
+    from couplemap.llm.toxicity import FOLDS, fit_chain, predict
+
+    rng = np.random.default_rng(3)
+    n, size = 120, 12
+    x = (rng.random((n, size)) < 0.3).astype(float)
+    style = rng.random((n, 2))
+    first = (x[:, 0] + 0.3 * rng.random(n) > 0.6).astype(float)
+    labels = np.column_stack([first, (x[:, 1] + first + 0.4 * rng.random(n) > 1.2)]).astype(float)
+    fold = np.arange(n) % FOLDS
+
+    def dense_fit(inputs, label):
+        w = np.zeros(inputs.shape[1] + 1)
+        a = np.column_stack([inputs, np.ones(len(inputs))])
+        w[-1] = np.log(label.mean() / (1 - label.mean()))
+        m = v = 0
+        for t in range(1, 301):
+            g = a.T @ (1 / (1 + np.exp(-a @ w)) - label) / len(label)
+            g[:-1] += 1e-4 * w[:-1]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        return w
+
+    def dense_predict(w, inputs):
+        return 1 / (1 + np.exp(-(inputs @ w[:-1] + w[-1])))
+
+    rows = [np.flatnonzero(r).tolist() for r in x]
+    chain = fit_chain(rows, style, labels, fold, size)
+    extra, seen = style, style
+    for c, part in enumerate(chain):
+        inputs = np.column_stack([x, extra])
+        want = dense_predict(dense_fit(inputs, labels[:, c]), np.column_stack([x, seen]))
+        got = predict((part["w"], np.array(part["v"]), part["bias"]), rows, seen)
+        assert np.allclose(got, want, atol=1e-6)
+        held = np.zeros(n)
+        for k in range(FOLDS):
+            out = fold == k
+            held[out] = dense_predict(dense_fit(inputs[~out], labels[~out, c]), inputs[out])
+        extra, seen = np.column_stack([extra, held]), np.column_stack([seen, want])
+
+
 def test_toxicity_held_out(spark, docs, empty):
     from couplemap.llm.toxicity import score_chain, train_chain
 

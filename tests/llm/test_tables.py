@@ -91,6 +91,62 @@ def test_url_filter(spark):
     assert filter_urls(pages.where("1 = 0")).collect() == []
 
 
+def test_viterbi_brute_force():
+    """Against all splits of short names; unknown stretches and known words
+    of any length."""
+    import math
+
+    from couplemap.llm.url_filter import viterbi
+
+    def cost(words, counts, total):
+        return sum(math.log(total / counts[w]) if w in counts else math.log(total / 10) + len(w) * math.log(10) for w in words)
+
+    rng = random.Random(6)
+    for _ in range(200):
+        counts = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 5))): rng.randint(1, 500) for _ in range(6)}
+        name = "".join(rng.choice("abc") for _ in range(rng.randint(1, 10)))
+        every = []
+        for mask in range(1 << (len(name) - 1)):
+            cuts = [0, *[k + 1 for k in range(len(name) - 1) if mask >> k & 1], len(name)]
+            every.append([name[a:b] for a, b in zip(cuts, cuts[1:])])
+        got = viterbi(name, counts, 4000.0)
+        assert "".join(got) == name
+        assert math.isclose(cost(got, counts, 4000.0), min(cost(w, counts, 4000.0) for w in every))
+    long = "antidisestablishmentarianism" * 2
+    assert viterbi(long, {"antidisestablishmentarianism": 3}, 1000.0) == ["antidisestablishmentarianism"] * 2
+
+
+def test_segment_names_of_any_length(spark):
+    from couplemap.llm.url_filter import segment_names, viterbi
+
+    vocabulary = {"antidisestablishmentarianism": 7, "antidisestablishmentarianistic": 2, "cheap": 50, "pills": 40, "z" * 3000: 4}
+    words = spark.createDataFrame(list(vocabulary.items()), "word string, n long")
+    names = ["cheapantidisestablishmentarianismpills", "pills", "qq", "cheap" * 1000 + "x" * 1100 + "pills", "cheap" + "z" * 3000]
+    got = {r["name"]: r["words"] for r in segment_names(spark.createDataFrame([(n,) for n in names], "name string"), words).collect()}
+    assert got == {n: viterbi(n, vocabulary, sum(vocabulary.values()) + 10.0) for n in names}
+    assert got[names[0]] == ["cheap", "antidisestablishmentarianism", "pills"]
+    assert got[names[3]] == ["cheap"] * 1000 + ["x" * 1100, "pills"] and got[names[4]] == ["cheap", "z" * 3000]
+
+
+def test_url_filter_is_no_language_filter(spark):
+    """Words of the rules do not decide where the rules do not apply; a token
+    counts as often as a path holds it; long hosts and paths pass."""
+    from couplemap.llm.url_filter import filter_urls
+
+    rng = random.Random(9)
+    urls = [f"https://{rng.choice(['school', 'garden', 'museum'])}{rng.choice(['.com', '.example.org', '.net'])}/{rng.choice(['en', 'es', 'fr', 'de'])}/{k}" for k in range(400)]
+    urls += [f"http://adult.net/{lang}/1" for lang in ("en", "es", "fr", "de")]
+    urls += ["http://garden.net/casino/a", "http://garden.net/casino/casino/a", f"http://{'garden' * 3000}.net/{'x/' * 20000}", f"http://{'a.' * 3000}net/"]
+    pages = spark.createDataFrame([(k, u, "<p>school garden museum adult casino</p>") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in filter_urls(pages).collect()}
+    assert len(got) == len(urls)
+    for k, u in enumerate(urls[:404]):
+        if got[k]["rule"] is None:
+            assert got[k]["verdict"] == ("block" if "adult" in u else "allow")
+    once, twice, none = (next(got[k]["score"] for k, u in enumerate(urls) if u == x) for x in (urls[404], urls[405], next(u for u in urls if u.startswith("https://garden.net"))))
+    assert abs((twice - none) - 2 * (once - none)) < 1 + 1e-9 and twice > once
+
+
 def test_skew_join(spark):
     from couplemap.llm.common import skew_join
 
