@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import math
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -76,17 +77,25 @@ def fit_logistic(rows: list[list[int]], dense: np.ndarray, label: np.ndarray, si
     """Weights of sparse 0/1 features, of dense ones, and the bias, by Adam
     on the whole (bounded) table."""
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    column = np.fromiter((f for r in rows for f in r), np.int64, int(lengths.sum()))
-    owner = np.repeat(np.arange(len(rows)), lengths)
+    column = np.fromiter(chain.from_iterable(rows), np.int64, int(lengths.sum()))
+    by_column = np.argsort(column, kind="stable")
+    row_of = np.repeat(np.arange(len(rows)), lengths)[by_column]
+    used, first_of = np.unique(column[by_column], return_index=True)  # entries in order of the feature
+    filled = np.flatnonzero(lengths)
+    starts = (np.cumsum(lengths) - lengths)[filled]  # entries in order of the row
     k = dense.shape[1]
     w = np.zeros(size + k + 1)
     rate = label.mean()
     w[-1] = math.log(rate / (1 - rate))
     first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = np.bincount(owner, weights=w[column], minlength=len(rows)) + dense @ w[size:size + k] + w[-1]
+        z = dense @ w[size:size + k] + w[-1]
+        if len(filled):
+            z[filled] += np.add.reduceat(w[column], starts)
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) / len(label)
-        grad = np.concatenate([np.bincount(column, weights=error[owner], minlength=size), dense.T @ error, [error.sum()]])
+        grad = np.concatenate([np.zeros(size), dense.T @ error, [error.sum()]])
+        if len(filled):
+            grad[used] = np.add.reduceat(error[row_of], first_of)
         grad[:-1] += ridge * w[:-1]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
@@ -114,11 +123,11 @@ def best_cut(p: np.ndarray, label: np.ndarray) -> float:
 def fit_chain(rows: list[list[int]], style: np.ndarray, labels: np.ndarray, fold: np.ndarray, size: int) -> list[dict | None]:
     """One model per column of ``labels``; earlier probabilities enter the
     later models out of fold."""
-    chain, dense = [], style
+    models, dense = [], style
     for c in range(labels.shape[1]):
         label = labels[:, c]
         if not 0 < label.sum() < len(label):
-            chain.append(None)
+            models.append(None)
             dense = np.column_stack([dense, np.zeros(len(label))])
             continue
         held = np.zeros(len(label))
@@ -131,9 +140,9 @@ def fit_chain(rows: list[list[int]], style: np.ndarray, labels: np.ndarray, fold
             elif out.any():
                 held[out] = label.mean()
         w, v, bias = fit_logistic(rows, dense, label, size)
-        chain.append({"w": w.tolist(), "v": v.tolist(), "bias": bias, "cut": min(0.9, max(0.1, best_cut(held, label)))})
+        models.append({"w": w.tolist(), "v": v.tolist(), "bias": bias, "cut": min(0.9, max(0.1, best_cut(held, label)))})
         dense = np.column_stack([dense, held])
-    return chain
+    return models
 
 
 def _lists(features: dict[int, set[str]], index: dict[int, dict[str, int]]) -> list[int]:
@@ -211,8 +220,8 @@ def train_chain(documents: DataFrame, labels: DataFrame, categories: list[tuple[
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", kind="stable")  # the same sums whatever order rows came in
         fold = (frame["id"].to_numpy() % 9973 * 7919 % 9973 % FOLDS).astype(int)
-        chain = fit_chain([sorted(x) for x in frame["x"]], np.array(frame["style"].tolist()).reshape(-1, N_STYLE), np.array(frame["y"].tolist(), float), fold, len(names))
-        return pd.DataFrame({"model": [json.dumps(chain)]})
+        models = fit_chain([sorted(x) for x in frame["x"]], np.array(frame["style"].tolist()).reshape(-1, N_STYLE), np.array(frame["y"].tolist(), float), fold, len(names))
+        return pd.DataFrame({"model": [json.dumps(models)]})
 
     small = map_slices(rows, reduced, "id long, x array<int>, style array<double>, y array<int>")
     fitted = small.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit, "model string").collect()  # one bounded group
@@ -224,12 +233,12 @@ def score_chain(documents: DataFrame, model: dict, id_col: str = "doc_id", text_
     shipped = documents.sparkSession.sparkContext.broadcast((_index(model["features"]), model["chain"]))
 
     def score(batch: pa.RecordBatch):
-        index, chain = shipped.value
+        index, models = shipped.value
         texts = batch.column(1).to_pylist()
         rows = [_lists(word_features(t), index) for t in texts]
         dense = np.array([style_features(t) for t in texts]).reshape(-1, N_STYLE)
         p, yes = [], []
-        for part in chain:
+        for part in models:
             one = np.zeros(len(texts)) if part is None else predict((part["w"], np.array(part["v"]), part["bias"]), rows, dense)
             p.append(one)
             yes.append(one >= (part["cut"] if part else 2))
