@@ -64,11 +64,18 @@ def tokens_from_sources(sources: DataFrame, stem: bool = True, mode: str = "rege
 
 
 def identifier_counts(sources: DataFrame, mode: str = "regex") -> DataFrame:
-    """(path, ident, cnt): how often each file holds each identifier."""
+    """(path, ident, cnt): how often each file holds each identifier.
+
+    In regex mode the texts cross the shuffle, once, dealt by path; what is
+    counted by path behind them (here and in ``word_counts``) needs no further
+    shuffle.  The number of partitions is given, so that they are not put
+    together by the size of the texts, of which the counts are a multiple."""
     if mode == "ast":
         ids = python_identifiers(sources).where(F.col("parsed") & F.col("ident").isNotNull()).select("path", "ident")
     elif mode == "regex":
-        ids = sources.select("path", F.explode(identifiers(F.col("text"))).alias("ident"))
+        parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = sources.select("path", "text").repartition(parts, "path")
+        ids = dealt.select("path", F.explode(identifiers(F.col("text"))).alias("ident"))
     else:
         raise ValueError(f"unknown identifier mode {mode!r}")
     return ids.groupBy("path", "ident").agg(F.count(F.lit(1)).alias("cnt"))
@@ -84,17 +91,15 @@ def identifier_dictionary(idents: DataFrame, stem: bool = True) -> DataFrame:
 
 
 def word_counts(sources: DataFrame, stem: bool = True, mode: str = "regex") -> DataFrame:
-    """(path, word, cnt) by way of the identifier dictionary.  Identifiers
-    that are their own only word (no underscore, capital or stem) need no entry
-    and no join; so the common words, which every file holds, meet no join key."""
-    counts = cut_lineage(identifier_counts(sources, mode))
+    """(path, word, cnt).  Without stems the identifiers of a file are split
+    where they were counted; with stems they take the way over the identifier
+    dictionary, so that each one is stemmed once."""
+    counts = identifier_counts(sources, mode)
     if stem:
-        known = counts.withColumn("own", F.lit(False))
+        counts = cut_lineage(counts)
+        rows = counts.join(identifier_dictionary(counts), "ident").select("path", "word", (F.col("cnt") * F.col("times")).alias("cnt"))
     else:
-        known = counts.withColumn("own", (F.lower("ident") == F.col("ident")) & ~F.contains("ident", F.lit("_")))
-    entries = identifier_dictionary(known.where("not own"), stem)
-    joined = known.where("not own").join(entries, "ident").select("path", "word", (F.col("cnt") * F.col("times")).alias("cnt"))
-    rows = joined if stem else joined.unionByName(known.where("own").select("path", F.col("ident").alias("word"), "cnt"))
+        rows = counts.select("path", F.explode(lower_words(split_identifier(F.col("ident")))).alias("word"), "cnt")
     return rows.groupBy("path", "word").agg(F.sum("cnt").alias("cnt"))
 
 

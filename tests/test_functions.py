@@ -97,3 +97,17 @@ def test_word_counts_by_dictionary(spark):
     for stem in (False, True):
         want = Counter((r.path, r.word) for r in T.tokens_from_sources(src, stem=stem).collect())
         assert {(r.path, r.word): r.cnt for r in T.word_counts(src, stem=stem).collect()} == want
+
+
+def test_texts_cross_one_shuffle_and_paths_may_repeat(spark):
+    """The counted rows never do: the plan of tf has the exchange of the texts only."""
+    from couplemap.operators import similarity as S
+
+    src = spark.createDataFrame([("a", "fooBar foo"), ("a", "foo x"), ("b", "x x y_x"), ("c", ""), (None, "foo z")], "path string, text string")
+    tf = S.term_frequency(T.word_counts(src, stem=False))
+    assert {(r.path, r.word): round(r.tf, 9) for r in tf.collect()} == {
+        ("a", "foo"): 0.6, ("a", "bar"): 0.2, ("a", "x"): 0.2, ("b", "x"): 0.75, ("b", "y"): 0.25}
+    plan = tf._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+    idf = {r.word: r.df for r in S.inverse_doc_frequency(T.word_counts(src, stem=False), src).collect()}
+    assert idf == {"foo": 2, "bar": 1, "x": 2, "y": 1, "z": 1}
