@@ -368,3 +368,45 @@ def test_mca_equals_the_dense_decomposition(spark):
     got = np.array([[r.x, r.y] for r in mca(inc).orderBy("path").collect()])
     for k in range(2):
         assert min(np.abs(got[:, k] - want[:, k]).max(), np.abs(got[:, k] + want[:, k]).max()) < 1e-3
+
+
+def test_tiles_equal_the_joins(spark, monkeypatch):
+    """Blocks of a few items: counts, cosines and the nearest rows by tiles
+    are those of the joins, also with copies (ties) and a word in every row."""
+    rng = np.random.default_rng(21)
+    rows = [(f"p{i:02d}", f"w{j}", float(w)) for i in range(40) for j, w in zip(rng.choice(60, 6, replace=False), rng.exponential(1.0, 6))]
+    rows += [(f"p{i:02d}", "all", 0.3) for i in range(40)] + [(f"c{i}", w, 1.0) for i in range(12) for w in ("w1", "all")] + [("q", "lone", 1.0), ("z", "all", 0.0)]
+    df = spark.createDataFrame(rows, "path string, word string, w double")
+    inc = df.select("path", F.crc32(F.col("word").cast("binary")).alias("commit_seq"))
+
+    def every(block):
+        pairs = {(r.a, r.b): round(r.similarity, 9) for r in S.cosine_pairs(df, block=block).collect()}
+        above = {(r.a, r.b): round(r.similarity, 9) for r in S.cosine_pairs(df, minimum=0.4, block=block).collect()}
+        best = {(r.path, r["rank"], r.other): round(r.similarity, 9) for r in S.cosine_top_k(df, 3, block=block).collect()}
+        return pairs, above, best, {tuple(r) for r in S.jaccard_pairs(inc, block=block).collect()}
+
+    monkeypatch.setattr(S, "tiles_pay", lambda *_: False)
+    want = every(7)
+    monkeypatch.setattr(S, "tiles_pay", lambda *_: True)
+    for block in (7, 2048):
+        got = every(block)
+        assert got == want
+    plan = S.jaccard_pairs(inc)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "HashAggregate" not in plan  # no row per pair and commit is shuffled
+
+
+def test_tile_product_of_signs_and_frequencies():
+    from couplemap.operators.tiles import tile_product, top_places
+    rng = np.random.default_rng(2)
+    A, B = [np.where(rng.random((50, 300)) < rng.random(300) ** 4, rng.normal(size=(50, 300)), 0.0) for _ in range(2)]
+    side = lambda M: (*np.nonzero(M), M[np.nonzero(M)])
+    assert np.allclose(tile_product(side(A), side(B), 50, 50), A @ B.T)
+    r, c = top_places(np.zeros((2, 9)), np.ones((2, 9), bool), 3)
+    assert r.tolist() == [0, 0, 0, 1, 1, 1] and c.tolist() == [0, 1, 2, 0, 1, 2]
+
+
+def test_common_commits_go_by_tiles(spark):
+    from couplemap.operators.tiles import tiles_pay
+    rare = spark.range(4000).select((F.col("id") / 4).cast("long").alias("g"), F.col("id").alias("x"))
+    assert not tiles_pay(rare, "x", "g")
+    assert tiles_pay(rare.withColumn("g", F.col("g") % 5), "x", "g")
