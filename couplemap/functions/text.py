@@ -116,6 +116,28 @@ def unparsable_sources(sources: DataFrame) -> DataFrame:
     return python_identifiers(sources).where(~F.col("parsed")).select("path").distinct()
 
 
+def names_of(root) -> list[str]:
+    """Identifiers of a syntax tree in the order of ``ast.walk`` (breadth
+    first), without visiting the contexts below names, which hold none."""
+    import ast
+
+    found, nodes = [], [root]
+    for node in nodes:  # the list grows while it is read
+        kind = type(node)
+        if kind is ast.Name:
+            found.append(node.id)
+            continue
+        if kind is ast.FunctionDef or kind is ast.ClassDef:
+            found.append(node.name)
+        for field in kind._fields:
+            value = getattr(node, field, None)
+            if isinstance(value, list):
+                nodes.extend([x for x in value if isinstance(x, ast.AST)])
+            elif isinstance(value, ast.AST):
+                nodes.append(value)
+    return found
+
+
 def python_identifiers(sources: DataFrame, seen: Observation | None = None) -> DataFrame:
     """AST mode for Python sources: ``Name`` ids plus function and class
     names (not async defs), in ``ast.walk`` order.  A file that does not
@@ -137,16 +159,11 @@ def python_identifiers(sources: DataFrame, seen: Observation | None = None) -> D
                 except (SyntaxError, ValueError):
                     out_path.append(path); out_ok.append(False); out_pos.append(-1); out_id.append(None)
                     continue
-                found = []
-                for node in ast.walk(root):
-                    if isinstance(node, ast.Name):
-                        found.append(node.id)
-                    elif isinstance(node, (ast.FunctionDef, ast.ClassDef)):
-                        found.append(node.name)
+                found = names_of(root)
                 if not found:
                     out_path.append(path); out_ok.append(True); out_pos.append(-1); out_id.append(None)
-                for i, name in enumerate(found):
-                    out_path.append(path); out_ok.append(True); out_pos.append(i); out_id.append(name)
+                out_path.extend([path] * len(found)); out_ok.extend([True] * len(found))
+                out_pos.extend(range(len(found))); out_id.extend(found)
             if not out_path:
                 continue
             yield pd.DataFrame({"path": out_path, "parsed": out_ok,

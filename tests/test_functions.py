@@ -111,3 +111,15 @@ def test_texts_cross_one_shuffle_and_paths_may_repeat(spark):
     assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
     idf = {r.word: r.df for r in S.inverse_doc_frequency(T.word_counts(src, stem=False), src).collect()}
     assert idf == {"foo": 2, "bar": 1, "x": 2, "y": 1, "z": 1}
+
+
+def test_names_in_the_order_of_ast_walk():
+    import ast
+    import inspect
+    import textwrap
+
+    odd = "@d(a)\nclass C(B, metaclass=M):\n    x: int = y[z:w]\n    async def f(self, *p, q=r, **s): return [i for i in p if i] or {k: v, **u}\n    def g(h): lambda m: (n := m)\nmatch t:\n    case P(o=1) | [_, *rest]: del t\nf'{aa!r:{bb}}'\n"
+    for text in (odd, "", "x = 1", textwrap.dedent(inspect.getsource(porter)), textwrap.dedent(inspect.getsource(T))):
+        root = ast.parse(text)
+        want = [n.id if isinstance(n, ast.Name) else n.name for n in ast.walk(root) if isinstance(n, (ast.Name, ast.FunctionDef, ast.ClassDef))]
+        assert T.names_of(root) == want
