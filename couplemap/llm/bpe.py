@@ -18,6 +18,7 @@ one to one, repeated ids included.
 
 from __future__ import annotations
 
+import string
 import uuid
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import BoundedCache, chunks, id_and_text, map_slices, read_ranks, resident, whole
 
 CACHE = 120_000
+MOVES = 400_000
 _NEVER = 1 << 40
 
 
@@ -39,10 +41,17 @@ class Vocabulary:
         self.ranks = dict(ranks)
         self.tokens = {rank: token for token, rank in ranks}
         self.longest = max(map(len, self.ranks))
-        # every ending of a token, with the token's rank if it is one, so that a search backwards knows when to stop
-        self.endings = {token[k:]: -1 for token in self.ranks for k in range(1, len(token))}
-        self.endings.update(self.ranks)
+        self.words = {rank: rank.to_bytes(4, "little") for rank in self.tokens}
+        # states of a walk over a text: the longest ending of what was read that begins a token
+        self._state_of = {b"": 0}
+        self._texts = [b""]
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+        self._begins = {token[:k] for token in self.ranks for k in range(1, len(token) + 1)}
+        self.moves: dict[int, int] = {}
         self.find = regex.compile(pattern).findall
+        # whether a space and letters of ASCII are one match; such chunks need no search
+        letters = string.ascii_letters
+        self._letters = all(self.find(" " + x) == [" " + x] for x in (letters, letters[::-1], *letters))
         self._parts: dict = {}
         self._left = BoundedCache(20_000)
         self._right = BoundedCache(20_000)
@@ -68,6 +77,25 @@ class Vocabulary:
     def reached(self, token: int) -> bool:
         return len(self.tokens[token]) == 1 or self.parts(token) is not None
 
+    def move(self, state: int, byte: int) -> int:
+        """The state after another byte.  States and moves are as many as
+        the beginnings of tokens that the texts hold, with their next bytes;
+        the moves are made anew when they are ``MOVES``."""
+        text = self._texts[state] + bytes((byte,))
+        while text not in self._begins and text:
+            text = text[1:]
+        after = self._state_of.get(text)
+        if after is None:
+            after = self._state_of[text] = len(self._texts)
+            self._texts.append(text)
+            # the tokens that end here, the longest first
+            ends = [(len(text) - k, self.ranks.get(text[k:])) for k in range(len(text))]
+            self.ends.append(tuple((n, token) for n, token in ends if token is not None))
+        if len(self.moves) >= MOVES:
+            self.moves.clear()
+        self.moves[state << 8 | byte] = after
+        return after
+
     def _edge(self, token: int, side: int, memo: BoundedCache) -> list[tuple[bytes, int, int]]:
         """The symbols that stand at one end of the token while it is built:
         (bytes, rank that makes it, rank that swallows it), last one first."""
@@ -123,7 +151,7 @@ class Vocabulary:
             token = self.ranks.get(text)
             if token is None:
                 table.restart(text)
-            self._pieces[text.decode()] = np.array(table.tokens() if token is None else [token], "<u4").tobytes()
+            self._pieces[text.decode()] = b"".join(map(self.words.__getitem__, table.tokens())) if token is None else self.words[token]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
@@ -131,9 +159,10 @@ class Vocabulary:
         # the first chunk of a text has no space before it: it is cut into pieces like a text of its own
         loose = {text if cut is None else cut[0] for text, cut in zip(texts, cuts)}
         loose = {text: self.find(text) for text in loose}
-        new = self._chunks.settle({chunk for cut in cuts if cut for chunk in cut[1:]})
-        new_chunks = {chunk: self.find(whole(chunk)) for chunk in new}
-        self._learn(self._pieces.settle({p for found in (loose, new_chunks) for pieces in found.values() for p in pieces}))
+        new = self._chunks.settle(set().union(*(cut[1:] for cut in cuts if cut)))
+        find, letters = self.find, self._letters
+        new_chunks = {chunk: [" " + chunk] if letters and chunk.isascii() and chunk.isalpha() else find(whole(chunk)) for chunk in new}
+        self._learn(self._pieces.settle(set().union(*loose.values(), *new_chunks.values())))
         piece = self._pieces.__getitem__
         for chunk, pieces in new_chunks.items():
             self._chunks[chunk] = b"".join(map(piece, pieces))
@@ -157,23 +186,22 @@ class PrefixTable:
         self.vocabulary = vocabulary
         self.text = text
         self.last: list[int] = []
+        self.states: list[int] = [0]  # after every prefix, the empty one included
         self._fill(len(text))
 
     def _fill(self, end: int) -> None:
-        text, last, vocabulary = self.text, self.last, self.vocabulary
-        ending, pairs, fits = vocabulary.endings.get, vocabulary.pairs, vocabulary.side_by_side
-        for i in range(len(last) + 1, end + 1):
-            found = []
-            for j in range(i - 1, -1, -1):
-                token = ending(text[j:i])
-                if token is None:
-                    break
-                if token >= 0:
-                    found.append((j, token))
-            for j, token in reversed(found):  # the longest first
-                if j:
-                    before = last[j - 1]
-                    good = pairs.get(before << 32 | token)
+        text, last, states, vocabulary = self.text, self.last, self.states, self.vocabulary
+        moves, ends, pairs, fits = vocabulary.moves.get, vocabulary.ends, vocabulary.pairs.get, vocabulary.side_by_side
+        state = states[-1]
+        for i in range(len(last), end):
+            byte = text[i]
+            after = moves(state << 8 | byte)
+            state = vocabulary.move(state, byte) if after is None else after
+            states.append(state)
+            for length, token in ends[state]:  # the longest first
+                if length <= i:
+                    before = last[i - length]
+                    good = pairs(before << 32 | token)
                     if good is None:
                         good = fits(before, token)
                 else:
@@ -190,7 +218,7 @@ class PrefixTable:
         while same < end and text[same] == self.text[same]:
             same += 1
         self.text = text
-        del self.last[same:]
+        del self.last[same:], self.states[same + 1:]
         self._fill(len(text))
 
     def append(self, more: bytes) -> None:
@@ -201,23 +229,25 @@ class PrefixTable:
         """Replace text[start:end]; the number of entries made anew."""
         old = self.last[end:]
         self.text = self.text[:start] + new + self.text[end:]
-        del self.last[start:]
+        states = self.states[end + 1:]
+        del self.last[start:], self.states[start + 1:]
         self._fill(start + len(new))
         agree = 0
         for k, token in enumerate(old):
             if agree == self.vocabulary.longest:  # later entries read only agreeing ones
                 self.last.extend(old[k:])
+                self.states.extend(states[k:])
                 return len(new) + k
             self._fill(start + len(new) + k + 1)
             agree = agree + 1 if self.last[-1] == token and k + 1 >= len(self.vocabulary.tokens[token]) else 0
         return len(new) + len(old)
 
     def tokens(self) -> list[int]:
-        out, at = [], len(self.text)
+        out, at, last, tokens = [], len(self.text), self.last, self.vocabulary.tokens
         while at:
-            token = self.last[at - 1]
+            token = last[at - 1]
             out.append(token)
-            at -= len(self.vocabulary.tokens[token])
+            at -= len(tokens[token])
         return out[::-1]
 
 
