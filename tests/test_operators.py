@@ -1,10 +1,13 @@
 """Properties of the operators without a SQL oracle, and equivalences."""
 
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from couplemap.operators import similarity as S
 from couplemap.operators.cooccurrence import pair_rows
+from couplemap.session import cut_lineage
 from couplemap.sources import bindings as B
 
 SF = "/root/testdata/sf0.001"
@@ -410,3 +413,13 @@ def test_common_commits_go_by_tiles(spark):
     rare = spark.range(4000).select((F.col("id") / 4).cast("long").alias("g"), F.col("id").alias("x"))
     assert not tiles_pay(rare, "x", "g")
     assert tiles_pay(rare.withColumn("g", F.col("g") % 5), "x", "g")
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: [n for folder in folders for _, _, names in os.walk(folder) for n in names if n.startswith("shuffle_")]
+    before, setting = len(files()), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(setting)
+    out = cut_lineage(spark.range(1000).repartition(7).groupBy(F.col("id") % 10).count())
+    assert out.count() == 10 and spark.conf.get(setting) == kept
+    assert len(files()) <= before + 2  # what the count itself wrote
