@@ -415,6 +415,30 @@ def test_common_commits_go_by_tiles(spark):
     assert tiles_pay(rare.withColumn("g", F.col("g") % 5), "x", "g")
 
 
+def test_nearest_pairs_leave_the_tiles(spark):
+    rng = np.random.default_rng(4)
+    rows = [(c, f"f{k:02d}") for c in range(40) for k in range(60) if rng.random() < 0.5]
+    inc = spark.createDataFrame(rows, "commit_seq long, path string")
+    every = {(r["a"], r["b"]): r["distance"] for r in S.jaccard_pairs(inc, block=16).collect()}
+    few = S.jaccard_pairs(inc, block=16, nearest=2).collect()
+    got = {(r["a"], r["b"]): r["distance"] for r in few}
+    assert len(got) == len(few) < len(every) and all(every[p] == d for p, d in got.items())
+    near = {}
+    for (a, b), d in every.items():
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, []).append((d, y))
+    for x, others in near.items():
+        assert all(tuple(sorted((x, y))) in got for _, y in sorted(others)[:2])
+    weights = inc.groupBy("path", F.col("commit_seq").cast("string").alias("word")).agg((F.rand(1) + 0.1).alias("w"))
+    weights = cut_lineage(weights)
+    cos = {(r["a"], r["b"]): r["similarity"] for r in S.cosine_pairs(weights, block=16).collect()}
+    few = {(r["a"], r["b"]): r["similarity"] for r in S.cosine_pairs(weights, block=16, nearest=3).collect()}
+    assert len(few) < len(cos) and all(cos[p] == s for p, s in few.items())
+    for x in {p for pair in cos for p in pair}:
+        best = sorted((-s, p) for p, s in cos.items() if x in p)[:3]
+        assert all(p in few for _, p in best)
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
     files = lambda: [n for folder in folders for _, _, names in os.walk(folder) for n in names if n.startswith("shuffle_")]
