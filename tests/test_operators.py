@@ -447,3 +447,20 @@ def test_written_tables_leave_no_shuffle_files(spark):
     out = cut_lineage(spark.range(1000).repartition(7).groupBy(F.col("id") % 10).count())
     assert out.count() == 10 and spark.conf.get(setting) == kept
     assert len(files()) <= before + 2  # what the count itself wrote
+
+
+def test_tiles_of_an_undealt_leaf_are_halved(spark):
+    from couplemap.operators.neighbors import leaf_tiles, radius_pairs, tree_leaves
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(100, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    vectors = points.select("id", F.lit(None).cast("array<int>").alias("idx"), F.col("v").alias("val"), F.lit(None).cast("array<double>").alias("extra"))
+    tiles = leaf_tiles(tree_leaves(vectors, 1.0, tile=8, worth=0.0), 8)
+    assert tiles.where("i > j").count() == 0 and tiles.select("i", "j").distinct().count() <= 13 * 14 // 2
+    wide = leaf_tiles(tree_leaves(vectors, 1.0, tile=2, worth=0.0), 2)
+    assert wide.agg(F.max("j")).first()[0] < 13  # shards of eight, not of two
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = {(a, b) for a in range(100) for b in range(a + 1, 100) if d[a, b] <= 1.0}
+    got = radius_pairs(points, 1.0, "id", "v", tile=8, worth=0.0).select("a", "b").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
