@@ -464,3 +464,46 @@ def test_tiles_of_an_undealt_leaf_are_halved(spark):
     want = {(a, b) for a in range(100) for b in range(a + 1, 100) if d[a, b] <= 1.0}
     got = radius_pairs(points, 1.0, "id", "v", tile=8, worth=0.0).select("a", "b").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_tiles_in_little_memory():
+    """Sums, nearest places and pairs of a full tile, with frequent and rare
+    keys: beside the tile itself only parts of it are made."""
+    import tracemalloc
+
+    from couplemap.operators.tiles import strips, tile_product, top_places
+    rng = np.random.default_rng(5)
+
+    def side(n):
+        keys = np.minimum((rng.pareto(0.5, (n, 100)) * 20).astype(np.int64), 20_000)
+        rows = np.unique(np.stack([np.repeat(np.arange(n), 100), keys.ravel()], 1), axis=0)
+        return rows[:, 0], rows[:, 1], rng.random(len(rows))
+
+    n = 1536
+    tile = n * n * 8
+    a, b = side(n), side(n)
+    tracemalloc.start()
+    try:
+        product = tile_product(a, b, n, n)
+        r, c = top_places(product, product > 0, 5)
+        assert len(r) == len(c) == 5 * n and sum(len(x) for x, _, _ in strips(product, product > 0)) == (product > 0).sum()
+        assert tracemalloc.get_traced_memory()[1] < 3.2 * tile
+    finally:
+        tracemalloc.stop()
+
+
+def test_packed_rows_are_short(spark, monkeypatch):
+    """A block is packed into several short rows, which give the same pairs."""
+    from couplemap.operators import tiles as T
+    rng = np.random.default_rng(6)
+    rows = [(f"p{i:03d}", int(k) + (1 << 40) * (i % 2), 1.0 + i % 3) for i in range(40) for k in rng.choice(50, 9, replace=False)]
+    df = spark.createDataFrame(rows, "item string, key long, value double")
+    items = df.select("item").distinct().select("item", F.substring("item", 2, 3).cast("long").alias("id"))
+
+    monkeypatch.setattr(T, "PART", 25)
+    packed = T._pack(items, df, 16).collect()
+    assert max(len(r["items"]) for r in packed) == 4 * 25
+    for block in range(3):
+        parts = {r["part"]: (r["names"], r["items"], r["keys"], r["vals"]) for r in packed if r["block"] == block}
+        names, (item, key, value) = T._unpack(parts)
+        assert len(parts) > 2 and {(names[i], k, v) for i, k, v in zip(item, key.tolist(), value)} == {r for r in rows if int(r[0][1:]) // 16 == block}
