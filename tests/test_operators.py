@@ -3,7 +3,7 @@
 import os
 
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from couplemap.operators import similarity as S
 from couplemap.operators.cooccurrence import pair_rows
@@ -507,3 +507,36 @@ def test_packed_rows_are_short(spark, monkeypatch):
         parts = {r["part"]: (r["names"], r["items"], r["keys"], r["vals"]) for r in packed if r["block"] == block}
         names, (item, key, value) = T._unpack(parts)
         assert len(parts) > 2 and {(names[i], k, v) for i, k, v in zip(item, key.tolist(), value)} == {r for r in rows if int(r[0][1:]) // 16 == block}
+
+
+def test_average_linkage_by_tiles(spark, monkeypatch):
+    """Rounds by tiles give the clusters of the listed pairs, files of the
+    same commits merge in one round, and clusters larger than a block are cut."""
+    from couplemap.operators.clustering import average_linkage as A
+    rng = np.random.default_rng(8)
+    kinds = [set(rng.choice(30, rng.integers(2, 9), replace=False).tolist()) for _ in range(40)]
+    copies = [1] * 30 + [2, 3, 5, 9, 20, 1, 1, 1, 1, 1]
+    files = [(f"p{i:02d}_{k}", kind) for i, kind in enumerate(kinds) for k in range(copies[i])]
+    inc = cut_lineage(spark.createDataFrame([(c, p) for p, kind in files for c in sorted(kind)], "commit_seq long, path string"))
+    items = inc.select("path").distinct()
+    lab = lambda **kw: {r["path"]: r["label"] for r in A.average_linkage(items, S.jaccard_pairs(inc), threshold=0.7, **kw).collect()}
+    want = lab()
+    assert 5 < len(set(want.values())) < 40
+    monkeypatch.setattr(A, "tiles_pay", lambda *_: True)
+    monkeypatch.setattr(S, "tiles_pay", lambda *_: True)
+    for grouped, block in ((3, 64), (3, 16)):  # to the end; until a group does not fit a block
+        assert lab(incidence=inc, grouped=grouped, block=block) == want
+    ids = cut_lineage(items.select("path", F.dense_rank().over(Window.orderBy("path")).cast("long").alias("id")))
+    groups = ids.select(F.col("path").alias("item"), F.col("id").alias("group"))
+    merges = A._tied_merges(cut_lineage(S.nearest_groups(inc, groups, 0.0, block=16)))
+    to = {r["x"]: r["y"] for r in merges.collect()}
+    number = {r["path"]: r["id"] for r in ids.collect()}
+    assert {to[number[f"p34_{k}"]] for k in range(20) if f"p34_{k}" != "p34_0"} == {number["p34_0"]}
+    labels = spark.createDataFrame(list(want.items()), "path string, label int")
+    sums = {(r["u"], r["v"]): round(r["w"], 9) for r in S.jaccard_pairs(inc, block=8, groups=labels).collect()}
+    by_hand = {}
+    for r in S.jaccard_pairs(inc).collect():
+        u, v = sorted((want[r["a"]], want[r["b"]]))
+        if u != v:
+            by_hand[u, v] = by_hand.get((u, v), 0.0) + r["similarity"]
+    assert sums == {k: round(w, 9) for k, w in by_hand.items()}
