@@ -5,6 +5,7 @@ which is reducible, so mutual nearest neighbours merge in parallel rounds
 (``centres.agglomerate``) and the result is that of the serial method.  The
 factor is at least 1, so a merge below the threshold needs centres closer than
 the threshold: partners come from the exact radius search, never from all pairs.
+Squared costs follow the recurrence that lists of partners need (``Link.weight``).
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ THRESHOLD = 1.0  # fixed value of the reference
 
 
 def ward_link(threshold: float) -> Link:
+    def weight(na, nb):
+        return 2.0 * na * nb / (na + nb)
+
     def cost(na, nb, sa, sb, d2):
-        w = np.sqrt(2.0 * na * nb / (na + nb) * d2)
+        w = np.sqrt(weight(na, nb) * d2)
         return np.where(w < threshold, w, np.inf)
 
-    return Link(cost, threshold)
+    return Link(cost, threshold, weight)
 
 
 def ward(points: DataFrame, threshold: float = THRESHOLD, vec: str = "v") -> DataFrame:

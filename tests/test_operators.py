@@ -540,3 +540,33 @@ def test_average_linkage_by_tiles(spark, monkeypatch):
         if u != v:
             by_hand[u, v] = by_hand.get((u, v), 0.0) + r["similarity"]
     assert sums == {k: round(w, 9) for k, w in by_hand.items()}
+
+
+def test_lists_of_partners_give_the_same_merges(spark):
+    """Ward by short lists against a search of every changed cluster in every
+    round, with equal points, equal distances and points far off."""
+    import dataclasses
+
+    from couplemap.operators.clustering import centres
+    from couplemap.operators.clustering.ward import ward_link
+    rng = np.random.default_rng(12)
+    X = np.vstack([rng.normal(0, 1, (60, 3)), np.repeat(rng.normal(0, 1, (2, 3)), 3, 0), [[9.0 + i % 3, 9.0 + i // 3, 9.0] for i in range(9)], [[50.0, 0, 0]]])
+    points = cut_lineage(spark.createDataFrame([(int(i), None, x.tolist()) for i, x in enumerate(X)], "id long, idx array<int>, val array<double>"))
+    link = ward_link(1.2)
+
+    def clusters(link, **kw):
+        features, merges = centres.agglomerate(centres.features_of(points), link, **kw)
+        roots = centres.resolve_roots(points.select("id"), merges)
+        weights = {r["id"]: (r["n"], [round(v, 6) for v in r["val"]]) for r in features.collect()}
+        return {r["id"]: r["cid"] for r in roots.collect()}, weights
+
+    want = clusters(dataclasses.replace(link, weight=None), tile=64)
+    assert 3 < len(want[1]) < 60
+    assert clusters(link, tile=32, keep=3) == want
+    lists = centres._search(cut_lineage(centres.features_of(points)), link, None, 16, 3).collect()
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1)).round(9)
+    np.fill_diagonal(D, np.inf)
+    for r in lists:
+        near = sorted((d, j) for j, d in enumerate(D[r["x"]]) if d < 1.2)
+        assert [(e["cost"], e["y"]) for e in r["near"]] == near[:3] and (len(near) <= 3 or r["bound"] <= near[3][0])
+    assert {r["x"] for r in lists} == {i for i in range(len(X)) if D[i].min() < 1.2}
