@@ -570,3 +570,12 @@ def test_lists_of_partners_give_the_same_merges(spark):
         near = sorted((d, j) for j, d in enumerate(D[r["x"]]) if d < 1.2)
         assert [(e["cost"], e["y"]) for e in r["near"]] == near[:3] and (len(near) <= 3 or r["bound"] <= near[3][0])
     assert {r["x"] for r in lists} == {i for i in range(len(X)) if D[i].min() < 1.2}
+
+
+def test_tiles_of_distances_are_spread(spark):
+    """Tiles of few bytes are not put into one task."""
+    from couplemap.operators.neighbors import as_vectors, leaf_tiles, spread_tiles, tree_leaves
+    points = spark.range(300).select(F.col("id").alias("path"), F.array(*[F.sin(F.col("id") * k) for k in range(1, 9)]).alias("v"))
+    tiles = leaf_tiles(tree_leaves(as_vectors(points, "path", "v"), 9.0, tile=8), 8)
+    per = spread_tiles(tiles, 300, 300, 8).select("node", "i", "j", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().collect()
+    assert len(per) >= 16 and sum(r["count"] for r in per) > 50
